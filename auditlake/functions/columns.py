@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Rule patterns come from a Unicode-aware, newline-only regex dialect.
@@ -23,20 +23,31 @@ def jvm(pattern: str) -> str:
     return JVM_FLAGS + _JVM_PATTERN.get(pattern, pattern)
 
 
+def sql_text(value: str) -> str:
+    """Value as a Spark SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def str_array(values: Iterable[str]) -> Column:
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    """Constant array; parsed in one go, so large rule tables stay cheap to plan."""
+    return F.expr("cast(array(" + ", ".join(sql_text(v) for v in values) + ") as array<string>)")
 
 
 def lookup(mapping: Mapping[str, str], key: Column, default: Column | None = None) -> Column:
-    """Literal map lookup; the map is a constant of the plan, nothing is joined."""
-    entries = [F.lit(x) for kv in mapping.items() for x in kv]
-    found = F.try_element_at(F.create_map(*entries), key)
+    """Constant map lookup; the map is part of the plan, nothing is joined."""
+    entries = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in mapping.items())
+    found = F.try_element_at(F.expr(f"map({entries})"), key)
     return found if default is None else F.coalesce(found, default)
 
 
+def lookup_list(mapping: Mapping[str, Iterable[str]], key: Column) -> Column:
+    """Constant map of lists; an empty list for keys it lacks."""
+    entries = ", ".join(
+        f"{sql_text(k)}, array(" + ", ".join(sql_text(v) for v in vs) + ")" for k, vs in mapping.items()
+    )
+    return F.coalesce(F.try_element_at(F.expr(f"map({entries})"), key), F.array().cast("array<string>"))
+
+
 def first_true(rules: Iterable[tuple[Column, Column]]) -> Column:
     """Value of the first rule whose condition holds, else null."""
     out = None
@@ -56,3 +67,14 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds computed columns behind a one-row generator.
+
+    A filter on such a column stays above it.  Without that, the optimizer
+    rewrites the filter into the column's definition and moves it to the scan,
+    where large definitions are then evaluated several times per row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

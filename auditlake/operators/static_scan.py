@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import rulebook as rb
-from auditlake.functions.columns import clamp, first_true, jvm, lookup, str_array
+from auditlake.functions.columns import clamp, first_true, jvm, lookup, lookup_list, settle, sql_text, str_array
 from auditlake.operators import extract
 
 _SOURCE_T = "array<struct<var:string,type:string>>"
@@ -33,16 +33,11 @@ def _best_entry_per_name(language: str) -> dict[str, tuple[int, int, str, str]]:
 
 
 def _sink_map(language: str) -> Column:
-    parts: list[Column] = []
-    for n, (prio, neg_len, fn, category) in _best_entry_per_name(language).items():
-        parts += [
-            F.lit(n),
-            F.struct(
-                F.lit(prio).alias("prio"), F.lit(neg_len).alias("neg_len"),
-                F.lit(fn).alias("function"), F.lit(category).alias("category"),
-            ),
-        ]
-    return F.create_map(*parts)
+    entries = ", ".join(
+        f"{sql_text(n)}, named_struct('prio', {prio}, 'neg_len', {neg_len}, 'function', {sql_text(fn)}, 'category', {sql_text(c)})"
+        for n, (prio, neg_len, fn, c) in _best_entry_per_name(language).items()
+    )
+    return F.expr(f"map({entries})")
 
 
 def sink_entry(language: Column, name: Column) -> Column:
@@ -75,41 +70,33 @@ def sanitizer_confidence(labels: Column) -> Column:
 
 def likely_safe(labels: Column, category: Column) -> Column:
     """Any mitigation that settles the category (quick variant of the table)."""
-    return F.coalesce(
-        first_true([(category == c, F.arrays_overlap(labels, str_array(v))) for c, v in rb.QUICK_SAFE_SIGNALS.items()]),
-        F.lit(False),
-    )
+    return F.arrays_overlap(labels, lookup_list(rb.QUICK_SAFE_SIGNALS, category))
 
 
-def downgrade(risk: Column) -> Column:
-    return F.when(risk == "high", "medium").when(risk == "medium", "low").otherwise(risk)
+_RELEVANT = {c: strong + rb.EXTRA_RELEVANT.get(c, []) for c, strong in rb.STRONG_SIGNALS.items()}
 
 
 def relevant_labels(labels: Column, category: Column) -> Column:
-    """Labels that count for the category (with repeats, as detected)."""
-    table = {c: strong + rb.EXTRA_RELEVANT.get(c, []) for c, strong in rb.STRONG_SIGNALS.items()}
-    picked = first_true(
-        [(category == c, F.filter(labels, lambda x, v=v: x.isin(v))) for c, v in table.items()]
-    )
-    return F.coalesce(picked, F.array().cast("array<string>"))
+    """Labels that count for the category, as detected."""
+    counted = lookup_list(_RELEVANT, category)
+    return F.filter(labels, lambda x: F.array_contains(counted, x))
 
 
 def has_strong(labels: Column, category: Column) -> Column:
-    return F.coalesce(
-        first_true([(category == c, F.arrays_overlap(labels, str_array(v))) for c, v in rb.STRONG_SIGNALS.items()]),
-        F.lit(False),
-    )
+    return F.arrays_overlap(labels, lookup_list(rb.STRONG_SIGNALS, category))
 
 
 def risk_level(category: Column, labels: Column, has_flow: Column) -> Column:
-    """Category risk, lowered by relevant mitigations and by a missing flow."""
-    base = lookup(rb.RISK, category, F.lit("medium"))
+    """Category risk, one step down for a single relevant mitigation and one
+    for a missing flow; low when a strong or two relevant mitigations match."""
+    levels = str_array(list(rb.RISK_ORDER))
+    base = F.array_position(levels, lookup(rb.RISK, category, F.lit("medium"))).cast("int")
     n = F.size(relevant_labels(labels, category))
-    settled = has_strong(labels, category) | (n >= 2)
-    after_labels = F.when(n == 1, downgrade(base)).otherwise(base)
     missing_flow = ~has_flow & ~category.isin(rb.SELF_CONTAINED)
-    return F.when(settled, F.lit("low")).otherwise(
-        F.when(missing_flow, downgrade(after_labels)).otherwise(after_labels)
+    steps = F.least(n, F.lit(1)) + missing_flow.cast("int")
+    lowest = F.lit(len(rb.RISK_ORDER))
+    return F.element_at(
+        levels, F.when((n >= 2) | has_strong(labels, category), lowest).otherwise(F.least(lowest, base + steps))
     )
 
 
@@ -269,9 +256,9 @@ def scan(functions: DataFrame, *, keep_syntax: bool = False) -> DataFrame:
     df = extract.with_syntax(df)
     if "function_name" not in given:
         df = df.withColumn("function_name", F.when(F.col("fn_name") == "", "unknown").otherwise(F.col("fn_name")))
-    df = df.withColumn("_sink", pick_sink(F.col("calls"), F.col("language")))
-    has_sink = F.col("_sink").isNotNull()
     df = flow(source_variables(df))
+    df = settle(df, _sink=pick_sink(F.col("calls"), F.col("language")), flow=F.col("flow"))
+    has_sink = F.col("_sink").isNotNull()
     df = df.withColumn(
         "sanitizers",
         F.when(has_sink, sanitizer_labels(F.col("code"), F.col("language"))).otherwise(
@@ -298,7 +285,7 @@ def scan(functions: DataFrame, *, keep_syntax: bool = False) -> DataFrame:
         .when(has_flow, ast_confidence(F.col("flow.var"), F.col("sanitizers")))
         .otherwise(F.lit(0.3)),
     }
-    df = df.withColumns(columns)
+    df = settle(df, sanitizers=F.col("sanitizers"), **columns)
     drop = ["_sink"] if keep_syntax else ["_sink", "flow", "sources", "calls", "assigns", "params", "body", "fn_name"]
     return df.drop(*drop)
 
