@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.functions import rulebook as rb
-from auditlake.functions.columns import jvm
+from auditlake.functions.columns import settle
 from auditlake.operators import cwe, extract, retrieval, static_scan, windows
 from auditlake.operators import requests as rq
+from auditlake.session import spread
 
 _CODE = derived.cte(derived.CODE)
 _SYN = f"WITH {sq.SYNTAX}"
-_NL = "chr(10)"
 
 
 def code(spark, sf):
-    return derived.derive(spark, sf, derived.CODE)
+    return spread(derived.derive(spark, sf, derived.CODE))
 
 
 def slices(spark, sf):
@@ -82,12 +82,6 @@ def call_arguments(spark, sf):
     return per.groupBy("ident").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("functions"))
 
 
-_FILES = f"""
-SELECT file, language, string_agg(code, chr(10) || chr(10) ORDER BY row_ord) AS content
-FROM (SELECT *, regexp_replace(file, '\\.', '_' || user_id || '_' || CAST(floor(row_ord / 300) AS BIGINT) || '.') AS f2 FROM {_CODE} c) d
-"""
-
-
 @query(
     "file_functions",
     f"""
@@ -200,7 +194,7 @@ def rule_findings_long(spark, sf):
 )
 def sink_pick(spark, sf):
     df = extract.with_syntax(code(spark, sf))
-    df = df.withColumn("s", static_scan.pick_sink(F.col("calls"), F.col("language"))).filter("s is not null")
+    df = settle(df, s=static_scan.pick_sink(F.col("calls"), F.col("language"))).filter("s is not null")
     return df.select("sample_id", F.col("s.function").alias("sink_type"), F.col("s.category").alias("sink_category"))
 
 

@@ -187,9 +187,9 @@ def source_variables(df: DataFrame, language: str = "language") -> DataFrame:
         )
         return F.try_element_at(pairs, F.lit(1))
 
-    return out.withColumn(
-        "sources",
-        F.when(
+    return settle(
+        out,
+        sources=F.when(
             F.size("_direct") > 0,
             F.aggregate(
                 "assigns", F.col("_direct"),
@@ -227,9 +227,9 @@ def flow(df: DataFrame, language: str = "language") -> DataFrame:
         .otherwise("direct")
     )
     chosen = F.coalesce(F.col("_hit"), first)
-    return out.withColumn(
-        "flow",
-        F.when(
+    return settle(
+        out,
+        flow=F.when(
             F.col("_call").isNotNull() & first.isNotNull(),
             F.struct(
                 chosen["var"].alias("var"), chosen["type"].alias("type"),
@@ -257,7 +257,7 @@ def scan(functions: DataFrame, *, keep_syntax: bool = False) -> DataFrame:
     if "function_name" not in given:
         df = df.withColumn("function_name", F.when(F.col("fn_name") == "", "unknown").otherwise(F.col("fn_name")))
     df = flow(source_variables(df))
-    df = settle(df, _sink=pick_sink(F.col("calls"), F.col("language")), flow=F.col("flow"))
+    df = settle(df, _sink=pick_sink(F.col("calls"), F.col("language")))
     has_sink = F.col("_sink").isNotNull()
     df = df.withColumn(
         "sanitizers",

@@ -52,3 +52,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when the frame has no more than ``rows`` rows; stops reading beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Small inputs over all cores, for row work that costs far more than its bytes.
+
+    Inputs that already have as many partitions as cores (any large table) are
+    left alone, so nothing large is ever shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
