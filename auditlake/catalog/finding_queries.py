@@ -244,8 +244,8 @@ def dynamic_window(spark, sf):
 @query(
     "requested_window",
     sq.SCAN + """,
-w AS (SELECT sample_id, sink_type, code, 1 + row_ord % 6 AS at, CASE WHEN user_id % 2 = 0 THEN 'iris' ELSE 'medium' END AS s, string_split(code, chr(10)) AS ls FROM slices)
-SELECT sample_id, CASE WHEN s = 'iris' AND sink_type IS NOT NULL THEN array_to_string(ls[greatest(0, at - 1 - 1) + 1 : least(len(ls), at + 1)], chr(10)) ELSE code END AS code_window
+w AS (SELECT sample_id, sink_type, code, 1 + row_ord % 6 AS ln, CASE WHEN user_id % 2 = 0 THEN 'iris' ELSE 'medium' END AS s, string_split(code, chr(10)) AS ls FROM slices)
+SELECT sample_id, CASE WHEN s = 'iris' AND sink_type IS NOT NULL THEN array_to_string(ls[greatest(0, ln - 1 - 1) + 1 : least(len(ls), ln + 1)], chr(10)) ELSE code END AS code_window
 FROM w""",
 )
 def requested_window(spark, sf):
