@@ -309,10 +309,10 @@ def likely_safe(spark, sf):
     )
 
 
-_ARITH = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(code, {sq.lit(p)}) THEN {sq.lit(n)} END" for p, n in rb.ARITHMETIC_RULES) + ")"
+ARITHMETIC = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(code, {sq.lit(p)}) THEN {sq.lit(n)} END" for p, n in rb.ARITHMETIC_RULES) + ")"
 
 
-def _safe_usage_sql() -> str:
+def safe_usage_sql() -> str:
     called = {f: f"regexp_matches(code, {sq.lit(rf'\b{f}\s*\(')})" for f in rb.DANGEROUS_CALLS}
     excuse = {}
     for f in rb.DANGEROUS_CALLS:
@@ -333,7 +333,7 @@ def _safe_usage_sql() -> str:
 @query(
     "legacy_checks",
     sq.SCAN + f"""
-SELECT sample_id, sink_type, {_ARITH} AS arithmetic_label, {_safe_usage_sql()} AS safe_usage,
+SELECT sample_id, sink_type, {ARITHMETIC} AS arithmetic_label, {safe_usage_sql()} AS safe_usage,
        regexp_matches(code, {sq.lit(chr(92) + "b(" + "|".join(rb.SAMPLING_SINK_NAMES) + ")" + chr(92) + "s*" + chr(92) + "(")}) AS sampled,
        {sq.case_map(rb.CWE_BY_SINK, "sink_type")} AS reference_cwe
 FROM slices""",

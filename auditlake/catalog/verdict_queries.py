@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
-from auditlake.catalog.scan_queries import slices
+from auditlake.catalog.scan_queries import ARITHMETIC, safe_usage_sql, slices
 from auditlake.functions import rulebook as rb
 from auditlake.operators import cwe, postprocess as pp, responses as rs, votes as vt
 from auditlake.plans import triage
@@ -471,7 +471,15 @@ def _legacy_rows(spark, sf):
 
 @query(
     "legacy_overrides",
-    None,
+    sq.SCAN + f""",
+r AS (SELECT *, CASE WHEN label THEN 'vuln' ELSE 'safe' END AS v0, CAST(row_ord % 10 AS DOUBLE) / 10 AS c0, {safe_usage_sql()} AS safe_usage, {ARITHMETIC} AS arith FROM slices),
+s AS (SELECT *, (v0 = 'vuln' AND sink_type IS NOT NULL AND safe_usage) AS h1 FROM r),
+t AS (SELECT *, (arith IS NOT NULL AND (v0 = 'safe' OR h1)) AS h2 FROM s)
+SELECT sample_id, CASE WHEN h2 THEN 'vuln' WHEN h1 THEN 'safe' ELSE v0 END AS final_verdict,
+       'llm_single_pass' || CASE WHEN h1 THEN '_safe_pattern_override' ELSE '' END || CASE WHEN h2 THEN '_numeric_vuln_override' ELSE '' END AS final_method,
+       round(CASE WHEN h2 THEN 0.85::DOUBLE WHEN h1 THEN greatest(c0 - 0.2::DOUBLE, 0.3::DOUBLE) ELSE c0 END, 4) AS final_confidence,
+       CASE WHEN h2 THEN 'CWE-190-' || arith END AS vulnerability_type
+FROM t""",
 )
 def legacy_overrides(spark, sf):
     rows = _legacy_rows(spark, sf)

@@ -91,7 +91,9 @@ def confidence_vote(votes: DataFrame, *, threshold: float = 0.5) -> DataFrame:
         F.sum(conf).alias("total_weight"),
         F.max(F.coalesce(F.col("confidence"), F.lit(0.0))).alias("confidence"),
     )
-    wins = (F.col("total_weight") > 0) & (F.col("vuln_weight") / F.col("total_weight") >= threshold)
+    # Rounded, so the order in which the partial sums meet cannot flip a tie.
+    share = F.round(F.col("vuln_weight") / F.col("total_weight"), 9)
+    wins = (F.col("total_weight") > 0) & (share >= threshold)
     return tally.withColumn("verdict", F.when(wins, "confirmed_vuln").otherwise("false_positive"))
 
 
