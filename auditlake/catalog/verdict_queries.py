@@ -10,13 +10,14 @@ from auditlake.catalog.scan_queries import ARITHMETIC, safe_usage_sql, slices
 from auditlake.functions import rulebook as rb
 from auditlake.operators import cwe, postprocess as pp, responses as rs, votes as vt
 from auditlake.plans import triage
+from auditlake.session import spread
 
 _R = derived.cte(derived.RESPONSES)
 _V = derived.cte(derived.VOTES)
 
 
 def response_rows(spark, sf):
-    return derived.derive(spark, sf, derived.RESPONSES)
+    return spread(derived.derive(spark, sf, derived.RESPONSES))
 
 
 def vote_rows(spark, sf):

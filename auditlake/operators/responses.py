@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.columns import clamp
+from auditlake.functions.columns import clamp, settle
 from auditlake.schemas import VERDICT_JSON
 
 _CLOSED_THINK = r"<think>[\s\S]*?</think>"
@@ -59,27 +59,29 @@ def parse(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``json`` (object text or null) and ``parsed_from``."""
     df = responses.withColumn("_t", clean(F.coalesce(F.col(raw), F.lit(""))))
     t = F.col("_t")
-    fenced = F.transform(F.regexp_extract_all(t, F.lit(_FENCE), 1), lambda x: _rung("fenced", x))
-    unclosed = F.filter(
-        F.array(_rung("open_fence", F.regexp_extract(F.when(t.startswith("```"), t).otherwise(""), _BRACES, 1))),
-        lambda r: r["text"] != "",
-    )
     fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?\s*", ""), r"\s*```\s*$", ""), _STRAY_QUOTE, "$1,")
     fixed_object = F.regexp_extract(fixed, _BRACES, 1)
     pairs = F.regexp_extract(fixed, _COMPLETE_PAIRS, 1)
-    rest = F.array(
-        _rung("whole", t),
-        _rung("braces", F.regexp_extract(t, _BRACES, 1)),
-        _rung("stray_quote", F.when(fixed_object == "", fixed).otherwise(fixed_object)),
-        _rung("salvaged", F.when(pairs != "", F.concat(F.regexp_replace(pairs, r",$", ""), F.lit("}"))).otherwise("")),
-    )
-    df = df.withColumn("_ladder", F.concat(fenced, unclosed, rest))
-    df = df.withColumn("_hit", F.try_element_at(F.filter("_ladder", lambda r: is_object(r["text"])), F.lit(1)))
-    return (
-        df.withColumn("json", F.col("_hit.text"))
-        .withColumn("parsed_from", F.coalesce("_hit.rung", F.lit("quarantine")))
-        .drop("_t", "_ladder", "_hit")
+
+    def first_object(rungs: Column) -> Column:
+        return F.try_element_at(F.filter(rungs, lambda r: is_object(r["text"])), F.lit(1))
+
+    def one(name: str, text: Column) -> Column:
+        return first_object(F.array(_rung(name, text)))
+
+    # coalesce stops at the first rung that reads, so later rungs cost nothing.
+    hit = F.coalesce(
+        first_object(F.transform(F.regexp_extract_all(t, F.lit(_FENCE), 1), lambda x: _rung("fenced", x))),
+        one("open_fence", F.when(t.startswith("```"), F.regexp_extract(t, _BRACES, 1)).otherwise("")),
+        one("whole", t),
+        one("braces", F.regexp_extract(t, _BRACES, 1)),
+        one("stray_quote", F.when(fixed_object == "", fixed).otherwise(fixed_object)),
+        one("salvaged", F.when(pairs != "", F.concat(F.regexp_replace(pairs, r",$", ""), F.lit("}"))).otherwise("")),
     )
+    df = df.withColumn("_hit", hit)
+    return settle(
+        df.drop("_t"), json=F.col("_hit.text"), parsed_from=F.coalesce("_hit.rung", F.lit("quarantine"))
+    ).drop("_hit")
 
 
 def _truth(text: Column, default: bool) -> Column:
