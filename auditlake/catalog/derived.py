@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.catalog.registry import table
+from auditlake.session import spread
 
 _SPECIAL = {"\n": "chr(10)", "{": "chr(123)", "}": "chr(125)", "'": "chr(39)", "\\": "chr(92)"}
 
@@ -298,9 +299,13 @@ _TABLES = re.compile(r"\{(\w+)\}")
 
 
 def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """The derived table in Spark."""
+    """The derived table in Spark.
+
+    A source table that comes as fewer partitions than there are cores (a test
+    file) is spread first, since what is derived from a row is then parsed.
+    """
     names = set(_TABLES.findall(sql))
-    return spark.sql(sql, **{n: table(spark, sf, n) for n in names})
+    return spark.sql(sql, **{n: spread(table(spark, sf, n)) for n in names})
 
 
 def cte(sql: str) -> str:

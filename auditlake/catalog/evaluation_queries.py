@@ -9,13 +9,14 @@ from auditlake.catalog.registry import query, table
 from auditlake.catalog.scan_queries import TEXT_RULES, code, slices
 from auditlake.functions import rulebook as rb
 from auditlake.operators import cwe, evaluate as ev, history as hs, responses as rs, sampling as sp, static_scan, votes as vt
+from auditlake.session import spread
 from auditlake.sources import readers
 
 
 def _text_predictions(spark, sf):
     """Documents a text rule matches, as predictions."""
     labels = static_scan.rule_labels(F.col("text"), TEXT_RULES)
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("sample_id"), "lang", "source", "n_chars", (F.size(labels) > 0).alias("pred")
     )
 
@@ -110,7 +111,7 @@ c AS (SELECT CASE WHEN n_chars < 500 THEN '<500' WHEN n_chars < 1000 THEN '500-1
 SELECT *, {_SCORES} FROM c""",
 )
 def metrics_by_length(spark, sf):
-    sinks = table(spark, sf, "documents").select(
+    sinks = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").cast("string").alias("sample_id"), F.col("text").contains("http").alias("has_sink"), "n_chars",
         (F.size(static_scan.rule_labels(F.col("text"), TEXT_RULES)) > 0).alias("pred"),
     )

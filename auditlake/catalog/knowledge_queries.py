@@ -9,6 +9,7 @@ from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.functions import rulebook as rb
 from auditlake.operators import dependencies as dp, knowledge as kb, retrieval as rt
+from auditlake.session import spread
 from auditlake.sources import readers
 
 # --- feeds --------------------------------------------------------------------
@@ -155,7 +156,7 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 def _kb(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("document"), "lang")
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("document"), "lang")
     return d.join(e, "doc_id")
 
 
@@ -214,7 +215,7 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM (
   SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest([lower(w) FOR w IN regexp_extract_all(text, '[a-zA-Z_][\\p{L}\\p{N}\\p{M}_]+')]) AS term FROM documents) x GROUP BY ALL) y GROUP BY term""",
 )
 def corpus_statistics(spark, sf):
-    return rt.corpus_statistics(table(spark, sf, "documents").select("doc_id", F.col("text").alias("document")))
+    return rt.corpus_statistics(spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("document")))
 
 
 # --- dependencies -------------------------------------------------------------------

@@ -17,7 +17,7 @@ _SYN = f"WITH {sq.SYNTAX}"
 
 
 def code(spark, sf):
-    return spread(derived.derive(spark, sf, derived.CODE))
+    return derived.derive(spark, sf, derived.CODE)
 
 
 def slices(spark, sf):
@@ -172,7 +172,7 @@ _TEXT_LIST = "list_filter([" + ", ".join(
 )
 def rule_labels(spark, sf):
     labels = static_scan.rule_labels(F.col("text"), TEXT_RULES)
-    docs = table(spark, sf, "documents").select("doc_id", labels.alias("l"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", labels.alias("l"))
     return docs.select("doc_id", F.array_join("l", "; ").alias("labels"), F.size("l").alias("n"))
 
 
@@ -184,7 +184,7 @@ FROM (SELECT lang, n_chars, unnest({_TEXT_LIST}) AS label FROM documents) d GROU
 )
 def rule_findings_long(spark, sf):
     labels = static_scan.rule_labels(F.col("text"), TEXT_RULES)
-    rows = table(spark, sf, "documents").select("lang", "n_chars", F.explode(labels).alias("label"))
+    rows = spread(table(spark, sf, "documents")).select("lang", "n_chars", F.explode(labels).alias("label"))
     return rows.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 

@@ -122,11 +122,11 @@ def _top_blocks(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str, b
     d_blocks = max(1, math.ceil(d.count() / block_rows))
     q_side = q.select(
         "*", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1))).cast("bigint").alias("db"),
+        F.explode(F.sequence(F.lit(0), F.lit(d_blocks - 1)).cast("array<bigint>")).alias("db"),
     )
     d_side = d.select(
         "*", F.pmod(F.xxhash64("doc_id"), F.lit(d_blocks)).alias("db"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")).alias("qb"),
     )
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
