@@ -162,12 +162,14 @@ FROM ran""",
 )
 def tool_report(spark, sf):
     s = slices(spark, sf)
-    flagged = s.filter("label")
     tool = F.when(F.col("language") == "c", "codeql").otherwise("semgrep")
-    ext = flagged.select("sample_id", tool.alias("tool"), F.lit("path_traversal").alias("type")).unionByName(
-        flagged.filter("language = 'python'").select("sample_id", F.lit("semgrep").alias("tool"), F.col("sink_category").alias("type"))
+    reported = F.array_compact(
+        F.array(
+            F.struct(tool.alias("tool"), F.lit("path_traversal").alias("type")),
+            F.when(F.col("language") == "python", F.struct(F.lit("semgrep").alias("tool"), F.col("sink_category").alias("type"))),
+        )
     )
-    ext = ext.withColumns({"line": F.lit(1), "severity": F.lit("warning"), "message": F.lit("")})
+    ext = s.filter("label").select("sample_id", F.explode(reported).alias("f")).select("sample_id", "f.*")
     r = fo.tool_reports(s, ext)
     gaps = F.size(F.array_intersect("blind_spots", F.array(*[F.lit(x) for x in rb.UNIVERSAL_BLIND_SPOTS])))
     return r.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import rulebook as rb
-from auditlake.functions.columns import lookup, str_array
+from auditlake.functions.columns import lookup, settle, str_array
 from auditlake.operators.extract import wrapped_name
 
 SHAPE = ["sample_id", "tool", "type", "line", "column", "severity", "message"]
@@ -51,48 +51,56 @@ def per_sample_types(findings: DataFrame) -> DataFrame:
     )
 
 
-def consensus(findings: DataFrame) -> DataFrame:
-    """How far the tools agree on a sample.
-
-    Levels: high (two or more tools, some type repeated), conflict (two or more
-    tools, nothing repeated), medium (one tool, several findings), low.
-    The modal type breaks ties alphabetically; ``cross_tool`` says whether a
-    repeated type comes from different tools.
-    """
-    agg = (
-        per_sample_types(findings)
-        .groupBy("sample_id")
-        .agg(
-            F.sum("n").alias("finding_count"),
-            F.count(F.lit(1)).alias("type_count"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("tools")))).alias("tools"),
-            F.array_sort(F.collect_list("type")).alias("types"),
-            F.min(F.struct((-F.col("n")).alias("neg"), F.col("type").alias("type"))).alias("_modal"),
-            F.bool_or(F.size("tools") >= 2).alias("cross_tool"),
-        )
+def type_profile(findings: DataFrame) -> DataFrame:
+    """(sample_id, profile): array<struct<type,n,tools>>, one entry per type of the sample."""
+    return per_sample_types(findings).groupBy("sample_id").agg(
+        F.collect_list(F.struct("type", "n", "tools")).alias("profile")
     )
-    tool_count = F.size("tools")
-    agree = (F.col("finding_count") >= 2) & (F.col("type_count") < F.col("finding_count"))
+
+
+def _agreement(profile: Column) -> dict[str, Column]:
+    """Consensus columns of a profile."""
+    count = F.aggregate(profile, F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"])
+    tools = F.array_sort(F.array_distinct(F.flatten(F.transform(profile, lambda p: p["tools"]))))
+    types = F.array_sort(F.transform(profile, lambda p: p["type"]))
+    modal = F.array_min(F.transform(profile, lambda p: F.struct((-p["n"]).alias("neg"), p["type"].alias("type"))))
+    agree = (count >= 2) & (F.size(profile) < count)
     level = (
-        F.when((tool_count >= 2) & agree, "high")
-        .when((tool_count == 1) & (F.col("finding_count") >= 2), "medium")
-        .when((tool_count >= 2) & ~agree, "conflict")
+        F.when(count == 0, "no_signal")
+        .when((F.size(tools) >= 2) & agree, "high")
+        .when((F.size(tools) == 1) & (count >= 2), "medium")
+        .when(F.size(tools) >= 2, "conflict")
         .otherwise("low")
     )
     detail = (
-        F.when(level == "high", F.concat(tool_count.cast("string"), F.lit(" tools agree on sink area")))
+        F.when(level == "no_signal", "")
+        .when(level == "high", F.concat(F.size(tools).cast("string"), F.lit(" tools agree on sink area")))
         .when(level == "medium", "single tool with multiple findings")
-        .when(level == "conflict", F.concat(F.lit("tools disagree: "), F.array_join("types", ", ")))
+        .when(level == "conflict", F.concat(F.lit("tools disagree: "), F.array_join(types, ", ")))
         .otherwise("single finding or weak signal")
     )
-    return agg.select(
-        "sample_id", "finding_count", "tools", "types",
-        tool_count.alias("tool_count"),
-        level.alias("level"),
-        F.when(level != "conflict", F.col("_modal.type")).alias("agreed_area"),
-        detail.alias("detail"),
-        "cross_tool",
-    )
+    return {
+        "finding_count": count,
+        "tools": tools,
+        "types": types,
+        "tool_count": F.size(tools),
+        "level": level,
+        "agreed_area": F.when(level != "conflict", modal["type"]),
+        "detail": detail,
+        "cross_tool": F.exists(profile, lambda p: F.size(p["tools"]) >= 2),
+    }
+
+
+def consensus(findings: DataFrame) -> DataFrame:
+    """How far the tools agree on a sample.
+
+    Levels: high (two or more tools, some type repeated), conflict (two or more
+    tools, nothing repeated), medium (one tool, several findings), low.
+    The modal type breaks ties alphabetically; ``cross_tool`` says whether a
+    repeated type comes from different tools.
+    """
+    rows = type_profile(findings)
+    return rows.select("sample_id", *[c.alias(n) for n, c in _agreement(F.col("profile")).items()])
 
 
 def covered_classes(tools_run: Column, found_types: Column) -> Column:
@@ -120,34 +128,47 @@ def tool_reports(slices: DataFrame, findings: DataFrame, *, tools: list[str] | N
     """One report per slice: tools run and missing, consensus, blind spots.
 
     ``findings`` are those of the external tools; the rule scan's own finding
-    is added here.  ``tools`` names the external tools that were run at all
-    (default: every tool the findings mention for the sample).
+    is added inside the row, so the slices are read once.  ``tools`` names the
+    external tools that were run at all (default: those with findings on the
+    sample).
     """
-    known = ["sample_id", "tool", "type", "line", "severity", "message"]
-    everything = unify(sink_findings(slices), findings.select(*[c for c in known if c in findings.columns]))
-    con = consensus(everything)
     empty = F.array().cast("array<string>")
-    ran_external = str_array(tools) if tools is not None else F.coalesce(F.col("tools"), empty)
-    rows = slices.join(con, "sample_id", "left")
-    tools_run = F.array_distinct(F.concat(F.array(F.lit("codeslicer")), F.array_sort(ran_external)))
+    shape = "array<struct<type:string,n:bigint,tools:array<string>>>"
+    own = F.when(
+        F.col("sink_type").isNotNull(),
+        F.array(
+            F.struct(
+                F.col("sink_category").alias("type"), F.lit(1).cast("bigint").alias("n"),
+                F.array(F.lit("codeslicer")).alias("tools"),
+            )
+        ),
+    ).otherwise(F.array().cast(shape))
+    rows = slices.join(type_profile(findings), "sample_id", "left")
+    rows = rows.withColumn("_all", F.concat(F.coalesce("profile", F.array().cast(shape)), own))
+
+    def merged(t: Column) -> Column:
+        same = F.filter("_all", lambda p: p["type"] == t)
+        return F.struct(
+            t.alias("type"),
+            F.aggregate(same, F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]).alias("n"),
+            F.array_distinct(F.flatten(F.transform(same, lambda p: p["tools"]))).alias("tools"),
+        )
+
+    rows = rows.withColumn("_profile", F.transform(F.array_distinct(F.transform("_all", lambda p: p["type"])), merged))
+    rows = settle(rows, con=F.struct(*[c.alias(n) for n, c in _agreement(F.col("_profile")).items()]))
+    external = str_array(tools) if tools is not None else F.array_except("con.tools", F.array(F.lit("codeslicer")))
+    rows = rows.withColumn("tools_run", F.array_distinct(F.concat(F.array(F.lit("codeslicer")), F.array_sort(external))))
     expected = lookup(rb.EXPECTED_TOOL, F.col("language"))
-    rows = rows.withColumn("tools_run", tools_run)
     failed = F.when(
         expected.isNotNull() & ~F.array_contains("tools_run", expected),
         F.array(F.concat(expected, F.lit(" (not run)"))),
     ).otherwise(empty)
     return rows.select(
-        "sample_id", "language",
-        "tools_run",
+        "sample_id", "language", "tools_run",
         failed.alias("tools_failed"),
-        F.coalesce("finding_count", F.lit(0)).cast("bigint").alias("finding_count"),
-        F.struct(
-            F.coalesce("level", F.lit("no_signal")).alias("level"),
-            F.col("agreed_area"),
-            F.coalesce("tool_count", F.lit(0)).alias("tool_count"),
-            F.coalesce("detail", F.lit("")).alias("detail"),
-        ).alias("consensus"),
-        blind_spots(F.col("tools_run"), F.coalesce("types", empty)).alias("blind_spots"),
+        F.col("con.finding_count").alias("finding_count"),
+        F.struct("con.level", "con.agreed_area", "con.tool_count", "con.detail").alias("consensus"),
+        blind_spots(F.col("tools_run"), F.col("con.types")).alias("blind_spots"),
         F.coalesce("sink_type", F.lit("none")).alias("sink"),
         "sink_category", "risk_level",
         F.array_join("sanitizers", "; ").alias("sanitization_detail"),

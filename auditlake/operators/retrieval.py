@@ -145,13 +145,22 @@ def tokens(text: Column) -> Column:
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """term, df, total: document frequency and occurrences over all documents.
 
-    Each document contributes one row per distinct term, combined before the
-    shuffle; a term present in every document is one partial row per task.
+    A document's words are sorted inside its row, where the first of equal
+    words marks the document; one aggregate by term then gives both numbers, and
+    a term of every document is one partial row per task.
     """
-    per_doc = docs.select(F.explode(tokens(F.col("document"))).alias("term"), "doc_id").groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
+    words = docs.select(F.array_sort(tokens(F.col("document"))).alias("w"))
+    marked = F.transform(
+        "w",
+        lambda x, i: F.struct(
+            x.alias("term"),
+            F.when((i > 0) & F.coalesce(F.try_element_at(F.col("w"), F.when(i > 0, i).otherwise(F.lit(1))) == x, F.lit(False)), 0)
+            .otherwise(1).alias("opens"),
+        ),
+    )
+    return words.select(F.explode(marked).alias("t")).groupBy("t.term").agg(
+        F.sum("t.opens").alias("df"), F.count(F.lit(1)).alias("total")
     )
-    return per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
 
 def bm25(pools: DataFrame, queries: DataFrame, docs: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:

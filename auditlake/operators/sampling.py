@@ -1,8 +1,9 @@
 """Deterministic samples and first-wins deduplication.
 
 Order always comes from a column of the data.  ``row_number() <= n`` is pruned
-on the map side (window group limit), so a class that holds most rows sends
-only n rows per task over the network.
+on the map side for small n (window group limit), so a class that holds most
+rows sends only n rows per task over the network.  For larger n the same is
+done in two steps over salted groups.
 """
 
 from __future__ import annotations
@@ -10,13 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Up to here Spark itself prunes ranks before the shuffle.
+PRUNED_UP_TO = 1000
+SALTS = 64
 
-def first_n(df: DataFrame, by: list[str | Column], order: list[str | Column], n: int | Column) -> DataFrame:
-    """First ``n`` rows of every group in the given order (which must be unique)."""
+
+def _ranked(df: DataFrame, by: list[str | Column], order: list[str | Column], n: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def first_n(df: DataFrame, by: list[str | Column], order: list[str | Column], n: int) -> DataFrame:
+    """First ``n`` rows of every group in the given order (which must be unique).
+
+    The first n of a group are among the first n of each of its salted parts,
+    so a group of any size is cut in parallel before it is ordered as a whole.
+    """
+    if n > PRUNED_UP_TO:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        df = _ranked(salted, [*by, "_salt"], order, n).drop("_salt")
+    return _ranked(df, by, order, n)
+
+
 def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     return first_n(df, keys, order, 1)
 

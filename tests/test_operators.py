@@ -122,6 +122,14 @@ def test_keep_first_is_idempotent(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, sp.keep_first(once, ["k"], ["o"]).collect())) == [(i, i) for i in range(7)]
 
 
+def test_large_first_n_of_a_dominant_class(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), "id")
+    got = sp.first_n(df, ["k"], ["id"], 1500)
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(r[1] for r in rows if r[0] == "a") == [3 * i for i in range(1500)]
+    assert sorted(r[1] for r in rows if r[0] == "b") == [i for i in range(9000) if i % 3][:1500]
+
+
 def test_consensus_levels(spark):
     rows = [("h", "a", "x"), ("h", "b", "x"), ("c", "a", "x"), ("c", "b", "y"), ("m", "a", "x"), ("m", "a", "y"), ("l", "a", "x")]
     got = {r.sample_id: (r.level, r.agreed_area) for r in fo.consensus(spark.createDataFrame(rows, "sample_id string, tool string, type string")).collect()}
