@@ -423,3 +423,28 @@ def static_baselines(spark, sf):
     )
     long = s.select("label", F.explode(configs).alias("c")).select("label", "c.*")
     return ev.metrics(long, "config")
+
+
+@query(
+    "confusion_without_skipped",
+    f"""
+WITH r AS (SELECT o_orderstatus = 'F' AS label, CASE o_custkey % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'vuln' WHEN 2 THEN 'vuln' ELSE 'safe' END AS verdict FROM orders),
+pairs AS (SELECT label, verdict = 'vuln' AS pred FROM r WHERE verdict <> 'skip'), c AS (SELECT {_COUNTS} FROM pairs) SELECT *, {_SCORES} FROM c""",
+)
+def confusion_without_skipped(spark, sf):
+    m = F.col("o_custkey") % 5
+    rows = table(spark, sf, "orders").select(
+        (F.col("o_orderstatus") == "F").alias("label"), F.when(m == 0, "skip").when(m.isin(1, 2), "vuln").otherwise("safe").alias("verdict")
+    )
+    return ev.metrics(ev.without_skipped(rows).withColumn("pred", F.col("verdict") == "vuln"))
+
+
+@query(
+    "representative_slice",
+    f"""
+SELECT sample_id, line, tool, type FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY line, tool, type, message, severity) AS rn FROM {derived.cte(derived.FINDINGS)} f) x WHERE rn = 1""",
+)
+def representative_slice(spark, sf):
+    """The first entry of a sample (by line) stands for it."""
+    f = derived.derive(spark, sf, derived.FINDINGS)
+    return sp.keep_first(f, ["sample_id"], ["line", "tool", "type", "message", "severity"]).select("sample_id", "line", "tool", "type")

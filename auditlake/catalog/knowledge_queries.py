@@ -367,3 +367,13 @@ def setup_pairs(spark, sf):
 )
 def pom_dependencies(spark, sf):
     return readers.pom_dependencies(derived.derive(spark, sf, _POM))
+
+
+@query(
+    "prompt_cases",
+    f"""WITH {_POOL},
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS r FROM s WHERE sim >= 0.05) x WHERE r <= 3)
+SELECT n.query_id, string_agg(k.lang || ': ' || substr(k.document, 1, 300), chr(10) ORDER BY n.r) AS cases FROM near n JOIN kbv k ON k.doc_id = n.doc_id GROUP BY n.query_id""",
+)
+def prompt_cases(spark, sf):
+    return rt.prompt_cases(_items(spark, sf), _kb(spark, sf).withColumnRenamed("lang", "cwe_id"), threshold=0.05)

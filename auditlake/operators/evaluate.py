@@ -155,3 +155,8 @@ def outcome(kind: str) -> Column:
     return {
         "all": F.lit(True), "correct": t == p, "wrong": t != p, "FN": t & ~p, "FP": ~t & p,
     }[kind]
+
+
+def without_skipped(results: DataFrame, verdict: str = "verdict") -> DataFrame:
+    """Rows that were answered at all (``skip`` rows do not count in metrics)."""
+    return results.filter(~F.col(verdict).eqNullSafe(F.lit("skip")))

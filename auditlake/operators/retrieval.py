@@ -301,3 +301,17 @@ def few_shot(ranked: DataFrame, *, examples: int = 2, chars: int = 400, rank: st
             F.transform(F.array_sort(F.collect_list(F.struct("_r", entry.alias("t")))), lambda x: x["t"]), "\n---\n"
         ).alias("examples")
     )
+
+
+def prompt_cases(queries: DataFrame, docs: DataFrame, *, k: int = 3, threshold: float = 0.35, chars: int = 300) -> DataFrame:
+    """(query_id, cases): up to ``k`` similar documents as lines ``cwe: text`` for a prompt.
+
+    ``docs(doc_id, vector, document, cwe_id)``; the text is cut because the
+    prompt is, the search runs over everything.
+    """
+    hits = top_k(queries, docs, k=k, threshold=threshold)
+    line = F.concat(F.coalesce("cwe_id", F.lit("")), F.lit(": "), F.substring("document", 1, chars))
+    rows = hits.join(docs.select("doc_id", "document", "cwe_id"), "doc_id")
+    return rows.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda x: x["t"]), "\n").alias("cases")
+    )

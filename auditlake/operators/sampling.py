@@ -28,7 +28,8 @@ def first_n(df: DataFrame, by: list[str | Column], order: list[str | Column], n:
     so a group of any size is cut in parallel before it is ordered as a whole.
     """
     if n > PRUNED_UP_TO:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+        spread_by = [c for c in order if isinstance(c, str)] or df.columns
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
         df = _ranked(salted, [*by, "_salt"], order, n).drop("_salt")
     return _ranked(df, by, order, n)
 
