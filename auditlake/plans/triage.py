@@ -59,6 +59,27 @@ def _overturn(verdict: Column, method: Column, confidence: Column, third: Column
     )
 
 
+def _field(df: DataFrame, answer: str, name: str) -> Column:
+    """Text field of a stage answer, null when the answers do not carry it."""
+    kept = df.schema[answer].dataType.fieldNames() if answer in df.columns else []
+    return F.col(f"{answer}.{name}") if name in kept else F.lit(None).cast("string")
+
+
+def _explain(df: DataFrame, resolved: DataFrame, base: Column) -> DataFrame:
+    """Adds the reasoning behind the verdict and, after an overturn, the reported type."""
+    overturned = F.col("final_method").endswith("_a3_blind_spot")
+    note = F.concat(F.lit(" [A3 BLIND SPOT: "), F.coalesce(_field(df, "a3", "reasoning"), F.lit("")), F.lit("]"))
+    text = F.coalesce(base, F.lit(""))
+    return resolved.withColumns(
+        {
+            "reasoning": F.when(overturned, F.concat(text, note)).otherwise(text),
+            "vulnerability_type": F.when(
+                overturned, F.coalesce(_field(df, "a3", "cwe_type"), F.lit("CWE-UNKNOWN"))
+            ),
+        }
+    )
+
+
 def second_verdict(a2: Column) -> Column:
     """Reviewer 2 in its own vocabulary; an unreadable answer is uncertain."""
     return (
@@ -136,7 +157,9 @@ def resolve_tool_aware(df: DataFrame, *, third_enabled: bool = True) -> DataFram
     calls = F.lit(1) + sum(
         (F.when(F.col(n), 1).otherwise(0) for n in ("needs_verify", "needs_full_scan", "needs_third")), F.lit(0)
     )
-    return df.withColumns({"final_verdict": v, "final_method": m, "final_confidence": c, "llm_calls": calls})
+    out = df.withColumns({"final_verdict": v, "final_method": m, "final_confidence": c, "llm_calls": calls})
+    base = F.when(F.col("needs_full_scan"), _field(df, "fs", "reasoning")).otherwise(_field(df, "a1", "reasoning"))
+    return _explain(df, out, base)
 
 
 def resolve_chain(df: DataFrame, *, second_enabled: bool = True, third_enabled: bool = False) -> DataFrame:
@@ -163,7 +186,8 @@ def resolve_chain(df: DataFrame, *, second_enabled: bool = True, third_enabled:
     )
     v, m, c = _overturn(verdict, method, confidence, F.when(asked3, usable_third(F.col("a3"))))
     calls = F.lit(1) + F.when(asked2, 1).otherwise(0) + F.when(asked3, 1).otherwise(0)
-    return df.withColumns({"final_verdict": v, "final_method": m, "final_confidence": c, "llm_calls": calls})
+    out = df.withColumns({"final_verdict": v, "final_method": m, "final_confidence": c, "llm_calls": calls})
+    return _explain(df, out, _field(df, "a1", "reasoning"))
 
 
 def resolve_single(df: DataFrame) -> DataFrame:

@@ -174,3 +174,18 @@ def test_merge_nearby(spark):
     df = spark.createDataFrame([("s", "CWE-1", x) for x in (1, 3, 5, 9, 9, 11, 20)], "sample_id string, cwe string, line int")
     got = {(r.line_from, r.line_to, r.finding_count) for r in fo.merge_nearby(df).collect()}
     assert got == {(1, 5, 3), (9, 11, 3), (20, 20, 1)}
+
+
+def test_overturn_keeps_both_reasons(spark):
+    from auditlake.plans import triage
+
+    df = spark.sql(
+        """SELECT 's' AS sample_id,
+        named_struct('initial_verdict', 'suspicious', 'window_suggestion', 'iris', 'blind_spot_risk', 'low', 'confidence', 0.6D, 'reasoning', 'first') AS a1,
+        named_struct('verdict', 'safe', 'confidence', 0.8D) AS a2,
+        CAST(NULL AS struct<verdict:string,confidence:double>) AS fs,
+        named_struct('has_vulnerability', true, 'no_findings', false, 'confidence', 0.7D, 'reasoning', 'other area', 'cwe_type', 'CWE-78') AS a3"""
+    )
+    r = triage.resolve_tool_aware(df).collect()[0]
+    assert (r.final_verdict, r.final_method, r.final_confidence, r.llm_calls) == ("vuln", "tool_aware_a2_false_positive_a3_blind_spot", 0.7, 3)
+    assert r.reasoning == "first [A3 BLIND SPOT: other area]" and r.vulnerability_type == "CWE-78"
