@@ -9,7 +9,7 @@ from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.functions import rulebook as rb
 from auditlake.operators import dependencies as dp, knowledge as kb, retrieval as rt
-from auditlake.session import spread
+from auditlake.session import cut_lineage, spread
 from auditlake.sources import readers
 
 # --- feeds --------------------------------------------------------------------
@@ -169,7 +169,7 @@ def _items(spark, sf):
 @query("bm25_pool", f"WITH {_POOL} SELECT query_id, doc_id, rank, round(bm25, 4) AS bm25 FROM bm")
 def bm25_pool(spark, sf):
     q, d = _items(spark, sf), _kb(spark, sf)
-    pool = rt.top_k(q, d, k=10, threshold=0.0)
+    pool = cut_lineage(rt.top_k(q, d, k=10, threshold=0.0))
     return pool.join(rt.bm25(pool, q, d), ["query_id", "doc_id"]).select("query_id", "doc_id", "rank", F.round("bm25", 4).alias("bm25"))
 
 

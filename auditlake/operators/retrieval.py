@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import rulebook as rb
-from auditlake.session import at_most
+from auditlake.session import at_most, cut_lineage
 
 # Broadcast bound: this many query vectors (64 MB at 1024 doubles each).
 MAX_BROADCAST_QUERIES = 8192
@@ -167,7 +167,8 @@ def bm25(pools: DataFrame, queries: DataFrame, docs: DataFrame, *, k1: float = 1
     """BM25 of each query against the documents of its own pool.
 
     ``pools(query_id, doc_id, ...)`` holds a bounded number of candidates per
-    query; statistics are those of the pool.  Text is tokenised once per
+    query and is read several times, so hand in a materialised one (see
+    ``hybrid``); statistics are those of the pool.  Text is tokenised once per
     distinct candidate document and only query terms are carried on.
     """
     pairs = pools.select("query_id", "doc_id")
@@ -178,11 +179,14 @@ def bm25(pools: DataFrame, queries: DataFrame, docs: DataFrame, *, k1: float = 1
     tf = words.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("tf")
     )
-    pool = pairs.join(lengths, "doc_id")
-    stats = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl"))
+    # Pools are bounded (2k per query), so these windows hold few rows each and
+    # spare joining the statistics back.
+    of_query = Window.partitionBy("query_id")
+    pool = pairs.join(lengths, "doc_id").withColumns(
+        {"n": F.count(F.lit(1)).over(of_query), "avgdl": F.avg("doc_len").over(of_query)}
+    )
     hits = pool.join(terms, "query_id").join(tf, ["doc_id", "term"])
-    df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(df, ["query_id", "term"]).join(stats, "query_id")
+    scored = hits.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "term")))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = (
         idf * F.col("tf") * (k1 + 1)
@@ -210,7 +214,8 @@ def hybrid(queries: DataFrame, docs: DataFrame, *, k: int = 5, threshold: float
 
     ``queries(query_id, vector, query_text)``, ``docs(doc_id, vector, document)``.
     """
-    pool = top_k(queries, docs, k=2 * k, threshold=threshold, metric=metric)
+    # 2k rows per query: written once, so the knowledge base is searched once.
+    pool = cut_lineage(top_k(queries, docs, k=2 * k, threshold=threshold, metric=metric))
     scored = bm25(pool, queries, docs)
     return fuse(pool.join(scored, ["query_id", "doc_id"]), k=k)
 
