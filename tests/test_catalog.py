@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from auditlake.catalog import registry
 from tools import check
 
 
@@ -11,14 +12,14 @@ def con(sf):
     return check.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_its_sql_twin(spark, con, sf, name):
     ok, note = check.compare(spark, con, name, sf)
     assert ok, note
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_entry_has_a_stable_schema(spark):
