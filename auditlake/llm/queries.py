@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import best_fit
+from auditlake.llm import best_fit, license_scan, radix_dedup, toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,40 @@ def word_vocabulary() -> str:
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = best_fit.pack(table(spark, sf_dir, "documents"), word_vocabulary(), seq_len=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op2_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest=True)
+
+
+ORACLES["op2_radix_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, CAST(g.n AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
+FROM d JOIN g ON d.t = g.t
+"""
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.aggregate("places", F.lit(0).cast("long"), lambda acc, n: acc + n).alias("n_base"), "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxic_segments.Model:
+    """Learns from all labelled rows but the held-out quarter."""
+    return toxic_segments.fit(docs, labels, learn=F.crc32(F.col("label_id").cast("string")) % 4 != 2)
+
+
+@query
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxic_segments.scored(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").alias("n_segments"),
+    )
