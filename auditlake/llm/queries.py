@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import best_fit, license_scan, radix_dedup, toxic_segments
+from auditlake.llm import best_fit, edit_near_dedup, license_scan, radix_dedup, toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").alias("n_segments"),
     )
+
+
+@query
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
