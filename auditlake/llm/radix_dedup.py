@@ -11,7 +11,8 @@ the few long equal texts need few rounds.
 A round is one counting aggregate (combined before it moves, so a group that
 holds a third of all rows costs one row per task) and one join back against the
 groups of two or more, both sides plain shuffles that adaptive execution splits
-where a group is large.
+where a group is large.  The groups grow with the data, so they are merged and
+never broadcast.
 
 Nulls count as empty texts, and all empty texts are equal.  Of equal texts the
 row with the largest id stays; a null id is the smallest; of repeated rows with
@@ -41,7 +42,7 @@ def equal_groups(rows: DataFrame, over: HandOver) -> DataFrame:
         )
         classes = over.settle(classes.filter("group_size > 1"), f"classes{turn}")
         over_now = F.length("digit") < width
-        turned = split.join(classes, ["grp", "digit"]).select(
+        turned = split.join(classes.hint("merge"), ["grp", "digit"]).select(
             "row_id", "doc_id", F.col("next_grp").alias("grp"), "group_size", "keep_id", over_now.alias("ended"),
             F.when(~over_now, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
         )
