@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import best_fit, edit_near_dedup, license_scan, radix_dedup, toxic_segments
+from auditlake.llm import best_fit, containment, edit_near_dedup, license_scan, radix_dedup, toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -37,5 +37,5 @@ def shingles(word_hashes: np.ndarray, k: int = WORDS) -> np.ndarray:
     k = min(k, n)
     out = np.full(n - k + 1, np.uint64(k))
     for i in range(k):
-        out += mix(word_hashes[i : n - k + 1 + i] + _C[i])  * _C[i]
+        out += word_hashes[i : n - k + 1 + i] * _C[i]
     return mix(out)
