@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import best_fit, containment, context_tree, edit_near_dedup, license_scan, radix_dedup, suffix_dedup, toxic_segments
+from auditlake.llm import best_fit, chat_repair, containment, context_tree, edit_near_dedup, license_scan, radix_dedup, suffix_dedup, token_matrix, toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,16 @@ def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     found = context_tree.scored(table(spark, sf_dir, "documents"), learn)
     return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return token_matrix.packed(table(spark, sf_dir, "documents"), path, pattern, end_id=50_256)
+
+
+@query
+def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
