@@ -196,7 +196,7 @@ def _counted(rows: DataFrame) -> DataFrame:
                     words.update(own)
                     words[END] += 1
                 else:
-                    words.update(dict.fromkeys(own, 0))
+                    words.update(dict.fromkeys([*own, END], 0))
                 for at in range(0, len(data), PART):  # contexts of a later part are the bytes before it
                     codes = runs(data[max(0, at - DEPTH) : at + PART])
                     waiting[int(bool(learn))].append(codes[min(at, DEPTH) :])
