@@ -113,6 +113,19 @@ FROM (
 ) e
 """
 
+# -------------------------------------------------------------- whole files --
+# One function between a class, an old-style definition, a decorator, module code.
+_AROUND = {
+    "python": ("import os\n\nclass K:\n    @wrap(\n        1)\n    def method(self, q):\n        os.system(q)\n\n", "\n\nos.system(X)\n"),
+    "java": ("class A {\n  void run(String d) {\n    readObject(d);\n  }\n", "\n}\n"),
+    "c": ("#include <a.h>\nint old(a, b)\n  char *a; int b;\n{\n  return strcpy(a, b);\n}\n", "\nint last = 1;\n"),
+}
+FILES = f"""
+SELECT concat(file, '/', row_ord) AS file, language, code,
+       CASE language {" ".join(f"WHEN '{k}' THEN {text(a)} || code || {text(b)}" for k, (a, b) in _AROUND.items())} END AS content
+FROM ({CODE}) c0
+"""
+
 # ----------------------------------------------------------------- findings --
 FINDINGS = """
 SELECT CAST(l_orderkey AS VARCHAR(20)) AS sample_id,

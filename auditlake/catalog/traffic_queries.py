@@ -98,13 +98,17 @@ def stream_scan(spark, sf):
     """Functions arriving as files, scanned as they come."""
     arriving = spark.sql(derived.CODE, events=_event_stream(spark, sf))
     out = inc.scan_functions(arriving).select("sample_id", "sink_type", "sink_category", "risk_level", "dataflow_path", "ast_confidence")
-    return inc.run_available(out, "scan")
+    return inc.run_available(out, *inc.fresh_paths(spark, "scan"))
 
 
-@query("stream_request_suppression", "SELECT DISTINCT user_id || ':' || event_type AS request_id FROM events")
+@query(
+    "stream_request_suppression",
+    "SELECT user_id || ':' || event_type AS request_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(1 AS BIGINT) AS asked FROM events GROUP BY ALL",
+)
 def stream_request_suppression(spark, sf):
-    """Repeated requests are asked once while the stream's state holds them."""
+    """A request repeated within its 24-hour window is asked once."""
     asked = _event_stream(spark, sf).select(
         F.concat_ws(":", "user_id", "event_type").alias("request_id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    return inc.run_available(inc.suppress_repeats(asked), "suppress").select("request_id")
+    out = inc.run_available(inc.suppress_repeats(asked), *inc.fresh_paths(spark, "suppress"))
+    return out.groupBy("request_id", F.floor(F.unix_timestamp("window_start") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("asked"))

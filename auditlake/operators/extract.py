@@ -7,11 +7,14 @@ comments and string literals were removed, not that of a syntax tree.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import rulebook as rb
 from auditlake.functions.columns import blank_to_null, lookup
+from auditlake.operators import splitting
+from auditlake.session import known_to_workers
 
 # Words that look like calls but are not.
 KEYWORDS = [
@@ -67,7 +70,13 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(F.translate(path, "\\", "/"), r"([^/]*)$", 1)
 
 
+def place_key(path: Column, function_name: Column, line: Column) -> Column:
+    """Identity of a function in a corpus: full path, name and first line."""
+    return F.concat_ws("#", F.translate(path, "\\", "/"), F.coalesce(function_name, F.lit("")), line.cast("string"))
+
+
 def sample_key(path: Column, function_name: Column) -> Column:
+    """Short key of labelled sets, for evaluation only: many functions of a corpus may share it."""
     return F.concat_ws("#", basename(path), F.coalesce(function_name, F.lit("")))
 
 
@@ -193,59 +202,27 @@ def params_table(df: DataFrame, key: str = "sample_id") -> DataFrame:
     return df.select(key, F.explode("params").alias("ident"))
 
 
-_SPLIT_C = r"(?m)(?=^(?![ \t}#*/])[A-Za-z_][\w\s*<>\[\],.]*?\b[A-Za-z_]\w*\s*\([^;{}]*\)[^;{}()=]*\{)"
-_SPLIT_PY = r"(?m)(?=^(?:async[ \t]+)?def[ \t]+\w+)"
-_SPLIT_JAVA = (
-    r"(?m)(?=^[ \t]*(?:(?:public|private|protected|static|final|synchronized|abstract)[ \t]+)+"
-    r"[\w<>\[\],. ]+?[ \t]+\w+[ \t]*\([^;{}]*\)[^;{}()=]*\{)"
-)
+PIECES = "array<struct<name:string,first:int,last:int,code:string>>"
 
 
 def split_functions(files: DataFrame) -> DataFrame:
-    """One row per function of a whole file, with line range.
+    """One row per function or method of a whole file, nested ones too, and ``<module>`` rows for all other lines.
 
-    A file without definitions becomes one ``<module>`` row, as does text in
-    front of the first definition only when the file has no definition at all.
-    Chunks are cut inside the row; line numbers are prefix sums over the
-    chunks' newline counts, so no shuffle and no window is needed.
+    ``sample_id`` is the full path, the name and the first line, so equal names in
+    different folders, or overloads, stay apart; ``evaluation_key`` is the short
+    form that labelled sets use.  The cut is a helper per file, see ``splitting``;
+    rows stay where they are.
     """
-    content = F.col("content")
-    chunks = (
-        F.when(F.col("language") == "python", F.split(content, _SPLIT_PY))
-        .when(F.col("language") == "java", F.split(content, _SPLIT_JAVA))
-        .otherwise(F.split(content, _SPLIT_C))
-    )
-    out = files.withColumn("_chunks", chunks)
-    out = out.withColumn(
-        "_starts",
-        F.aggregate(
-            "_chunks",
-            F.array(F.lit(1)),
-            lambda acc, x: F.array_append(
-                acc, F.element_at(acc, -1) + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-            ),
-        ),
-    )
-    out = out.select(
-        *[c for c in files.columns if c != "content"],
-        F.size("_chunks").alias("_n"),
-        F.posexplode(F.arrays_zip(F.col("_chunks").alias("code"), F.col("_starts").alias("start"))).alias("_i", "_c"),
-    ).filter(F.col("_c.code").isNotNull())
-    name = F.when(
-        F.col("language") == "python", F.regexp_extract("_c.code", r"^(?:async[ \t]+)?def[ \t]+(\w+)", 1)
-    ).otherwise(F.regexp_extract("_c.code", r"^[^(){};=]*?([A-Za-z_]\w*)\s*\(", 1))
-    is_def = F.when(
-        F.col("language") == "python", F.col("_c.code").rlike(_SPLIT_PY.replace("(?m)(?=^", "^(?="))
-    ).when(F.col("language") == "java", F.col("_c.code").rlike(_SPLIT_JAVA.replace("(?m)(?=^", "^(?="))).otherwise(
-        F.col("_c.code").rlike(_SPLIT_C.replace("(?m)(?=^", "^(?="))
-    )
-    trimmed = F.regexp_replace("_c.code", r"\s+$", "")
-    out = out.withColumn("_def", is_def).filter(F.col("_def") | (F.col("_n") == 1))
-    out = out.withColumn("function_name", F.when(F.col("_def"), name).otherwise("<module>"))
-    out = out.withColumn("code", trimmed).withColumn("line_start", F.col("_c.start"))
-    out = out.withColumn(
-        "line_end",
-        F.col("line_start") + F.length("code") - F.length(F.replace(F.col("code"), F.lit("\n"), F.lit(""))),
+
+    def cut(content: pd.Series, language: pd.Series) -> pd.Series:
+        return pd.Series([splitting.pieces(t, lang) for t, lang in zip(content, language)])
+
+    known_to_workers(files.sparkSession)
+    piece = F.explode(F.pandas_udf(cut, PIECES)(F.col("content"), F.col("language"))).alias("_p")
+    out = files.select(*[c for c in files.columns if c != "content"], piece)
+    return out.select(
+        *[c for c in files.columns if c != "content"], F.col("_p.name").alias("function_name"), F.col("_p.code").alias("code"),
+        F.col("_p.first").alias("line_start"), F.col("_p.last").alias("line_end"),
+        place_key(F.col("file"), F.col("_p.name"), F.col("_p.first")).alias("sample_id"),
+        sample_key(F.col("file"), F.col("_p.name")).alias("evaluation_key"),
     )
-    out = out.withColumn("sample_id", sample_key(F.col("file"), F.col("function_name")))
-    return out.drop("_n", "_i", "_c", "_def")

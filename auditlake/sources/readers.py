@@ -57,7 +57,9 @@ def _labelled(raw: DataFrame, label: Column, name: Column, cwe: Column, dataset:
     rows = rows.withColumn("_fn", fn)
     file = F.coalesce(F.when(F.col("file") != "", F.col("file")), F.concat(F.lit(f"{dataset}/"), "_fn"))
     return rows.select(
-        sample_key(file, F.col("_fn")).alias("sample_id"),
+        # copies of one function in one file are told apart by their text
+        F.concat_ws("#", file, F.col("_fn"), F.substring(F.md5("code"), 1, 12)).alias("sample_id"),
+        sample_key(file, F.col("_fn")).alias("evaluation_key"),
         file.alias("file"),
         F.col("_fn").alias("function_name"),
         cwe.alias("cwe"),

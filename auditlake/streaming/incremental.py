@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake.operators import extract, static_scan
 from auditlake.session import checkpoint_folder
@@ -25,21 +26,33 @@ def scan_files(stream: DataFrame) -> DataFrame:
     return static_scan.scan(extract.split_functions(stream))
 
 
-def suppress_repeats(requests: DataFrame, *, key: str = "request_id", ts: str = "ts", within: str = "24 hours") -> DataFrame:
-    """First request per key; its repeats within the time are dropped.
+def suppress_repeats(requests: DataFrame, *, key: str = "request_id", ts: str = "ts", hours: int = 24, late: str = "30 days") -> DataFrame:
+    """First request per key and window of ``hours`` (windows start at multiples of it); the others are dropped.
 
-    State is one row per key and is evicted by the watermark.
+    What is a repeat follows from the rows alone, so no split into batches can
+    change it, as long as no row comes more than ``late`` behind the newest one;
+    rows later than that are dropped.  State is one row per key and open window.
     """
-    return requests.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+    window_start = F.window(ts, f"{hours} hours")["start"].alias("window_start")
+    kept = [c for c in requests.columns if c != ts]
+    return requests.select(*kept, F.col(ts).alias("asked_at"), window_start).withWatermark("window_start", late).dropDuplicates([key, "window_start"])
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Processes what is there, exactly once, into a table beside the checkpoint; returns the table."""
-    spark = stream.sparkSession
-    base = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def run_available(stream: DataFrame, table_path: str, state_path: str) -> DataFrame:
+    """Processes what arrived since the last call, exactly once, and returns the whole table.
+
+    Both paths are the caller's and belong together: a second call with them
+    handles new files only and adds to the table.
+    """
     query = (
-        stream.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/state")
+        stream.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", state_path)
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
+    return stream.sparkSession.read.schema(stream.schema).parquet(table_path)
+
+
+def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:
+    """New table and state paths in the session's shared folder, for a stream that starts anew."""
+    base = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/table", f"{base}/state"

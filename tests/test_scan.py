@@ -2,7 +2,7 @@
 
 import pytest
 
-from auditlake.operators import extract, static_scan as ss
+from auditlake.operators import extract, splitting, static_scan as ss
 
 C_COPY = "void vuln(char *input) {\n  char buf[64];\n  strcpy(buf, input); // system(x)\n}"
 ROWS = [
@@ -94,10 +94,34 @@ def test_files_are_cut_into_functions(spark):
     )
     got = {(r.file, r.function_name, r.line_start, r.line_end) for r in extract.split_functions(files).collect()}
     assert got == {
-        ("x.c", "a", 2, 4), ("x.c", "b", 6, 9), ("y.py", "a", 3, 4), ("y.py", "b", 7, 8), ("z.py", "<module>", 1, 1), ("q.java", "x", 2, 5),
+        ("x.c", "<module>", 1, 1), ("x.c", "a", 2, 4), ("x.c", "b", 6, 9), ("y.py", "<module>", 1, 1), ("y.py", "a", 3, 4), ("y.py", "b", 7, 8),
+        ("z.py", "<module>", 1, 1), ("q.java", "<module>", 1, 1), ("q.java", "x", 2, 4), ("q.java", "<module>", 5, 5),
     }
 
 
+WHOLE = {
+    "c": "#include <a.h>\nint old(a, b)\n  char *a; int b;\n{\n  f(a);\n}\nint x = f(3);\nmain() {\n EACH(x) { y(); }\n}\nint tail(void (*f)(int), int n) { return f(n); }\n",
+    "python": "import os\n@dec(\n 1)\nclass A:\n  x = 1\n  @p\n  def m(self,\n      a,\n  ):\n    '''doc\nzero def fake(x):\n'''\n    def inner(q):\n      eval(q)\n    return inner\n\ndef g(a): return a\nasync def h(b):\n  x = (\n1)\nos.system(X)\n",
+    "java": "class A {\n  int f = call(3);\n  void run(String d) {\n    new T(new R() { public void go() { x(); } });\n    if (a) { b(); } else if (c) { d(); }\n  }\n  @Override\n  public <T> List<T> all(int a) throws IOException, X {\n  }\n  A() { init(); }\n}\n",
+}
+
+
+@pytest.mark.parametrize(("language", "names"), [("c", ["old", "main", "tail"]), ("python", ["m", "inner", "g", "h"]), ("java", ["run", "go", "all", "A"])])
+def test_pieces_cover_every_line(language, names):
+    text = WHOLE[language]
+    found = splitting.pieces(text, language)
+    assert [p["name"] for p in found if p["name"] != "<module>"] == names
+    lines = {i for p in found for i in range(p["first"], p["last"] + 1)}
+    assert all(i in lines for i, line in enumerate(text.split("\n"), 1) if line.strip())
+    assert splitting.pieces("", language) == [] and splitting.pieces(None, None) == []
+
+
+def test_equal_names_in_two_folders_stay_apart(spark):
+    rows = [("a/util.c", "c", "int init(void) { return 1; }\nint init(int a) { return a; }\n"), ("b/util.c", "c", "int init(void) { return 2; }\n")]
+    out = extract.split_functions(spark.createDataFrame(rows, "file string, language string, content string")).collect()
+    assert len({r.sample_id for r in out}) == 3 and {r.evaluation_key for r in out} == {"util.c#init"}
+
+
 def test_scan_is_one_stage(spark):
     df = spark.createDataFrame([("1", "a.c", "c", C_COPY)], "sample_id string, file string, language string, code string")
     assert "Exchange" not in ss.scan(df)._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from auditlake.plans import triage
@@ -82,17 +83,26 @@ def test_model_hook(spark):
     assert [(r.request_id, r.raw) for r in got] == [("r1", "p!")]
 
 
-def test_stream_of_files(spark, tmp_path):
-    src = tmp_path / "in"
+def test_a_second_call_handles_new_files_only(spark, tmp_path):
+    src, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
     write(src / "a.json", json.dumps({"file": "a.py", "language": "python", "content": "def f(x):\n  eval(x)\n"}))
-    stream = incremental.arriving(spark, str(src), "file string, language string, content string", "json")
-    out = incremental.run_available(incremental.scan_files(stream).select("sample_id", "sink_type"), "files")
-    assert [tuple(r) for r in out.collect()] == [("a.py#f", "eval")]
+
+    def run():
+        stream = incremental.arriving(spark, str(src), "file string, language string, content string", "json")
+        return sorted(tuple(r) for r in incremental.run_available(incremental.scan_files(stream).select("sample_id", "sink_type"), table, state).collect())
+
+    assert run() == [("a.py#f#1", "eval")]
+    write(src / "b.json", json.dumps({"file": "b.py", "language": "python", "content": "def g(x):\n  exec(x)\n"}))
+    assert run() == [("a.py#f#1", "eval"), ("b.py#g#1", "exec")]
+    assert run() == [("a.py#f#1", "eval"), ("b.py#g#1", "exec")]
 
 
-def test_suppression_keeps_one_request_per_key(spark, tmp_path):
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_suppression_does_not_depend_on_batches(spark, tmp_path, files_per_batch):
     src = tmp_path / "in"
-    write(src / "a.json", "\n".join(json.dumps({"request_id": k, "t": t}) for k, t in [("a", "2024-01-01T00:00:00"), ("a", "2024-01-01T05:00:00"), ("b", "2024-01-01T06:00:00")]))
-    stream = incremental.arriving(spark, str(src), "request_id string, t timestamp", "json").withColumn("ts", F.col("t"))
-    out = incremental.run_available(incremental.suppress_repeats(stream), "supp")
-    assert sorted(r.request_id for r in out.collect()) == ["a", "b"]
+    asked = [("a", "01T01"), ("a", "01T23"), ("b", "01T06"), ("a", "05T01"), ("a", "10T00"), ("b", "10T01"), ("a", "10T12")]
+    for i, (k, t) in enumerate(asked):
+        write(src / f"{i}.json", json.dumps({"request_id": k, "t": f"2024-01-{t}:00:00"}))
+    stream = incremental.arriving(spark, str(src), "request_id string, t timestamp", "json", maxFilesPerTrigger=files_per_batch).withColumn("ts", F.col("t"))
+    out = incremental.run_available(incremental.suppress_repeats(stream), str(tmp_path / "table"), str(tmp_path / "state"))
+    assert sorted((r.request_id, str(r.window_start)[8:10]) for r in out.collect()) == [("a", "01"), ("a", "05"), ("a", "10"), ("b", "01"), ("b", "10")]
