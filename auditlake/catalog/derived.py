@@ -156,7 +156,7 @@ FROM {lineitem}
 # Reviewer 2 and 3 answers per sample; some samples lack one or the other.
 STAGE_ANSWERS = """
 SELECT CAST(l_orderkey AS VARCHAR(20)) AS sample_id,
-       CASE l_linenumber WHEN 1 THEN 'r2' WHEN 2 THEN 'r3' ELSE 'other' END AS stage,
+       CASE l_linenumber % 2 WHEN 1 THEN 'r2' ELSE 'r3' END AS stage,
        CASE l_returnflag WHEN 'A' THEN 'confirmed_vuln' WHEN 'R' THEN 'false_positive' ELSE 'undecided' END AS verdict,
        CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS has_vulnerability,
        CAST(CAST(round(l_discount * 100) AS INT) AS DOUBLE) / 10 AS confidence,

@@ -219,8 +219,8 @@ narrow AS (SELECT l.doc_id, CASE WHEN j.w IS NULL THEN substr(l.text, 1, 2000) W
                   ELSE j.w END AS w FROM lines l LEFT JOIN joined j ON j.doc_id = l.doc_id)"""
 
 
-def _documents_with_focus(spark, sf):
-    focus = windows.focus_lines(finding_rows(spark, sf)).withColumn("doc_id", F.col("sample_id").cast("bigint")).drop("sample_id")
+def _documents_with_focus(spark, sf, max_chars=3000):
+    focus = windows.focus_lines(finding_rows(spark, sf), max_chars=max_chars).withColumn("doc_id", F.col("sample_id").cast("bigint")).drop("sample_id")
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("code"))
     return docs.join(focus, "doc_id", "left")
 
@@ -231,6 +231,13 @@ def focus_windows(spark, sf):
     return df.select("doc_id", "code_window", F.length("code_window").alias("chars"))
 
 
+@query("focus_windows_wide", f"WITH {_FOCUS.replace('3000', '700')} SELECT doc_id, w AS code_window, length(w) AS chars FROM narrow")
+def focus_windows_wide(spark, sf):
+    """A preset with another window size."""
+    df = windows.code_window(_documents_with_focus(spark, sf, 700), {"mode": "iris", "iris_max_chars": 700})
+    return df.select("doc_id", "code_window", F.length("code_window").alias("chars"))
+
+
 @query(
     "dynamic_window",
     f"""WITH {_FOCUS}

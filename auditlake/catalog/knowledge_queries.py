@@ -135,7 +135,7 @@ def topk_cosine(spark, sf):
 
 
 _POOL = f"""
-kbv AS (SELECT d.doc_id, d.text AS document, d.lang, e.embedding, sqrt({_COS.format(a="e.embedding", b="e.embedding")}) AS norm FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+kbv AS (SELECT d.doc_id, d.text AS document, d.lang, e.embedding, sqrt({_COS.format(a="e.embedding", b="e.embedding")}) AS norm FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)),
 q AS (SELECT b.item_id AS query_id, b.text AS query_text, e.embedding, sqrt({_COS.format(a="e.embedding", b="e.embedding")}) AS norm FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 s AS (SELECT q.query_id, k.doc_id, round({_COS.format(a="q.embedding", b="k.embedding")} / (q.norm * k.norm), 9) AS sim FROM q CROSS JOIN kbv k),
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM s WHERE sim >= 0.0) x WHERE rank <= 10),
@@ -155,9 +155,10 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 
 
 def _kb(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    """Every document with a vector; vectors are dealt out in turn, for there are fewer of them."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     d = spread(table(spark, sf, "documents")).select("doc_id", F.col("text").alias("document"), "lang")
-    return d.join(e, "doc_id")
+    return d.withColumn("vec_id", F.col("doc_id") % e.count()).join(e, "vec_id").drop("vec_id")
 
 
 def _items(spark, sf):
@@ -166,6 +167,30 @@ def _items(spark, sf):
     return b.join(e, "query_id")
 
 
+@query("topk_recall", "SELECT count(*) AS queries, count(*) * 10 AS exact, true AS reaches_0_9 FROM embeddings WHERE vec_id % 20 = 0")
+def topk_recall(spark, sf):
+    """Pruned search over every vector against the exact one: recall of the ten nearest."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    q = e.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    found = rt.top_k_pruned(q, e, rt.centroids(e, cells=16), k=10, probes=12)
+    exact = rt.top_k(q, e, k=10)
+    return rt.recall_at_k(found, exact).select("queries", "exact", (F.col("recall") >= 0.9).alias("reaches_0_9"))
+
+
+@query(
+    "topk_blocks",
+    f"""
+WITH n AS (SELECT vec_id, embedding, sqrt({_COS.format(a="embedding", b="embedding")}) AS norm FROM embeddings),
+s AS (SELECT concat('q', a.vec_id) AS query_id, concat('d', b.vec_id) AS doc_id, round({_COS.format(a="a.embedding", b="b.embedding")} / (a.norm * b.norm), 9) AS sim FROM n a CROSS JOIN n b WHERE a.vec_id % 20 = 0)
+SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM s) x WHERE rank <= 5""",
+)
+def topk_blocks(spark, sf):
+    """The exact way for many queries, with text ids."""
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "vec_id")
+    q = e.filter("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "vector")
+    return rt.top_k(q, e, k=5, broadcast_limit=0, block_rows=300).select("query_id", "doc_id", "rank")
+
+
 @query("bm25_pool", f"WITH {_POOL} SELECT query_id, doc_id, rank, round(bm25, 4) AS bm25 FROM bm")
 def bm25_pool(spark, sf):
     q, d = _items(spark, sf), _kb(spark, sf)

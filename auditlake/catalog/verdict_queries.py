@@ -240,23 +240,23 @@ def confidence_vote(spark, sf):
 
 
 # --- stages to a final verdict --------------------------------------------------
-# The line items of an order answer the stages; absent line items are stages
-# that were not answered.
+# The line items of an order answer the four stages in turn; stages without a
+# line item were not answered.
 
 _STAGES_SQL = """
 st AS (SELECT l_orderkey AS k,
-  max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) AS has1, max(CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END) AS has2,
-  max(CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END) AS has3, max(CASE WHEN l_linenumber = 4 THEN 1 ELSE 0 END) AS has4,
-  max(CASE WHEN l_linenumber = 1 AND l_returnflag <> 'N' THEN 1 ELSE 0 END) AS suspicious,
-  max(CASE WHEN l_linenumber = 1 AND l_suppkey % 3 = 0 THEN 1 ELSE 0 END) AS full_window,
-  max(CASE WHEN l_linenumber = 1 THEN l_partkey % 3 END) AS risk,
-  max(CASE WHEN l_linenumber = 1 THEN CAST(round(l_discount * 100) AS INT) END) AS c1,
-  max(CASE WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN 1 ELSE 0 END) AS v2,
-  max(CASE WHEN l_linenumber = 2 THEN CAST(round(l_discount * 100) AS INT) END) AS c2,
-  max(CASE WHEN l_linenumber = 3 AND l_returnflag = 'A' THEN 1 ELSE 0 END) AS vf,
-  max(CASE WHEN l_linenumber = 3 THEN CAST(round(l_discount * 100) AS INT) END) AS cf,
-  max(CASE WHEN l_linenumber = 4 AND l_returnflag <> 'R' THEN 1 ELSE 0 END) AS v3,
-  max(CASE WHEN l_linenumber = 4 THEN CAST(round(l_discount * 100) AS INT) END) AS c3
+  max(CASE WHEN l_linenumber % 4 = 1 THEN 1 ELSE 0 END) AS has1, max(CASE WHEN l_linenumber % 4 = 2 THEN 1 ELSE 0 END) AS has2,
+  max(CASE WHEN l_linenumber % 4 = 3 THEN 1 ELSE 0 END) AS has3, max(CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END) AS has4,
+  max(CASE WHEN l_linenumber % 4 = 1 AND l_returnflag <> 'N' THEN 1 ELSE 0 END) AS suspicious,
+  max(CASE WHEN l_linenumber % 4 = 1 AND l_suppkey % 3 = 0 THEN 1 ELSE 0 END) AS full_window,
+  max(CASE WHEN l_linenumber % 4 = 1 THEN l_partkey % 3 END) AS risk,
+  max(CASE WHEN l_linenumber % 4 = 1 THEN CAST(round(l_discount * 100) AS INT) END) AS c1,
+  max(CASE WHEN l_linenumber % 4 = 2 AND l_returnflag = 'A' THEN 1 ELSE 0 END) AS v2,
+  max(CASE WHEN l_linenumber % 4 = 2 THEN CAST(round(l_discount * 100) AS INT) END) AS c2,
+  max(CASE WHEN l_linenumber % 4 = 3 AND l_returnflag = 'A' THEN 1 ELSE 0 END) AS vf,
+  max(CASE WHEN l_linenumber % 4 = 3 THEN CAST(round(l_discount * 100) AS INT) END) AS cf,
+  max(CASE WHEN l_linenumber % 4 = 0 AND l_returnflag <> 'R' THEN 1 ELSE 0 END) AS v3,
+  max(CASE WHEN l_linenumber % 4 = 0 THEN CAST(round(l_discount * 100) AS INT) END) AS c3
  FROM {lineitem} GROUP BY l_orderkey)"""
 
 _STAGE_ROWS = "WITH " + _STAGES_SQL + " SELECT CAST(k AS VARCHAR(20)) AS sample_id, * FROM st"
@@ -365,7 +365,7 @@ def single_pass_resolution(spark, sf):
 def _results(spark, sf):
     """Orders as results, with reviewer 2 and 3 from the line items."""
     res = derived.derive(spark, sf, derived.RESULTS)
-    answers = derived.derive(spark, sf, derived.STAGE_ANSWERS).filter(F.col("stage") != "other")
+    answers = derived.derive(spark, sf, derived.STAGE_ANSWERS)
     return res.join(pp.by_stage(answers, ("r2", "r3")), "sample_id", "left")
 
 

@@ -29,7 +29,16 @@ BLOCK_ROWS = 8192
 # Scores held at once by a task (32 MB of doubles).
 CHUNK_CELLS = 4_000_000
 
-_PAIR = "query_id bigint, doc_id bigint, similarity double"
+
+
+def _pair(q: DataFrame, d: DataFrame) -> str:
+    kinds = (q.schema["query_id"].dataType.simpleString(), d.schema["doc_id"].dataType.simpleString())
+    return f"query_id {kinds[0]}, doc_id {kinds[1]}, similarity double"
+
+
+def _ids(column: pd.Series) -> np.ndarray:
+    """Ids as an array that sorts as they do: integers, else text."""
+    return column.to_numpy(np.int64) if pd.api.types.is_integer_dtype(column) else column.to_numpy(np.str_)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -74,7 +83,7 @@ def _best_of(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[pd.DataFrame], k:
     for part in parts:
         for at in range(0, len(part), step):
             chunk = part.iloc[at : at + step]
-            new = _chunk_best(q, chunk["doc_id"].to_numpy(np.int64), _matrix(chunk["vector"]), k, metric)
+            new = _chunk_best(q, _ids(chunk["doc_id"]), _matrix(chunk["vector"]), k, metric)
             best = new if best is None else _merge_best(best, new, k)
     if best is None:
         return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
@@ -89,13 +98,36 @@ def _best_of(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[pd.DataFrame], k:
     )
 
 
+def _vector_size(queries: DataFrame) -> int:
+    sizes = queries.filter(F.col("vector").isNotNull()).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return sizes["n"] if sizes else 0
+
+
+def usable(id_col: str, size: int) -> Column:
+    """An id and a whole vector of that size."""
+    whole = F.col("vector").isNotNull() & (F.size("vector") == size) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x))
+    return F.col(id_col).isNotNull() & F.coalesce(whole, F.lit(False))
+
+
+def unusable(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """How many documents ``top_k`` leaves out: documents, unusable."""
+    out = F.count_if(~usable("doc_id", _vector_size(queries)))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), out.alias("unusable"))
+
+
 def top_k(
     queries: DataFrame, docs: DataFrame, *, k: int, threshold: float = -2.0, metric: str = "cosine",
     broadcast_limit: int = MAX_BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """query_id, doc_id, similarity, rank for ``queries(query_id, vector)`` and ``docs(doc_id, vector)``."""
-    q = queries.select(F.col("query_id").cast("bigint"), "vector")
-    d = docs.select(F.col("doc_id").cast("bigint"), "vector")
+    """query_id, doc_id, similarity, rank for ``queries(query_id, vector)`` and ``docs(doc_id, vector)``.
+
+    Ids are integers or text.  Rows without an id or a vector, or with a null in
+    the vector or another length than most queries have, can't be compared and
+    are left out; ``unusable`` counts them.
+    """
+    q, d = queries.select("query_id", "vector"), docs.select("doc_id", "vector")
+    size = _vector_size(q)
+    q, d = q.filter(usable("query_id", size)), d.filter(usable("doc_id", size))
     if at_most(q, broadcast_limit):
         partial = _top_broadcast(q, d, k, threshold, metric)
     else:
@@ -107,14 +139,14 @@ def top_k(
 def _top_broadcast(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str) -> DataFrame:
     local = q.toPandas()
     if local.empty:
-        return d.sparkSession.createDataFrame([], _PAIR)
-    held = d.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy(np.int64), _matrix(local["vector"])))
+        return d.sparkSession.createDataFrame([], _pair(q, d))
+    held = d.sparkSession.sparkContext.broadcast((_ids(local["query_id"]), _matrix(local["vector"])))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_rows = held.value
         yield _best_of(q_ids, q_rows, batches, k, floor, metric)
 
-    return d.mapInPandas(score, _PAIR)
+    return d.mapInPandas(score, _pair(q, d))
 
 
 def _top_blocks(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str, block_rows: int) -> DataFrame:
@@ -132,9 +164,74 @@ def _top_blocks(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str, b
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
-        return _best_of(a["query_id"].to_numpy(np.int64), _matrix(a["vector"]), iter([b]), k, floor, metric)
+        return _best_of(_ids(a["query_id"]), _matrix(a["vector"]), iter([b]), k, floor, metric)
+
+    return q_side.groupBy("qb", "db").cogroup(d_side.groupBy("qb", "db")).applyInPandas(score, _pair(q, d))
+
+
+def centroids(docs: DataFrame, *, cells: int, sample_rows: int = 50_000, rounds: int = 10) -> np.ndarray:
+    """Unit cell centres, fitted on about ``sample_rows`` vectors chosen by hash of the id."""
+    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("vector").isNotNull()).select("doc_id", "vector")
+    n = rows.count()
+    if n > sample_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
+    data = _unit(_matrix(rows.orderBy("doc_id").toPandas()["vector"]))
+    centre = data[np.linspace(0, len(data) - 1, min(cells, len(data))).astype(int)]
+    for _ in range(rounds):
+        cell = (data @ centre.T).argmax(1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, cell, data)
+        empty = ~sums.any(1)
+        sums[empty] = centre[empty]
+        centre = _unit(sums)
+    return centre
+
+
+def top_k_pruned(
+    queries: DataFrame, docs: DataFrame, centre: np.ndarray, *, k: int, probes: int, threshold: float = -2.0, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Cosine ``top_k`` within the ``probes`` nearest cells of each query, exact inside them.
+
+    Every document is indexed (one cell each); a crowded cell is cut into parts of
+    ``block_rows``, and a query goes to all parts of its cells, so the shuffle
+    grows with queries x probes and not with all pairs of blocks.
+    """
+    size = centre.shape[1]
+    q = queries.select("query_id", "vector").filter(usable("query_id", size))
+    d = docs.select("doc_id", "vector").filter(usable("doc_id", size))
+
+    def nearest(count: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in batches:
+                if len(part):
+                    near = np.argsort(-(_unit(_matrix(part["vector"])) @ centre.T), axis=1, kind="stable")[:, :count]
+                    yield part.assign(cell=list(near.astype(np.int32)))
+
+        return run
+
+    def celled(df: DataFrame, count: int) -> DataFrame:
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell array<int>"
+        return df.mapInPandas(nearest(count), kind).withColumn("cell", F.explode("cell"))
+
+    dealt = celled(d, 1)
+    crowd = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    dealt = dealt.join(crowd, "cell").select("doc_id", "vector", "cell", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    asked = celled(q, probes).join(crowd, "cell").select("query_id", "vector", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
+        return _best_of(_ids(a["query_id"]), _matrix(a["vector"]), iter([b]), k, threshold, "cosine")
+
+    partial = asked.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(score, _pair(q, d))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
 
-    return q_side.groupBy("qb", "db").cogroup(d_side.groupBy("qb", "db")).applyInPandas(score, _PAIR)
+def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact results that a pruned search found."""
+    hit = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("exact"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def tokens(text: Column) -> Column:

@@ -38,12 +38,13 @@ def focus_window(code: Column, focus: Column, *, lines: int = 5, max_chars: int
     return F.when(F.size(wanted) > 0, cut).otherwise(head(code, fallback_chars))
 
 
-def focus_lines(findings: DataFrame, *, max_chars: int = 3000) -> DataFrame:
-    """Distinct finding lines and distinct tools per sample, ready for the windows.
+def focus_lines(findings: DataFrame, *, max_chars: int) -> DataFrame:
+    """Distinct finding lines and distinct tools per sample, ready for windows of ``max_chars``.
 
-    A window of ``max_chars`` holds at most max_chars / len(marker) focuses, so
-    the smallest that many lines decide the text; a sample with millions of
-    finding lines still yields a short array and the same window.
+    Give the same number as to the window (the preset's ``iris_max_chars``): it
+    holds at most max_chars / len(marker) focuses, so the smallest that many
+    lines decide the text; a sample with millions of finding lines still yields
+    a short array and the same window.
     """
     enough = max_chars // len("# --- focus line 1 ---") + 2
     lines = findings.filter(F.col("line") > 0).select("sample_id", "line").distinct()
@@ -56,11 +57,11 @@ def focus_lines(findings: DataFrame, *, max_chars: int = 3000) -> DataFrame:
     return tools.join(lines, "sample_id", "left")
 
 
-def dynamic_window(code: Column, focus: Column, tool_count: Column, *, lines: int = 5, medium_chars: int = 3000) -> Column:
+def dynamic_window(code: Column, focus: Column, tool_count: Column, *, lines: int = 5, max_chars: int = 3000, medium_chars: int = 3000) -> Column:
     """Narrow when two tools speak, medium for one, everything when all are silent."""
     none = F.array().cast("array<int>")
     return (
-        F.when(F.coalesce(tool_count, F.lit(0)) >= 2, focus_window(code, F.coalesce(focus, none), lines=lines))
+        F.when(F.coalesce(tool_count, F.lit(0)) >= 2, focus_window(code, F.coalesce(focus, none), lines=lines, max_chars=max_chars))
         .when(tool_count == 1, head(code, medium_chars))
         .otherwise(code)
     )
@@ -95,7 +96,7 @@ def code_window(df: DataFrame, params: dict, name: str = "code_window") -> DataF
         )
     elif mode == "dynamic":
         out = dynamic_window(
-            code, focus, tools, lines=params.get("dynamic_iris_lines", 5),
+            code, focus, tools, lines=params.get("dynamic_iris_lines", 5), max_chars=params.get("iris_max_chars", 3000),
             medium_chars=params.get("dynamic_medium_chars", 3000),
         )
     else:

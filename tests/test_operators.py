@@ -56,7 +56,7 @@ def test_focus_lines_keep_enough_for_the_window(spark):
     """A sample with very many finding lines gives the same window as with all of them."""
     code = "\n".join(f"l{i}" for i in range(5000))
     f = spark.createDataFrame([("s", "a", i) for i in range(1, 4000)], "sample_id string, tool string, line int")
-    kept = windows.focus_lines(f).collect()[0].focus
+    kept = windows.focus_lines(f, max_chars=3000).collect()[0].focus
     assert len(kept) < 200
     df = spark.createDataFrame([(code, kept, list(range(1, 4000)))], "code string, kept array<int>, every array<int>")
     r = df.select(windows.focus_window(F.col("code"), F.col("kept")).alias("a"), windows.focus_window(F.col("code"), F.col("every")).alias("b")).collect()[0]
