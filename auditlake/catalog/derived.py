@@ -215,17 +215,21 @@ FROM {{events}}
 DEPENDENCIES = """
 SELECT concat('proj', l_orderkey) AS project, 'requirements.txt' AS manifest,
        concat('pkg', CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_partkey END) AS name,
-       CASE WHEN l_linenumber = 7 THEN concat(l_linenumber, '.0rc', l_suppkey % 3)
+       CASE WHEN l_linenumber = 7 THEN concat(l_linenumber, CASE WHEN l_suppkey % 3 = 2 THEN '.0-local' ELSE concat('.0rc', l_suppkey % 3) END)
             ELSE concat(l_linenumber, '.', CAST(l_quantity AS INT) % 12, CASE WHEN l_suppkey % 2 = 0 THEN '.0' ELSE '' END) END AS version,
        CASE WHEN CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE l_partkey END % 4 = 0 THEN 'Maven' ELSE 'PyPI' END AS ecosystem
 FROM {lineitem}
 """
 
+_FIXED = "CAST(p_size % 3 + 2 AS VARCHAR(4)) || '.' || CAST(p_size % 12 AS VARCHAR(4))"
+_FIX_EVENT = f"""{text('{"fixed": "')} || CASE p_size % 4 WHEN 2 THEN 'v' ELSE '' END || {_FIXED} || CASE p_size % 4 WHEN 2 THEN 'rc1' WHEN 3 THEN '.post-x' ELSE '' END || {text('"}')}"""
+_FROM_EVENT = f"""{text('{"introduced": "')} || CAST(p_size % 3 AS VARCHAR(4)) || '.0' || {text('"}')}"""
+_AGAIN_EVENT = text('{"introduced": "5.10"}')
+# Events out of order, bounds with v and rc, bounds that can't be compared, and a range of commits.
 _RANGE = (
-    text('{"introduced": "') + " || CAST(p_size % 3 AS VARCHAR(4)) || '.0' || " + text('"}, {"fixed": "')
-    + " || CAST(p_size % 3 + 2 AS VARCHAR(4)) || '.' || CAST(p_size % 12 AS VARCHAR(4)) || "
-    + text('"}, {"introduced": "5.10"}')
+    f"CASE WHEN p_size % 4 = 1 THEN {_FIX_EVENT} || ', ' || {_AGAIN_EVENT} || ', ' || {_FROM_EVENT} ELSE {_FROM_EVENT} || ', ' || {_FIX_EVENT} || ', ' || {_AGAIN_EVENT} END"
 )
+_COMMITS = text(']}, {"type": "GIT", "events": [{"introduced": "0"}')
 ADVISORIES = f"""
 SELECT p_partkey AS row_ord,
   {text('{"id": "ADV-')} || CAST(p_partkey AS VARCHAR(20)) || {text('", "aliases": [')}
@@ -235,7 +239,7 @@ SELECT p_partkey AS row_ord,
   || CASE WHEN p_size % 5 = 0 THEN '' ELSE {text('"database_specific": {"severity": "')} || p_type || {text('"}, ')} END
   || {text('"affected": [{"package": {"name": "pkg')} || CAST(p_partkey AS VARCHAR(20)) || {text('", "ecosystem": "')}
   || CASE WHEN p_partkey % 4 = 0 THEN 'Maven' ELSE 'PyPI' END || {text('"}, "ranges": [{"type": "ECOSYSTEM", "events": [')}
-  || {_RANGE} || {text(']}], "versions": ["7.0rc1"]}], "references": [{"url": "https://example.org/')}
+  || {_RANGE} || {_COMMITS} || {text(']}], "versions": ["7.0rc1"]}], "references": [{"url": "https://example.org/')}
   || CAST(p_partkey AS VARCHAR(20)) || {text('"}]}')} AS doc
 FROM {{part}}
 """

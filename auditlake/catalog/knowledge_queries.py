@@ -246,20 +246,28 @@ def corpus_statistics(spark, sf):
 # --- dependencies -------------------------------------------------------------------
 
 _DEPS = f"deps AS {derived.cte(derived.DEPENDENCIES)}"
-_KEYSQL = "array_to_string([lpad(x, 20, '0') FOR x IN regexp_split_to_array(regexp_replace({v}, '([._-]0+)+$', ''), '[._-]')], '.')"
-_NUM = "regexp_matches({v}, '^[0-9]{{1,20}}([._-][0-9]{{1,20}})*$')"
+_BEFORE_SQL = "'^v?[0-9]+(?:[._-][0-9]+)*[._-]?(dev|alpha|a|beta|b|m|preview|pre|rc)[._-]?([0-9]*)'"
+_KEYSQL = (
+    "(array_to_string([lpad(x, 20, '0') FOR x IN regexp_split_to_array(regexp_replace(regexp_extract(lower({v}), '^v?([0-9]+(?:[._-][0-9]+)*)', 1), '([._-]0+)+$', ''), '[._-]')], '.')"
+    " || CASE regexp_extract(lower({v}), " + _BEFORE_SQL + ", 1) WHEN '' THEN '-' ELSE '!' || CASE regexp_extract(lower({v}), " + _BEFORE_SQL + ", 1)"
+    " WHEN 'dev' THEN '1' WHEN 'alpha' THEN '2' WHEN 'a' THEN '2' WHEN 'beta' THEN '3' WHEN 'b' THEN '3' WHEN 'm' THEN '4' WHEN 'rc' THEN '6' ELSE '5' END"
+    " || lpad(regexp_extract(lower({v}), " + _BEFORE_SQL + ", 2), 20, '0') END)"
+)
+_NUM = "regexp_matches(lower({v}), '^v?[0-9]{{1,20}}([._-][0-9]{{1,20}})*([._-]?(dev|alpha|a|beta|b|m|preview|pre|rc)[._-]?[0-9]{{0,20}})?([+].*)?$')"
 _ADV = f"""
 adv0 AS (SELECT json(doc) AS j FROM {derived.cte(derived.ADVISORIES)} x),
 adv AS (SELECT j->>'$.id' AS id, coalesce(j->>'$.aliases[0]', j->>'$.id') AS cve_id, substr(coalesce(j->>'$.summary', ''), 1, 200) AS summary,
-   coalesce(j->>'$.database_specific.severity', 'UNKNOWN') AS severity, j->>'$.severity[1].score' AS cvss_score, coalesce(j->>'$.affected[0].ranges[0].events[1].fixed', '') AS fixed_version,
+   coalesce(j->>'$.database_specific.severity', 'UNKNOWN') AS severity, j->>'$.severity[1].score' AS cvss_score, coalesce(j->>'$.affected[0].ranges[0].events[0].fixed', j->>'$.affected[0].ranges[0].events[1].fixed', '') AS fixed_version,
    coalesce(j->>'$.references[0].url', '') AS url, j->>'$.affected[0].package.name' AS name, j->>'$.affected[0].package.ecosystem' AS ecosystem, j FROM adv0),
-ranges AS (SELECT id, ecosystem, name, j->>'$.affected[0].ranges[0].events[0].introduced' AS introduced, j->>'$.affected[0].ranges[0].events[1].fixed' AS fixed FROM adv
-           UNION ALL SELECT id, ecosystem, name, j->>'$.affected[0].ranges[0].events[2].introduced', NULL FROM adv),
+ranges AS (SELECT id, ecosystem, name, CASE WHEN j->>'$.affected[0].ranges[0].events[0].fixed' IS NULL THEN j->>'$.affected[0].ranges[0].events[0].introduced' ELSE j->>'$.affected[0].ranges[0].events[2].introduced' END AS introduced, fixed_version AS fixed FROM adv
+           UNION ALL SELECT id, ecosystem, name, '5.10', NULL FROM adv WHERE NOT fixed_version LIKE '%post%'),
 listed AS (SELECT id, ecosystem, name, j->>'$.affected[0].versions[0]' AS version FROM adv),
-hits AS (
-  SELECT DISTINCT d.ecosystem, d.name, d.version, r.id FROM deps d JOIN ranges r ON r.ecosystem = d.ecosystem AND r.name = d.name
-  WHERE {_NUM.format(v="d.version")} AND {_KEYSQL.format(v="d.version")} >= {_KEYSQL.format(v="r.introduced")} AND (r.fixed IS NULL OR {_KEYSQL.format(v="d.version")} < {_KEYSQL.format(v="r.fixed")})
-  UNION SELECT DISTINCT d.ecosystem, d.name, d.version, l.id FROM deps d JOIN listed l ON l.ecosystem = d.ecosystem AND l.name = d.name AND l.version = d.version)"""
+hits0 AS (
+  SELECT d.ecosystem, d.name, d.version, r.id, CASE WHEN r.fixed LIKE '%post%' OR NOT {_NUM.format(v="d.version")} THEN 'unknown'
+    WHEN {_KEYSQL.format(v="d.version")} >= {_KEYSQL.format(v="r.introduced")} AND (r.fixed IS NULL OR {_KEYSQL.format(v="d.version")} < {_KEYSQL.format(v="r.fixed")}) THEN 'affected' END AS status
+  FROM deps d JOIN ranges r ON r.ecosystem = d.ecosystem AND r.name = d.name
+  UNION ALL SELECT d.ecosystem, d.name, d.version, l.id, 'affected' FROM deps d JOIN listed l ON l.ecosystem = d.ecosystem AND l.name = d.name AND l.version = d.version),
+hits AS (SELECT ecosystem, name, version, id, min(status) AS status FROM hits0 WHERE status IS NOT NULL GROUP BY ALL)"""
 
 
 def _dependencies(spark, sf):
@@ -279,18 +287,18 @@ def advisory_fields(spark, sf):
 @query("version_range_join", f"WITH {_DEPS}, {_ADV} SELECT * FROM hits")
 def version_range_join(spark, sf):
     a = _advisories(spark, sf)
-    return dp.match(_dependencies(spark, sf), dp.advisory_ranges(a), dp.advisory_versions(a))
+    return dp.match(_dependencies(spark, sf), dp.rules(a))
 
 
 @query(
     "dependency_audit",
     f"""WITH {_DEPS}, {_ADV}
-SELECT d.project, d.name, d.version, d.ecosystem, a.cve_id, a.severity, a.cvss_score, a.fixed_version, a.url, {_NUM.format(v="d.version")} AS version_comparable
+SELECT d.project, d.name, d.version, d.ecosystem, a.cve_id, a.severity, a.cvss_score, a.fixed_version, a.url, {_NUM.format(v="d.version")} AS version_comparable, h.status
 FROM deps d JOIN hits h ON h.ecosystem = d.ecosystem AND h.name = d.name AND h.version = d.version JOIN adv a ON a.id = h.id""",
 )
 def dependency_audit(spark, sf):
     return dp.audit(_dependencies(spark, sf), _advisories(spark, sf)).select(
-        "project", "name", "version", "ecosystem", "cve_id", "severity", "cvss_score", "fixed_version", "url", "version_comparable"
+        "project", "name", "version", "ecosystem", "cve_id", "severity", "cvss_score", "fixed_version", "url", "version_comparable", "status"
     )
 
 
@@ -300,7 +308,7 @@ def dependency_audit(spark, sf):
 )
 def advisories_per_package(spark, sf):
     a = _advisories(spark, sf)
-    hits = dp.match(_dependencies(spark, sf), dp.advisory_ranges(a), dp.advisory_versions(a))
+    hits = dp.match(_dependencies(spark, sf), dp.rules(a))
     return dp.hits_per_package(hits).withColumn("ids", F.array_join("ids", ","))
 
 
@@ -327,9 +335,8 @@ def ttl_split(spark, sf):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     e = table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "ts")
     cache = e.filter(F.col("ts") <= now).withColumnRenamed("ts", "cached_at")
-    hits, misses = dp.split_by_cache(e, cache, now)
-    both = hits.withColumn("outcome", F.lit("hit")).unionByName(misses.withColumn("outcome", F.lit("miss")))
-    per_key = both.groupBy("outcome", "key").agg(F.count(F.lit(1)).alias("n"))
+    marked = dp.marked_by_cache(e, cache, now).withColumn("outcome", F.when(F.col("fresh"), "hit").otherwise("miss"))
+    per_key = marked.groupBy("outcome", "key").agg(F.count(F.lit(1)).alias("n"))
     return per_key.groupBy("outcome").agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("keys"))
 
 

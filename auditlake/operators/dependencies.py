@@ -9,15 +9,29 @@ DEP_KEY = ["ecosystem", "name", "version"]
 _PART = 20
 
 
+#: Marks of versions before their release, in order.
+PRE_RELEASE = ["dev", "alpha", "beta", "m", "pre", "rc"]
+_MARK = "dev|alpha|a|beta|b|m|preview|pre|rc"
+_NUMBERS = r"[0-9]+(?:[._-][0-9]+)*"
+_BEFORE = rf"^v?{_NUMBERS}[._-]?({_MARK})[._-]?([0-9]*)"
+
+
 def comparable(version: Column) -> Column:
-    """True when every part of the version is a number that fits the key."""
-    return version.rlike(rf"^\d{{1,{_PART}}}([._-]\d{{1,{_PART}}})*$")
+    """True for dotted numbers, with an optional leading v, pre-release mark and build suffix."""
+    number = rf"[0-9]{{1,{_PART}}}"
+    return F.lower(version).rlike(rf"^v?{number}([._-]{number})*([._-]?({_MARK})[._-]?[0-9]{{0,{_PART}}})?([+].*)?$")
 
 
 def version_key(version: Column) -> Column:
-    """Order-preserving text of a numeric dotted version; 1.2 and 1.2.0 are equal."""
-    trimmed = F.regexp_replace(version, r"([._-]0+)+$", "")
-    return F.array_join(F.transform(F.split(trimmed, r"[._-]"), lambda p: F.lpad(p, _PART, "0")), ".")
+    """Order-preserving text of a comparable version; 1.2 and 1.2.0 are equal, pre-releases come before their release."""
+    low = F.lower(version)
+    numbers = F.regexp_replace(F.regexp_extract(low, rf"^v?({_NUMBERS})", 1), r"([._-]0+)+$", "")
+    padded = F.array_join(F.transform(F.split(numbers, r"[._-]"), lambda p: F.lpad(p, _PART, "0")), ".")
+    mark = F.regexp_extract(low, _BEFORE, 1)
+    mark = F.when(mark == "a", "alpha").when(mark == "b", "beta").when(mark == "preview", "pre").otherwise(mark)
+    rank = F.array_position(F.array(*map(F.lit, PRE_RELEASE)), mark).cast("string")
+    # "!" sorts before "-", which sorts before the "." of a longer number
+    return F.concat(padded, F.when(mark == "", "-").otherwise(F.concat(F.lit("!"), rank, F.lpad(F.regexp_extract(low, _BEFORE, 2), _PART, "0"))))
 
 
 def cache_key() -> Column:
@@ -30,50 +44,56 @@ def newest_entry(cache: DataFrame) -> DataFrame:
     return cache.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
+def marked_by_cache(wanted: DataFrame, cache: DataFrame, now: Column, *, ttl_hours: int = 24) -> DataFrame:
+    """``wanted(key, ...)`` with ``fresh``: whether an entry not older than the TTL answers it; one join."""
+    fresh = cache.filter((now - F.col("cached_at")) <= F.expr(f"interval {ttl_hours} hours")).select("key").distinct()
+    return wanted.join(fresh.withColumn("fresh", F.lit(True)), "key", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+
+
 def split_by_cache(wanted: DataFrame, cache: DataFrame, now: Column, *, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of ``wanted(key, ...)``; entries older than the TTL do not count."""
-    fresh = (
-        cache.filter((now - F.col("cached_at")) <= F.expr(f"interval {ttl_hours} hours")).select("key").distinct()
-    )
-    return wanted.join(fresh, "key", "left_semi"), wanted.join(fresh, "key", "left_anti")
+    both = marked_by_cache(wanted, cache, now, ttl_hours=ttl_hours)
+    return both.filter("fresh").drop("fresh"), both.filter("NOT fresh").drop("fresh")
 
 
-def advisory_ranges(advisories: DataFrame) -> DataFrame:
-    """One row per affected interval: introduced inclusive, fixed exclusive or last_affected inclusive.
+def _intervals(events: Column) -> Column:
+    """Affected intervals of one range as keys; one interval with ``unknown`` if an event can't be compared."""
+    kinds = ("fixed", "introduced", "last_affected")  # in this order at one version
+    told = F.flatten(F.transform(events, lambda e: F.filter(
+        F.array(*[F.struct(F.lit(i).alias("kind"), e[k].alias("value")) for i, k in enumerate(kinds)]), lambda x: x["value"].isNotNull())))
+    ordered = F.array_sort(F.transform(told, lambda x: F.struct(version_key(x["value"]).alias("key"), x["kind"].alias("kind"))))
+
+    def interval(e: Column, i: Column) -> Column:
+        after = F.try_element_at(ordered, i + 2)
+        return F.struct(
+            e["kind"].alias("kind"), e["key"].alias("from"), F.when(after["kind"] == 0, after["key"]).alias("to"),
+            F.when(after["kind"] == 2, after["key"]).alias("last"), F.lit(False).alias("unknown"),
+        )
+
+    nothing = F.lit(None).cast("string")
+    open_question = F.array(F.struct(F.lit(1).alias("kind"), nothing.alias("from"), nothing.alias("to"), nothing.alias("last"), F.lit(True).alias("unknown")))
+    known = F.forall(told, lambda x: comparable(x["value"]))
+    return F.when(known, F.filter(F.transform(ordered, interval), lambda x: x["kind"] == 1)).otherwise(open_question)
 
-    An ``introduced`` event is closed by the event that follows it.
-    """
-    per_package = advisories.select("id", F.posexplode("affected").alias("_p", "a")).select(
-        "id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"),
-        F.explode("a.ranges").alias("r"),
-    )
-    events = F.col("r.events")
-    intervals = F.filter(
-        F.transform(
-            events,
-            lambda e, i: F.struct(
-                e["introduced"].alias("introduced"),
-                F.try_element_at(events, i + 2)["fixed"].alias("fixed"),
-                F.try_element_at(events, i + 2)["last_affected"].alias("last_affected"),
-            ),
-        ),
-        lambda x: x["introduced"].isNotNull(),
-    )
-    return per_package.select("id", "ecosystem", "name", F.explode(intervals).alias("x")).select(
-        "id", "ecosystem", "name", "x.introduced", "x.fixed", "x.last_affected"
-    )
 
+def rules(advisories: DataFrame, fields: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per affected interval and per listed version of a package, from one read of the advisories.
 
-def advisory_versions(advisories: DataFrame) -> DataFrame:
-    """Explicitly listed affected versions."""
-    return advisories.select("id", F.explode("affected").alias("a")).select(
-        "id", F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"),
-        F.explode("a.versions").alias("version"),
+    Ranges of ECOSYSTEM and SEMVER count, others (commit ranges) do not speak of
+    versions.  Events may come in any order.
+    """
+    per = advisories.select("id", *fields, F.explode("affected").alias("a"))
+    ranges = F.filter(F.coalesce("a.ranges", F.array()), lambda r: F.coalesce(r["type"], F.lit("ECOSYSTEM")).isin("ECOSYSTEM", "SEMVER"))
+    by_range = F.transform(F.flatten(F.transform(ranges, lambda r: _intervals(r["events"]))), lambda x: F.struct(x["from"], x["to"], x["last"], x["unknown"], F.lit(None).cast("string").alias("listed")))
+    nothing = [F.lit(None).cast("string").alias(n) for n in ("from", "to", "last")]
+    by_name = F.transform(F.coalesce("a.versions", F.array().cast("array<string>")), lambda v: F.struct(*nothing, F.lit(False).alias("unknown"), v.alias("listed")))
+    kept = [c for c in per.columns if c != "a"]
+    return per.select(*kept, F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), F.explode(F.concat(by_range, by_name)).alias("x")).select(
+        *kept, "ecosystem", "name", F.col("x.from").alias("from_key"), F.col("x.to").alias("to_key"), F.col("x.last").alias("last_key"), "x.unknown", "x.listed"
     )
 
 
-def flatten_advisories(advisories: DataFrame) -> DataFrame:
-    """Display fields of an advisory; first alias, first score, first fix, first link."""
+def _display() -> list[Column]:
     fixed = F.filter(
         F.flatten(F.flatten(F.transform("affected", lambda a: F.transform(
             F.coalesce(a["ranges"], F.array().cast("array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>")),
@@ -81,50 +101,49 @@ def flatten_advisories(advisories: DataFrame) -> DataFrame:
         lambda v: v.isNotNull(),
     )
     cvss = F.filter("severity", lambda s: s["type"] == "CVSS_V3")
-    return advisories.select(
-        "id",
+    return [
         F.coalesce(F.try_element_at("aliases", F.lit(1)), F.col("id"), F.lit("N/A")).alias("cve_id"),
         F.substring(F.coalesce("summary", F.lit("")), 1, 200).alias("summary"),
         F.coalesce(F.col("database_specific.severity"), F.lit("UNKNOWN")).alias("severity"),
         F.try_element_at(cvss, F.lit(1))["score"].alias("cvss_score"),
         F.coalesce(F.try_element_at(fixed, F.lit(1)), F.lit("")).alias("fixed_version"),
         F.coalesce(F.try_element_at("references", F.lit(1))["url"], F.lit("")).alias("url"),
-    )
+    ]
+
+
+def flatten_advisories(advisories: DataFrame) -> DataFrame:
+    """Display fields of an advisory; first alias, first score, first fix, first link."""
+    return advisories.select("id", *_display())
 
 
-def match(dependencies: DataFrame, ranges: DataFrame, listed: DataFrame | None = None) -> DataFrame:
-    """(ecosystem, name, version, id) of affected versions.
+def match(dependencies: DataFrame, told: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, id, ..., status) for ``rules``; status is affected or unknown.
 
     Works on the distinct versions: a package a third of all projects use is
-    one row per version here, whatever the number of projects, and the range
-    test runs behind the equality on ecosystem and name.
+    one row per version here, whatever the number of projects, and the rules
+    are tested behind the equality on ecosystem and name.  Where the version or
+    the range can't be compared, and nothing else says affected, the answer is
+    unknown rather than nothing.
     """
     versions = dependencies.select(*DEP_KEY).distinct().withColumn("_ok", comparable(F.col("version")))
-    keyed = versions.filter("_ok").withColumn("_v", version_key(F.col("version")))
-    r = (
-        ranges.withColumn("_from", version_key(F.col("introduced")))
-        .withColumn("_to", F.when(comparable(F.col("fixed")), version_key(F.col("fixed"))))
-        .withColumn("_last", F.when(comparable(F.col("last_affected")), version_key(F.col("last_affected"))))
-        .filter(comparable(F.col("introduced")))
-    )
-    usable = (F.col("fixed").isNull() | F.col("_to").isNotNull()) & (
-        F.col("last_affected").isNull() | F.col("_last").isNotNull()
-    )
-    by_range = keyed.join(r.filter(usable), ["ecosystem", "name"]).filter(
-        (F.col("_v") >= F.col("_from"))
-        & (F.col("_to").isNull() | (F.col("_v") < F.col("_to")))
-        & (F.col("_last").isNull() | (F.col("_v") <= F.col("_last")))
-    ).select(*DEP_KEY, "id")
-    if listed is not None:
-        by_range = by_range.unionByName(versions.join(listed, DEP_KEY).select(*DEP_KEY, "id"))
-    return by_range.distinct()
+    versions = versions.withColumn("_v", F.when(F.col("_ok"), version_key(F.col("version"))))
+    inside = (
+        (F.col("_v") >= F.col("from_key")) & (F.col("to_key").isNull() | (F.col("_v") < F.col("to_key")))
+        & (F.col("last_key").isNull() | (F.col("_v") <= F.col("last_key")))
+    )
+    status = (
+        F.when(F.col("listed").isNotNull(), F.when(F.col("listed") == F.col("version"), "affected"))
+        .when(F.col("unknown") | ~F.col("_ok"), "unknown").when(inside, "affected")
+    )
+    shown = [c for c in told.columns if c not in ("ecosystem", "name", "from_key", "to_key", "last_key", "unknown", "listed")]
+    hits = versions.join(told, ["ecosystem", "name"]).withColumn("status", status).filter(F.col("status").isNotNull())
+    return hits.groupBy(*DEP_KEY, *shown).agg(F.min("status").alias("status"))
 
 
 def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Every dependency row with every advisory that affects its version."""
-    hits = match(dependencies, advisory_ranges(advisories), advisory_versions(advisories))
-    described = hits.join(flatten_advisories(advisories), "id")
-    return dependencies.join(described, DEP_KEY).withColumn("version_comparable", comparable(F.col("version")))
+    """Every dependency row with every advisory that affects its version, or may do so."""
+    hits = match(dependencies, rules(advisories, tuple(_display())))
+    return dependencies.join(hits, DEP_KEY).withColumn("version_comparable", comparable(F.col("version")))
 
 
 def hits_per_package(hits: DataFrame) -> DataFrame:

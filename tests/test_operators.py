@@ -77,18 +77,32 @@ def test_top_k_ways_agree_with_brute_force(spark):
         assert {(r.query_id, r.doc_id, r.rank) for r in got.collect()} == want
 
 
-def test_version_order_and_ranges(spark):
-    versions = ["1.9", "1.10.0", "1.10", "2.0.0", "1.0rc1"]
-    r = spark.createDataFrame([(v,) for v in versions], "v string").select("v", dp.version_key(F.col("v")).alias("k"), dp.comparable(F.col("v")).alias("ok"))
-    k = {x.v: x.k for x in r.collect()}
-    assert k["1.9"] < k["1.10"] == k["1.10.0"] < k["2.0.0"]
-    assert [x.ok for x in r.collect()] == [True, True, True, True, False]
-
-
-def test_two_versions_of_one_package_keep_their_own_hits(spark):
-    deps = spark.createDataFrame([("p1", "m", "a", "1.0", "PyPI"), ("p2", "m", "a", "3.0", "PyPI")], "project string, manifest string, name string, version string, ecosystem string")
-    ranges = spark.createDataFrame([("X", "PyPI", "a", "0", "2.0", None), ("Y", "PyPI", "a", "2.5", None, "3.0")], "id string, ecosystem string, name string, introduced string, fixed string, last_affected string")
-    assert {(r.version, r.id) for r in dp.match(deps, ranges).collect()} == {("1.0", "X"), ("3.0", "Y")}
+def test_version_order(spark):
+    order = ["1.0dev3", "1.0a1", "1.0-beta.2", "1.0rc1", "1.0rc10", "1.0", "1.0.0.1", "1.9", "1.10", "v2.0.0rc1", "2"]
+    same = {"v1.10.0": "1.10", "2.0.0": "2", "1.0alpha1": "1.0a1", "1.0+build7": "1.0"}
+    r = spark.createDataFrame([(v,) for v in [*order, *same, "2.0.post-x", "abc"]], "v string").select("v", dp.version_key(F.col("v")).alias("k"), dp.comparable(F.col("v")).alias("ok"))
+    rows = {x.v: x for x in r.collect()}
+    assert sorted(order, key=lambda v: rows[v].k) == order and all(rows[v].ok for v in order)
+    assert all(rows[a].k == rows[b].k for a, b in same.items())
+    assert not rows["2.0.post-x"].ok and not rows["abc"].ok
+
+
+def test_ranges_types_order_and_open_questions(spark):
+    def advisory(id, *ranges, versions=()):
+        return (id, [((("a", "PyPI")), [(kind, [tuple(e.get(k) for k in ("introduced", "fixed", "last_affected")) for e in events]) for kind, events in ranges], list(versions))])
+
+    adv = [
+        advisory("sorted", ("ECOSYSTEM", [{"fixed": "2.0"}, {"introduced": "0"}, {"introduced": "2.5"}, {"last_affected": "3.0"}])),
+        advisory("commits", ("GIT", [{"introduced": "0"}])),
+        advisory("rc", ("SEMVER", [{"introduced": "1.0"}, {"fixed": "v2.0.0rc1"}])),
+        advisory("asked", ("ECOSYSTEM", [{"introduced": "1.0"}, {"fixed": "2.0.post-x"}]), versions=["1.5"]),
+    ]
+    kind = "id string, affected array<struct<package:struct<name:string,ecosystem:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,versions:array<string>>>"
+    deps = spark.createDataFrame([("p", "m", "a", v, "PyPI") for v in ("1.5", "2.0", "2.0.0rc1", "3.0", "3.1", "odd")], "project string, manifest string, name string, version string, ecosystem string")
+    got = {(r.version, r.id): r.status for r in dp.match(deps, dp.rules(spark.createDataFrame(adv, kind))).collect()}
+    want = {("1.5", "sorted"): "affected", ("2.0.0rc1", "sorted"): "affected", ("3.0", "sorted"): "affected", ("odd", "sorted"): "unknown", ("1.5", "rc"): "affected", ("odd", "rc"): "unknown"}
+    want |= {(v, "asked"): "unknown" for v in ("2.0", "2.0.0rc1", "3.0", "3.1", "odd")} | {("1.5", "asked"): "affected"}
+    assert got == want
 
 
 def test_cache_split_covers_the_input(spark):
