@@ -113,6 +113,15 @@ FROM (
 ) e
 """
 
+# Calls nested 0 to 9 deep, a function pointer and a generic type among the parameters.
+DEEP_CODE = f"""
+SELECT concat('deep', event_id) AS sample_id, CASE event_id % 2 WHEN 0 THEN 'c' ELSE 'java' END AS language, event_id % 10 AS k,
+       CASE event_id % 2 WHEN 0 THEN {text('void deep(char *q, void (*cb)(int, char), int n) {') } || chr(10) || '  system('
+            ELSE {text('void deep(Map<String, List<Integer>> m, String q) {')} || chr(10) || '  readObject(' END
+       || repeat('w(', CAST(event_id % 10 AS INT)) || 'q' || repeat(')', CAST(event_id % 10 AS INT)) || ');' || chr(10) || chr(125) AS code
+FROM {{events}}
+"""
+
 # -------------------------------------------------------------- whole files --
 # One function between a class, an old-style definition, a decorator, module code.
 _AROUND = {

@@ -85,6 +85,26 @@ def call_arguments(spark, sf):
     return per.groupBy("ident").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("functions"))
 
 
+@query(
+    "deep_arguments",
+    f"""
+SELECT sample_id, repeat('w(', CAST(k AS INT)) || 'q' || repeat(')', CAST(k AS INT)) AS arguments, CAST(k + 1 AS BIGINT) AS calls,
+       CASE language WHEN 'c' THEN 'q,cb,n' ELSE 'm,q' END AS parameters FROM {derived.cte(derived.DEEP_CODE)} d""",
+)
+def deep_arguments(spark, sf):
+    """Arguments of the outermost call however deep calls nest; parameters that are pointers to functions or generic."""
+    syn = extract.with_syntax(derived.derive(spark, sf, derived.DEEP_CODE))
+    return syn.select(
+        "sample_id", F.col("calls")[0]["args"].alias("arguments"), F.size("calls").cast("bigint").alias("calls"), F.array_join("params", ",").alias("parameters")
+    )
+
+
+@query("deep_flow", f"SELECT sample_id, 'q' AS source_var, 'direct' AS flow_kind FROM {derived.cte(derived.DEEP_CODE)} d")
+def deep_flow(spark, sf):
+    df = derived.derive(spark, sf, derived.DEEP_CODE).withColumn("file", F.concat("sample_id", F.when(F.col("language") == "c", ".c").otherwise(".java")))
+    return static_scan.scan(df).select("sample_id", "source_var", "flow_kind")
+
+
 @query(
     "file_functions",
     f"""

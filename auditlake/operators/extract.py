@@ -37,14 +37,17 @@ _NOISE_C = _STR + r"|//[^\n]*|/\*[\s\S]*?\*/"
 # Interpolated Python strings stay: their fields are code.
 _NOISE_PY = r"(\b[rR]?[fF](?:" + _STR + r"))|" + r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''|" + _STR + r"|#[^\n]*"
 
+# Parameter lists hold types, defaults and function pointers; deeper nesting than this is no declaration.
 _HEADER_C = (
-    r"^(?:\s*@[\w.]+\s*(?:\([^()]*+\))?)*+[^(){};=]*?([A-Za-z_]\w*)\s*\((" + _nested(1) + r")\)[^(){};=]*\{"
+    r"^(?:\s*@[\w.]+\s*(?:\([^()]*+\))?)*+[^(){};=]*?([A-Za-z_]\w*)\s*\((" + _nested(6) + r")\)[^(){};=]*\{"
 )
-_HEADER_PY = r"^([\s\S]*?)\bdef\s+([A-Za-z_]\w*)\s*\((" + _nested(1) + r")\)[^:\n]*:"
+_HEADER_PY = r"^([\s\S]*?)\bdef\s+([A-Za-z_]\w*)\s*\((" + _nested(6) + r")\)[^:\n]*:"
+_POINTER = r"\(\s*\*+\s*([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\)\s*\(" + _nested(6) + r"\)"
 
 _CALL_NAME = r"([A-Za-z_][\w.]*)\s*\("
 # Arguments sit in a lookahead, so calls nested in them are found as well.
-_CALL_ARGS = r"([A-Za-z_][\w.]*)\s*\((?=(" + _nested(4) + r"))"
+# The character behind them is an opening bracket only where they nest deeper than the pattern.
+_CALL_ARGS = r"([A-Za-z_][\w.]*)\s*\((?=(" + _nested(4) + r")([\s\S]?))"
 _ASSIGN_C = r"([A-Za-z_]\w*)\s*(?:\[[^\]\n]*\])?\s*=\s*([^=;{}\s][^;{}]*)"
 _ASSIGN_PY = r"(?m)^[ \t]*([A-Za-z_]\w*)[\w.]*\s*=\s*([^=\n\s][^\n]*)"
 _IDENT = r"([A-Za-z_]\w*)"
@@ -105,11 +108,35 @@ def _suffixes(name: Column) -> Column:
     )
 
 
+def _calls_by_depth(text: Column) -> Column:
+    """array<struct<name, args>> by a running bracket depth, however deep calls nest."""
+    kind = "array<struct<name:string,args:string>>"
+    tokens = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0)
+
+    def calls(t: Column) -> Column:
+        step = F.transform(t, lambda x: F.when(x == "(", 1).when(x == ")", -1).otherwise(0))
+        depth = F.aggregate(step, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))  # before token i, from 0
+
+        def of(d: Column) -> Column:
+            def one(i: Column) -> Column:  # token i opens, token i - 1 ends with the name
+                close = F.array_position(F.slice(d, i + 3, F.size(d)), d[i])  # tokens until the depth is back
+                inside = F.slice(t, i + 2, F.when(close > 0, close.cast("int") - 1).otherwise(F.size(t)))
+                return F.struct(F.regexp_extract(t[i - 1], r"([A-Za-z_][\w.]*)\s*$", 1).alias("name"), F.array_join(inside, "").alias("args"))
+
+            opens = F.filter(F.sequence(F.lit(1), F.size(t) - 1), lambda i: t[i] == "(")
+            return F.filter(F.transform(opens, one), lambda c: c["name"] != "")
+
+        return F.transform(F.array(depth), of)[0]
+
+    return F.when(F.size(tokens) > 1, F.transform(F.array(tokens), calls)[0]).otherwise(F.array().cast(kind))
+
+
 def _calls(text: Column) -> Column:
     """array<struct<name, suffixes, idents>> in text order."""
     names = F.regexp_extract_all(text, F.lit(_CALL_ARGS), 1)
     args = F.regexp_extract_all(text, F.lit(_CALL_ARGS), 2)
-    pairs = F.arrays_zip(names.alias("name"), args.alias("args"))
+    deeper = F.array_contains(F.regexp_extract_all(text, F.lit(_CALL_ARGS), 3), "(")
+    pairs = F.when(deeper, _calls_by_depth(text)).otherwise(F.arrays_zip(names.alias("name"), args.alias("args")))
     keep = F.filter(pairs, lambda p: ~F.substring_index(p["name"], ".", -1).isin(KEYWORDS))
     return F.transform(
         keep,
@@ -124,7 +151,8 @@ def _calls(text: Column) -> Column:
 
 def _params(text: Column, language: Column) -> Column:
     """Parameter names; the last identifier of each C/Java parameter, the first of a Python one."""
-    parts = F.split(text, ",")
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _POINTER, "$1"), "<[^<>]*>", ""), "<[^<>]*>", "")
+    parts = F.split(F.when(is_python(language), F.regexp_replace(text, r"=[^,()]*\([^()]*\)", "")).otherwise(flat), ",")
     c = F.transform(parts, lambda p: F.regexp_extract(p, r"([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)*$", 1))
     py = F.transform(parts, lambda p: F.regexp_extract(p, _IDENT, 1))
     picked = F.when(is_python(language), py).otherwise(c)
