@@ -60,6 +60,7 @@ class Items:
         runs = [np.unique(shingles(hashes.of(text.lower().split()))) for _, text in rows]
         self.ids = [i for i, _ in rows]
         self.runs = runs
+        self.all_runs = np.unique(np.concatenate([*runs, np.zeros(0, np.uint64)]))
         self.gate_bits = np.uint64((1 << 24) - 1)
         self.gate = np.zeros(1 << 24, bool)
         for r in runs:
@@ -81,7 +82,10 @@ class Items:
         """(item, share of its runs) for candidates of the MinHash search that reach ``least``."""
         candidates: set[int] = set()
         n = len(text_runs)
-        if not n or not self.gate[(text_runs & self.gate_bits).astype(np.int64)].any():
+        if not n:
+            return []
+        likely = text_runs[self.gate[(text_runs & self.gate_bits).astype(np.int64)]]
+        if not len(likely) or not np.isin(likely, self.all_runs).any():
             return []
         for bound, tables in self.partitions.items():
             starts = np.arange(0, n, bound)
