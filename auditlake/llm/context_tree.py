@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import HandOver, texts
 
-DEPTH, CHUNK, PART = 5, 32 << 20, 2 << 20
+DEPTH, CHUNK, PART, LOOKUP = 5, 32 << 20, 1 << 20, 1 << 18
 END = b"\n"
 _LOW = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
@@ -133,6 +133,57 @@ def log10_of_runs(codes: np.ndarray, n: np.ndarray, top: dict[str, np.ndarray])
     return total
 
 
+class Prices:
+    """run -> log10 in open addressing, so that a lookup touches one or two places whatever the table's size."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        bits = max(8, int(math.ceil(math.log2(max(1, len(codes)) * 1.5))))
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.codes, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        left, slots = np.arange(len(codes)), self._slots(codes)
+        while len(left):
+            free = self.codes[slots[left]] == -1
+            self.codes[slots[left[free]]] = codes[left[free]]  # of several for one slot the last stays
+            settled = self.codes[slots[left]] == codes[left]
+            self.values[slots[left[settled]]] = values[left[settled]]
+            left = left[~settled]
+            slots[left] = (slots[left] + 1) & self.last
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """All runs of the corpus have a price, so every search ends."""
+        slots = self._slots(codes)
+        miss = np.flatnonzero(self.codes[slots] != codes)
+        while len(miss):
+            slots[miss] = (slots[miss] + 1) & self.last
+            miss = miss[self.codes[slots[miss]] != codes[miss]]
+        return self.values[slots]
+
+
+def _totals(texts_of: pa.ChunkedArray, prices: Prices) -> np.ndarray:
+    """Sum of the runs' prices per text, looked up for many texts, or part of one, at a time."""
+    out, waiting, size = np.zeros(len(texts_of)), [], 0
+
+    def settle() -> None:
+        codes = [c for _, c in waiting]
+        starts = np.cumsum([0] + [len(c) for c in codes[:-1]])
+        np.add.at(out, [i for i, _ in waiting], np.add.reduceat(prices.of(np.concatenate(codes)), starts))
+
+    for i, value in enumerate(texts_of):
+        data = value.as_buffer().to_pybytes()
+        for at in range(0, len(data), LOOKUP):  # contexts of a later part are the bytes before it
+            waiting.append((i, runs(data[max(0, at - DEPTH) : at + LOOKUP])[min(at, DEPTH) :]))
+            size += len(waiting[-1][1])
+            if size >= LOOKUP:
+                settle()
+                waiting, size = [], 0
+    if waiting:
+        settle()
+    return out
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -182,6 +233,9 @@ def _counted(rows: DataFrame) -> DataFrame:
                 if waiting[learn]:
                     codes, n = np.unique(np.concatenate(waiting[learn]), return_counts=True)
                     parts.append((codes, n * learn))
+            if sum(len(c) for c, _ in parts) > 1_500_000:  # equal runs of the chunk's parts meet now and then
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                parts[:] = [(codes, np.bincount(at, np.concatenate([m for _, m in parts]), len(codes)).astype(np.int64))]
             waiting, size = [[], []], 0
 
         for batch in batches:
@@ -242,8 +296,8 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     facts = of_words.select("chunk", "word").join(words.hint("merge"), "word").select("chunk", "word", "c", F.lit(None).cast("bigint").alias("run"), F.lit(None).cast("double").alias("log10"))
     sent = None
     if prices.count() <= most_sent:
-        table = prices.orderBy("run").toArrow()
-        sent = spark.sparkContext.broadcast((table.column("run").to_numpy(), table.column("log10").to_numpy()))
+        table = prices.toArrow()
+        sent = spark.sparkContext.broadcast(Prices(table.column("run").to_numpy(), table.column("log10").to_numpy()))
     else:
         facts = facts.unionByName(of_runs.select("chunk", "run").join(prices.hint("merge"), "run").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("bigint").alias("c"), "run", "log10"))
     scale = math.log10(train_tokens + vocabulary + 1)
@@ -254,16 +308,14 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         if sent is None:
             mine = known.filter(pa.compute.is_valid(known.column("run")))
             codes, at = np.unique(mine.column("run").to_numpy(), return_index=True)
-            price_of = mine.column("log10").to_numpy()[at]
+            price_of = Prices(codes, mine.column("log10").to_numpy()[at])
         else:
-            codes, price_of = sent.value
+            price_of = sent.value
+        totals = _totals(docs_of.column("data"), price_of)
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "n_known", "base_score", "score")}
-        for value in docs_of.column("data"):
+        for value, total in zip(docs_of.column("data"), totals.tolist()):
             data = value.as_buffer().to_pybytes()
             c = np.array([counts.get(w, 0) for w in data.split()] + [counts.get(END, 0)])
-            total = 0.0
-            for at in range(0, len(data), PART):
-                total += float(price_of[np.searchsorted(codes, runs(data[max(0, at - DEPTH) : at + PART])[min(at, DEPTH) :])].sum())
             for k, v in (("n_bytes", len(data)), ("n_tokens", len(c)), ("n_known", int((c > 0).sum())), ("base_score", float(np.log10(c + 1.0).sum() - scale * len(c))), ("score", total)):
                 out[k].append(v)
         return pa.table({"doc_id": docs_of.column("doc_id"), "learn": docs_of.column("learn"), **out})
