@@ -3,7 +3,7 @@
 *Sketch.*  A text's five-word runs are labelled with their occurrence number, so
 that a repeated run counts each time.  For each of ``bands`` hash functions the
 smallest labelled runs are taken and written in the order in which they stand in
-the text: two for the wide key, five for the narrow one.  Texts that share runs in
+the text: three for the wide key, six for the narrow one.  Texts that share runs in
 the same order share keys, so a shared key speaks of a small edit distance.
 
 *Links.*  Equal word sequences are one node from the start.  In every bucket of
@@ -38,7 +38,7 @@ from auditlake.llm.common import HandOver, numbered, texts
 from auditlake.llm.components import components
 from auditlake.llm.shingles import WordHashes, mix, shingles
 
-BANDS, WIDE, NARROW = 32, 2, 5
+BANDS, WIDE, NARROW = 32, 3, 6
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
 
@@ -180,6 +180,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return sides.mapInArrow(run, "a bigint, b bigint")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends have different roots (a node without one is its own)."""
+    ra, rb = (roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
+    both = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets that hold several classes."""
+    rooted = members.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+    return rooted.join(mixed, "bucket")
+
+
 def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text) as written rows, and the root of every row that isn't alone: (row_id, root)."""
     rows = over.settle(sketched(docs, bands), "sketched")
@@ -192,40 +206,30 @@ def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int
     members = over.settle(wide.join(buckets, "bucket").select("bucket", "band", "lead", "row_id"), "members")
     needed = members.select("row_id").distinct()
     held = over.settle(nodes.select("row_id", "text", "narrow").join(needed, "row_id"), "held")
-    # each member with its bucket's smallest; the most frequent partner first
+    # each member with its bucket's smallest: first the most frequent one, the others where these leave them apart
     pairs = over.settle(members.filter("lead != row_id").groupBy(F.col("lead").alias("a"), F.col("row_id").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
-    first = pairs.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("m")).select("b", (-F.col("m.col2")).alias("a"))
-    links = over.settle(_verified(first.select("a", "b"), held, similarity), "links0")
-    roots = over.settle(components(links, over, "c0"), "roots0")
-
-    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        ra, rb = (roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
-        both = pairs.join(ra, "a", "left").join(rb, "b", "left")
-        return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-    def grown(links: DataFrame, pairs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        more = over.settle(_verified(pairs, held, similarity), f"links{turn}")
-        links = links.unionByName(more)
-        return links, over.settle(components(links, over, f"c{turn}"), f"roots{turn}")
-
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    links, roots = grown(links, apart(rest, roots), 1)
+    first = pairs.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    links = over.settle(_verified(first, held, similarity), "links0")
+    parents = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    links = links.unionByName(over.settle(_verified(_apart(pairs.select("a", "b"), parents), held, similarity), "links1"))
+    roots = over.settle(components(links, over, "c1"), "roots1")
     # buckets that still hold several classes: their members by the narrow key
-    rooted = members.join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    again = rooted.filter("row_id != lead").join(mixed, "bucket").select("row_id", "band")
-    keys = again.distinct().join(held.select("row_id", "narrow"), "row_id").select("row_id", F.expr("narrow[band]").alias("bucket"))
-    keys = over.settle(keys.distinct(), "narrow")
-    leads = over.settle(keys.groupBy("bucket").agg(F.min("row_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "leads")
-    pairs = keys.join(leads, "bucket").filter("a != row_id").select("a", F.col("row_id").alias("b")).distinct()
-    links, roots = grown(links, apart(pairs, roots), 2)
-    # narrow buckets that still hold several classes: every pair of different classes
-    rooted = keys.join(leads.select("bucket"), "bucket").join(roots.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn("root", F.coalesce("root", "row_id"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    left = over.settle(rooted.join(mixed, "bucket").select("bucket", "row_id", "root"), "left")
-    one, two = left.select("bucket", F.col("row_id").alias("a"), F.col("root").alias("ra")), left.select("bucket", F.col("row_id").alias("b"), F.col("root").alias("rb"))
-    pairs = one.join(two, "bucket").filter("a < b AND ra != rb").select("a", "b").distinct()
-    links, roots = grown(links, pairs, 3)
+    again = _mixed(members, roots).filter("row_id != lead").select("row_id", "band").distinct()
+    keys = over.settle(again.join(held.select("row_id", "narrow"), "row_id").select("row_id", F.expr("narrow[band]").alias("bucket")).distinct(), "narrow")
+    leads = over.settle(keys.groupBy("bucket").agg(F.min("row_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "leads")
+    if not leads.isEmpty():
+        members = keys.join(leads, "bucket").select("bucket", "lead", "row_id")
+        pairs = members.filter("lead != row_id").select(F.col("lead").alias("a"), F.col("row_id").alias("b")).distinct()
+        more = over.settle(_verified(_apart(pairs, roots), held, similarity), "links2")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = over.settle(components(links, over, "c2"), "roots2")
+        # narrow buckets that still hold several classes: every pair of different classes
+        left = over.settle(_mixed(members, roots).select("bucket", "row_id", "root"), "left")
+        one, two = left.select("bucket", F.col("row_id").alias("a"), F.col("root").alias("ra")), left.select("bucket", F.col("row_id").alias("b"), F.col("root").alias("rb"))
+        more = over.settle(_verified(one.join(two, "bucket").filter("a < b AND ra != rb").select("a", "b").distinct(), held, similarity), "links3")
+        if not more.isEmpty():
+            roots = over.settle(components(links.unionByName(more), over, "c3"), "roots3")
     # a node's copies share its root
     of_copy = copies.join(roots.withColumnRenamed("node", "of"), copies["node"] == F.col("of"), "left").select("row_id", F.coalesce("root", copies["node"]).alias("root"))
     of_node = roots.select(F.col("node").alias("row_id"), "root").join(copies, "row_id", "left_anti")
