@@ -34,8 +34,12 @@ def _decoded(raw: DataFrame) -> DataFrame:
 
 
 def labelled_csv(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Labelled functions from CSV, columns found by header name; rows without code are dropped."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Labelled functions from CSV, columns found by header name; rows without code are dropped.
+
+    All files of one call must have the same header; another order of columns
+    fails instead of being read under wrong names.
+    """
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
     for name in ("code", "func", "target", "cwe", "project", "func_name", "file"):
         if name not in raw.columns:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
@@ -282,9 +286,9 @@ def eval_reports(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "PERMISSIVE").json(path)
     )
     name = basename(F.col("_metadata.file_path"))
-    return (
-        raw.withColumn("size_bytes", F.col("_metadata.file_size"))
-        .withColumn("report_id", F.coalesce("report_id", name))
-        .filter(F.col("_corrupt_record").isNull())
-        .drop("_corrupt_record")
-    )
+    return whole_reports(raw.withColumn("size_bytes", F.col("_metadata.file_size")).withColumn("report_id", F.coalesce("report_id", name)))
+
+
+def whole_reports(raw: DataFrame) -> DataFrame:
+    """Reports without the broken ones."""
+    return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")

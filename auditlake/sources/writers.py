@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditlake.session import cut_lineage
+
 
 def scan_report(results: DataFrame, path: str, *, generated_at: Column | None = None) -> DataFrame:
     """Writes the result rows and, beside them, a one-row summary; returns the summary."""
     results.write.mode("overwrite").json(f"{path}/results")
-    summary = results.agg(
+    written = results.sparkSession.read.schema(results.schema).json(f"{path}/results")  # what was written, not computed again
+    summary = written.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("has_vulnerability")).alias("vulnerable")
     ).withColumn("generated_at", (generated_at if generated_at is not None else F.current_timestamp()).cast("string"))
     summary.write.mode("overwrite").json(f"{path}/summary")
@@ -47,11 +50,14 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 def load_new(docs: DataFrame, path: str, key: str = "id") -> DataFrame:
     """Appends the rows whose id is not stored yet; running it again adds nothing.
 
-    Rows without an id are skipped.  Returns the rows that were new.
+    Rows without an id are skipped; of several with one id, the first in the
+    order of their JSON counts.  Returns the rows that were new.
     """
-    usable = docs.filter(F.coalesce(F.col(key), F.lit("")) != "").dropDuplicates([key])
+    w = Window.partitionBy(key).orderBy(F.to_json(F.struct(*sorted(docs.columns))))
+    usable = docs.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     stored = _existing(docs.sparkSession, path)
     fresh = usable if stored is None else usable.join(stored.select(key), key, "left_anti")
+    fresh = cut_lineage(fresh)  # fixed before the table it was compared with grows
     fresh.write.mode("append").parquet(path)
     return fresh
 
