@@ -8,6 +8,7 @@ from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.catalog.scan_queries import TEXT_RULES, code, slices
 from auditlake.functions import rulebook as rb
+from auditlake.plans import triage
 from auditlake.operators import cwe, evaluate as ev, history as hs, responses as rs, sampling as sp, static_scan, votes as vt
 from auditlake.session import spread
 from auditlake.sources import readers
@@ -406,23 +407,25 @@ def scan_report_top(spark, sf):
 @query(
     "static_baselines",
     sq.SCAN + f""",
+d AS (SELECT *, CASE WHEN sink_type IS NULL OR risk_level = 'low' THEN 'safe' WHEN risk_level = 'high' THEN 'vuln' ELSE 'uncertain' END AS decision FROM slices),
 pairs AS (SELECT 'A' AS config, label, risk_level <> 'low' AS pred FROM slices UNION ALL SELECT 'A_high', label, risk_level = 'high' FROM slices
-          UNION ALL SELECT 'B', label, risk_level = 'high' OR (risk_level = 'medium' AND row_ord % 2 = 0) FROM slices),
+          UNION ALL SELECT 'B', label, CASE decision WHEN 'uncertain' THEN row_ord % 2 = 0 ELSE decision = 'vuln' END FROM d
+          UNION ALL SELECT 'C', label, CASE decision WHEN 'uncertain' THEN row_ord % 2 = 0 AND row_ord % 5 <> 0 ELSE decision = 'vuln' END FROM d),
 c AS (SELECT config, {_COUNTS} FROM pairs GROUP BY config) SELECT *, {_SCORES} FROM c""",
 )
 def static_baselines(spark, sf):
-    """Static only, static high only, static plus a screen of the medium ones; one scan, one aggregate."""
-    s = slices(spark, sf)
+    """Static only (A), static high only, static decision then screen (B), and the whole chain (C); one scan, one aggregate.
+
+    The screen finds even rows suspicious, the second reviewer rejects every fifth.
+    """
+    risk, even = F.col("risk_level"), F.col("row_ord") % 2 == 0
+    decision = F.when(F.col("sink_type").isNull() | (risk == "low"), "safe").when(risk == "high", "vuln").otherwise("uncertain")
+    s = triage.staged(slices(spark, sf), decision, screen=even, verify=F.col("row_ord") % 5 != 0)
     configs = F.array(
-        F.struct(F.lit("A").alias("config"), (F.col("risk_level") != "low").alias("pred")),
-        F.struct(F.lit("A_high").alias("config"), (F.col("risk_level") == "high").alias("pred")),
-        F.struct(
-            F.lit("B").alias("config"),
-            ((F.col("risk_level") == "high") | ((F.col("risk_level") == "medium") & (F.col("row_ord") % 2 == 0))).alias("pred"),
-        ),
-    )
-    long = s.select("label", F.explode(configs).alias("c")).select("label", "c.*")
-    return ev.metrics(long, "config")
+        F.struct(F.lit("A").alias("config"), (risk != "low").alias("pred")), F.struct(F.lit("A_high").alias("config"), (risk == "high").alias("pred")),
+        F.struct(F.lit("B").alias("config"), F.col("by_screen").alias("pred")), F.struct(F.lit("C").alias("config"), F.col("by_chain").alias("pred")),
+    )
+    return ev.metrics(s.select("label", F.explode(configs).alias("c")).select("label", "c.*"), "config")
 
 
 @query(

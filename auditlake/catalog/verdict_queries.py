@@ -329,6 +329,30 @@ def tool_aware_resolution(spark, sf):
     )
 
 
+_LATER = {
+    "verify": "plain {sample_id}", "verify:confirm_it": "Confirm {sample_id}? {focus}", "full_scan": "All of {sample_id}, known: {cases}",
+    "blind_spot": "{prior_verdict} {sample_id}, look elsewhere",
+}
+
+
+@query(
+    "later_stage_requests",
+    f"""
+WITH {_stage_cte()},
+n AS (SELECT *, CASE WHEN has1 = 0 THEN 'failed' WHEN suspicious = 1 AND full_window = 1 THEN 'scan' WHEN suspicious = 1 THEN 'verify'
+                     WHEN risk IN (0, 1) AND full_window = 1 THEN 'scan' WHEN risk IN (0, 1) THEN 'screened_third' ELSE 'screened' END AS path FROM st),
+w AS (SELECT *, (path = 'screened_third' OR (path = 'verify' AND (has2 = 0 OR v2 = 0 OR risk = 0))) AS third FROM n),
+r AS (SELECT k, 'verify' AS stage, 'Confirm ' || k || '? ' AS prompt, 1024 AS max_tokens FROM w WHERE path = 'verify'
+      UNION ALL SELECT k, 'full_scan', 'All of ' || k || ', known: none', 1024 FROM w WHERE path = 'scan'
+      UNION ALL SELECT k, 'blind_spot', CASE WHEN suspicious = 1 THEN 'suspicious' ELSE 'safe' END || ' ' || k || ', look elsewhere', 512 FROM w WHERE third)
+SELECT CAST(k AS VARCHAR) AS sample_id, stage, prompt, max_tokens FROM r""",
+)
+def later_stage_requests(spark, sf):
+    """Verify, full-scan and blind-spot requests of the samples that need them, worded by the preset's bias."""
+    asked = triage.needs_tool_aware(_stage_structs(spark, sf))
+    return triage.later_requests(asked, {"llm": {"agent2_bias": "confirm_it"}}, _LATER).select("sample_id", "stage", "prompt", "max_tokens")
+
+
 @query(
     "chain_resolution",
     f"""
@@ -391,6 +415,17 @@ def reviewer_conflicts(spark, sf):
     return pp.conflicts(_results(spark, sf)).select("sample_id", "r2_reads", "r3_reads")
 
 
+@query(
+    "arbiter_requests",
+    f"""WITH {_RES}, b AS (SELECT *, {_BOOL.format(v="v2", h="h2")} AS b2, {_BOOL.format(v="v3", h="h3")} AS b3 FROM j WHERE has2 AND has3)
+SELECT sample_id, CASE WHEN b2 THEN 'vuln' ELSE 'safe' END || ': ' || t2 || ' / ' || CASE WHEN b3 THEN 'vuln' ELSE 'safe' END || ': ' || t3 AS prompt
+FROM b WHERE b2 IS DISTINCT FROM b3""",
+)
+def arbiter_requests(spark, sf):
+    asked = triage.arbiter_requests(pp.conflicts(_results(spark, sf)), {}, {"arbiter": "{r2_reads}: {r2_reasoning} / {r3_reads}: {r3_reasoning}"})
+    return asked.select("sample_id", "prompt")
+
+
 _CAL = f"""{_RES},
 d AS (SELECT *, coalesce(has3 AND h3, false) AS found, coalesce(c3, 0.5) AS conf3, lower(coalesce(t2, '')) AS l2, lower(coalesce(t3, '')) AS l3 FROM j),
 ind AS (SELECT *, ((coalesce(w2, '') <> '' AND coalesce(w3, '') <> '' AND w2 <> w3)

@@ -37,6 +37,17 @@ def route(slices: DataFrame, params: dict) -> DataFrame:
     )
 
 
+def staged(df: DataFrame, decision: Column, *, screen: Column, verify: Column) -> DataFrame:
+    """Predictions of the staged baselines: the decision, then what is uncertain by the screen (B) and by screen and verification (C)."""
+    open_case = decision == "uncertain"
+    return df.withColumns(
+        {
+            "by_screen": F.when(open_case, screen).otherwise(decision == "vuln"),
+            "by_chain": F.when(open_case, screen & verify).otherwise(decision == "vuln"),
+        }
+    )
+
+
 def static_results(routed: DataFrame) -> DataFrame:
     """Final rows of the samples rules alone could settle."""
     return routed.filter(F.col("route") == "static").select(
@@ -244,6 +255,56 @@ def screen_requests(routed: DataFrame, params: dict, templates: dict[str, str] |
     )
 
 
+def later_requests(asked: DataFrame, params: dict, templates: dict[str, str] | None = None) -> DataFrame:
+    """Requests of the stages behind the first: verify, full_scan and blind_spot, in one read.
+
+    ``asked`` are samples with the first answer ``a1`` and the flags of
+    ``needs_tool_aware``; columns named in a template, or null-safe defaults for
+    ``focus``, ``prior_verdict`` and ``cases``, fill it.  A template called
+    "verify:<bias>" is taken when the preset's ``agent2_bias`` is that bias.  What
+    is asked depends on earlier answers, so the prompt is part of the identity.
+    """
+    model = params.get("llm", {})
+    t = {**rq.TEMPLATES, **(templates or {})}
+    biased = f"verify:{model.get('agent2_bias', '')}"
+    chosen = {"verify": t.get(biased, t["verify"]), "full_scan": t["full_scan"], "blind_spot": t["blind_spot"]}
+    stages = F.array_compact(F.array(*[F.when(F.col(flag), stage) for stage, flag in (("verify", "needs_verify"), ("full_scan", "needs_full_scan"), ("blind_spot", "needs_third"))]))
+    values = {
+        "focus": F.coalesce(F.col("a1.reasoning") if "reasoning" in asked.schema["a1"].dataType.names else F.lit(None).cast("string"), F.lit("")),
+        "prior_verdict": F.coalesce(F.col("a1.initial_verdict"), F.lit("unclear")),
+    }
+    if "cases" not in asked.columns:
+        values["cases"] = F.lit("none")
+    if "sanitizers" in asked.columns:
+        values = {**rq.slice_values(), **values}
+    rows = asked.withColumn("stage", F.explode(stages))
+    third = F.col("stage") == "blind_spot"
+    return _with_identity(
+        rows, rq.render_by(F.col("stage"), chosen, values), str(sorted(model.items())),
+        temperature=F.when(third, F.lit(float(model.get("agent3_temperature", 0.1)))).otherwise(float(model.get("agent2_temperature", 0.1))),
+        max_tokens=F.when(third, F.lit(int(model.get("agent3_max_tokens", 512)))).otherwise(int(model.get("agent2_max_tokens", 1024))),
+    )
+
+
+def arbiter_requests(disagreeing: DataFrame, params: dict, templates: dict[str, str] | None = None) -> DataFrame:
+    """One request per sample whose reviewers disagree (see ``postprocess.conflicts``)."""
+    template = {**rq.TEMPLATES, **(templates or {})}["arbiter"]
+    values = {f"{r}_{f}": F.coalesce(F.col(f"{r}.{f}").cast("string"), F.lit("")) for r in ("r2", "r3") for f in ("confidence", "reasoning")}
+    model = params.get("llm", {})
+    return _with_identity(
+        disagreeing.withColumn("stage", F.lit("arbiter")), rq.render(template, values), str(sorted(model.items())),
+        temperature=F.lit(float(model.get("arbiter_temperature", 0.0))), max_tokens=F.lit(int(model.get("arbiter_max_tokens", 512))),
+    )
+
+
+def _with_identity(rows: DataFrame, prompt: Column, params: str, *, temperature: Column, max_tokens: Column) -> DataFrame:
+    identity = F.sha2(F.concat_ws("|", "stage", prompt, F.lit(params), F.lit(rq.VERSION)), 256)
+    return rows.select(
+        identity.alias("request_id"), "sample_id", "stage", temperature.alias("temperature"), max_tokens.alias("max_tokens"), prompt.alias("prompt"),
+        F.lit("Answer with raw JSON only.").alias("system"),
+    )
+
+
 def score_with(requests: DataFrame, score_fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """Optional hook: answer requests inside Spark with a user's batch function."""
 
