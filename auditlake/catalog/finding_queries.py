@@ -8,6 +8,7 @@ from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.catalog.scan_queries import code, slices
 from auditlake.functions import rulebook as rb
+from auditlake.session import cut_lineage
 from auditlake.operators import extract, findings as fo, windows
 from auditlake.sources import readers
 
@@ -161,7 +162,7 @@ SELECT sample_id, language, array_to_string(tools_run, ',') AS tools_run,
 FROM ran""",
 )
 def tool_report(spark, sf):
-    s = slices(spark, sf)
+    s = cut_lineage(slices(spark, sf))  # scanned once, read for the reports and for the external findings
     tool = F.when(F.col("language") == "c", "codeql").otherwise("semgrep")
     reported = F.array_compact(
         F.array(

@@ -38,14 +38,9 @@ GROUP BY name""",
 def page_calls(spark, sf):
     """Called names in whole web pages (script text included)."""
     names = F.regexp_extract_all("html", F.lit(r"([A-Za-z_][\w.]*)\s*\("), 1)
-    rows = spread(table(spark, sf, "pages")).select(
-        F.filter(names, lambda n: ~F.substring_index(n, ".", -1).isin(extract.KEYWORDS)).alias("n")
-    )
-    # A page is one row, so its distinct names are known there: one shuffle by name.
-    per_page = rows.select(
-        F.explode(F.transform(F.array_distinct("n"), lambda d: F.struct(d.alias("name"), F.size(F.filter("n", lambda x: x == d)).alias("c")))).alias("p")
-    )
-    return per_page.groupBy("p.name").agg(F.sum("p.c").alias("calls"), F.count(F.lit(1)).alias("pages"))
+    kept = F.filter(names, lambda n: ~F.substring_index(n, ".", -1).isin(extract.KEYWORDS))
+    per_page = spread(table(spark, sf, "pages")).select("page_id", F.explode(kept).alias("name")).groupBy("page_id", "name").agg(F.count(F.lit(1)).alias("c"))
+    return per_page.groupBy("name").agg(F.sum("c").alias("calls"), F.count(F.lit(1)).alias("pages"))
 
 
 @query(

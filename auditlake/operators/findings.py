@@ -180,12 +180,14 @@ def supported_by(tool: str) -> Column:
     return F.col("language") == {"codeql": "c", "semgrep": "python", "bandit": "python"}[tool]
 
 
-def findings_text(findings: DataFrame) -> DataFrame:
-    """Findings of a sample as text, one line each, in line order.
-
-    Identical findings are counted first and written once with their number,
-    so the collected list is bounded by the function's lines and the rules,
-    however many rows repeat.
+def findings_text(findings: DataFrame, *, most_lines: int = 500) -> DataFrame:
+    """Findings of a sample as prompt text, one line each, in line order.
+
+    Identical findings are counted first and written once with their number.  A
+    prompt has room for so much: of more than ``most_lines`` different ones the
+    first stay and a last line says that there are more.  The rank is cut in
+    each task before the rows move, so a sample with millions of messages brings
+    ``most_lines`` + 1 rows per task together.
     """
     line = F.format_string(
         "  [%s] %s @ line %s: %s",
@@ -195,11 +197,14 @@ def findings_text(findings: DataFrame) -> DataFrame:
     counted = findings.select(
         "sample_id", F.coalesce("line", F.lit(0)).alias("_line"), "tool", "type", line.alias("_text")
     ).groupBy("sample_id", "_line", "tool", "type", "_text").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("sample_id").orderBy("_line", "tool", "type", "_text")
+    first = counted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most_lines + 1)
     text = F.when(F.col("_n") > 1, F.concat("_text", F.lit(" (x"), F.col("_n").cast("string"), F.lit(")"))).otherwise(
         F.col("_text")
     )
-    order = F.struct(F.col("_line"), F.col("tool"), F.col("type"), text.alias("text"))
-    return counted.groupBy("sample_id").agg(
+    told = F.when(F.col("_r") > most_lines, "  ... (more findings)").otherwise(text)
+    order = F.struct(F.col("_r"), told.alias("text"))
+    return first.groupBy("sample_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["text"]), "\n").alias(
             "findings_summary"
         )

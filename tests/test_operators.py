@@ -203,3 +203,10 @@ def test_overturn_keeps_both_reasons(spark):
     r = triage.resolve_tool_aware(df).collect()[0]
     assert (r.final_verdict, r.final_method, r.final_confidence, r.llm_calls) == ("vuln", "tool_aware_a2_false_positive_a3_blind_spot", 0.7, 3)
     assert r.reasoning == "first [A3 BLIND SPOT: other area]" and r.vulnerability_type == "CWE-78"
+
+
+def test_findings_text_has_a_last_line_where_it_is_cut(spark):
+    rows = [("s", "t", "x", i, f"m{i}", 1) for i in range(30)] + [("s", "t", "x", 0, "m0", 1), ("q", "t", "x", 1, "m", 1)]
+    df = spark.createDataFrame(rows, "sample_id string, tool string, type string, line int, message string, n int")
+    got = {r.sample_id: r.findings_summary.split("\n") for r in fo.findings_text(df, most_lines=5).collect()}
+    assert len(got["s"]) == 6 and got["s"][0].endswith("(x2)") and got["s"][-1] == "  ... (more findings)" and len(got["q"]) == 1
