@@ -3,7 +3,7 @@
 *Sketch.*  A text's five-word runs are labelled with their occurrence number, so
 that a repeated run counts each time.  For each of ``bands`` hash functions the
 smallest labelled runs are taken and written in the order in which they stand in
-the text: three for the wide key, six for the narrow one.  Texts that share runs in
+the text: three for the wide key, sixteen for the narrow one.  Texts that share runs in
 the same order share keys, so a shared key speaks of a small edit distance.
 
 *Links.*  Equal word sequences are one node from the start.  In every bucket of
@@ -38,7 +38,7 @@ from auditlake.llm.common import HandOver, numbered, texts
 from auditlake.llm.components import components
 from auditlake.llm.shingles import WordHashes, mix, shingles
 
-BANDS, WIDE, NARROW = 32, 3, 6
+BANDS, WIDE, NARROW = 32, 3, 16
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
 
