@@ -3,15 +3,17 @@
 *Sketch.*  A text's five-word runs are labelled with their occurrence number, so
 that a repeated run counts each time.  For each of ``bands`` hash functions the
 smallest labelled runs are taken and written in the order in which they stand in
-the text: three for the wide key, sixteen for the narrow one.  Texts that share runs in
+the text: three for the wide key, six for the narrow one.  Texts that share runs in
 the same order share keys, so a shared key speaks of a small edit distance.
 
 *Links.*  Equal word sequences are one node from the start.  In every bucket of
 a wide key all members are aligned with its smallest member.  Where the members
 of a bucket still belong to several classes, they meet again under their narrow
-keys, and where that leaves several classes too, under the narrow key every
-remaining pair of different classes is aligned.  So a bucket, however large, makes
-one pair per member and no pair is left unchecked that shares a narrow key.
+keys.  Where a bucket of a wide key then still holds several classes, every pair of
+different classes in it is compared, so no pair is left unchecked that shares a wide
+key.  Of these pairs only those are aligned whose numbers of words, in all and
+in ``BAG`` hashed parts of the vocabulary, allow the distance; pairs left out are
+farther apart for certain.
 
 *Verification.*  Two texts are linked if their word edit distance is at most
 (1 - ``similarity``) of the longer one's words, found by an alignment within a
@@ -27,6 +29,7 @@ class.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ from auditlake.llm.common import HandOver, numbered, texts
 from auditlake.llm.components import components
 from auditlake.llm.shingles import WordHashes, mix, shingles
 
-BANDS, WIDE, NARROW = 32, 3, 16
+BANDS, WIDE, NARROW, BAG = 32, 3, 6, 256
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
 
@@ -86,7 +89,7 @@ class Aligned:
     """Banded edit distance of one word sequence with many others."""
 
     def __init__(self, words: list[str]):
-        self.n = len(words)
+        self.n, self.bag = len(words), Counter(words)
         self.places: dict[str, int] = {}
         for i, w in enumerate(words):
             self.places[w] = self.places.get(w, 0) | 1 << i
@@ -124,7 +127,16 @@ class Aligned:
 
 def similar(a: Aligned, other: list[str], similarity: float) -> bool:
     longer = max(a.n, len(other))
-    return longer == 0 or a.within(other, int((1 - similarity) * longer + 1e-9))
+    if longer == 0:
+        return True
+    most = int((1 - similarity) * longer + 1e-9)
+    # each word that the other text lacks costs one edit
+    return longer - sum((a.bag & Counter(other)).values()) <= most and a.within(other, most)
+
+
+def bag(words: np.ndarray) -> bytes:
+    """How many words fall into each of ``BAG`` parts of the vocabulary, 255 at most."""
+    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
 
 
 def _words(text: str) -> list[str]:
@@ -132,7 +144,7 @@ def _words(text: str) -> list[str]:
 
 
 def sketched(docs: DataFrame, bands: int) -> DataFrame:
-    """row_id (given or new), doc_id, text, text_id (of the word sequence), wide, narrow."""
+    """row_id (given or new), doc_id, text, text_id (of the word sequence), wide, narrow, n_words, bag."""
     given = "row_id" in docs.columns
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -143,22 +155,25 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids, wide, narrow = [], [], []
+                ids, wide, narrow, sizes, bags = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     own = _words(text)
                     ids.append(hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest())
-                    w, n = sketch(shingles(hashes.of(own)), bands)
+                    hashed = hashes.of(own)
+                    w, n = sketch(shingles(hashed), bands)
+                    sizes.append(len(own))
+                    bags.append(bag(hashed))
                     wide.append(w)
                     narrow.append(n)
                 rows = part.column("row_id") if given else pa.array(range(row, row + len(ids)), pa.int64())
                 row += len(ids)
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [rows, part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary()), pa.array(wide, longs), pa.array(narrow, longs)],
-                    ["row_id", "doc_id", "text", "text_id", "wide", "narrow"],
+                    [rows, part.column("doc_id"), part.column("text"), pa.array(ids, pa.binary()), pa.array(wide, longs), pa.array(narrow, longs), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())],
+                    ["row_id", "doc_id", "text", "text_id", "wide", "narrow", "n_words", "bag"],
                 )
 
-    return docs.mapInArrow(run, f"row_id bigint, doc_id {id_type}, text string, text_id binary, wide array<bigint>, narrow array<bigint>")
+    return docs.mapInArrow(run, f"row_id bigint, doc_id {id_type}, text string, text_id binary, wide array<bigint>, narrow array<bigint>, n_words bigint, bag binary")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -180,6 +195,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return sides.mapInArrow(run, "a bigint, b bigint")
 
 
+def _near_bags(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose bags allow them to be similar; ``nodes`` (row_id, n_words, bag)."""
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("row_id").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(f"bag_{s}").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for s in "ab")
+            n = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            lacking = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
+            yield batch.select(["a", "b"]).filter(pa.array(lacking <= np.floor((1 - similarity) * n + 1e-9)))
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends have different roots (a node without one is its own)."""
     ra, rb = (roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
@@ -201,11 +233,11 @@ def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int
     same = over.settle(rows.groupBy("text_id").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "same")
     copies = over.settle(rows.select("row_id", "text_id").join(same, "text_id").select("row_id", "node"), "copies")
     nodes = rows.join(copies.filter("row_id != node"), "row_id", "left_anti")
-    wide = nodes.select("row_id", F.posexplode("wide").alias("band", "bucket"))
+    wide = nodes.select("row_id", "n_words", F.posexplode("wide").alias("band", "bucket"))
     buckets = over.settle(wide.groupBy("bucket").agg(F.min("row_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "buckets")
-    members = over.settle(wide.join(buckets, "bucket").select("bucket", "band", "lead", "row_id"), "members")
+    members = over.settle(wide.join(buckets, "bucket").select("bucket", "band", "lead", "row_id", "n_words"), "members")
     needed = members.select("row_id").distinct()
-    held = over.settle(nodes.select("row_id", "text", "narrow").join(needed, "row_id"), "held")
+    held = over.settle(nodes.select("row_id", "text", "narrow", "n_words", "bag").join(needed, "row_id"), "held")
     # each member with its bucket's smallest: first the most frequent one, the others where these leave them apart
     pairs = over.settle(members.filter("lead != row_id").groupBy(F.col("lead").alias("a"), F.col("row_id").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
     first = pairs.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
@@ -218,16 +250,18 @@ def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int
     keys = over.settle(again.join(held.select("row_id", "narrow"), "row_id").select("row_id", F.expr("narrow[band]").alias("bucket")).distinct(), "narrow")
     leads = over.settle(keys.groupBy("bucket").agg(F.min("row_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "leads")
     if not leads.isEmpty():
-        members = keys.join(leads, "bucket").select("bucket", "lead", "row_id")
-        pairs = members.filter("lead != row_id").select(F.col("lead").alias("a"), F.col("row_id").alias("b")).distinct()
-        more = over.settle(_verified(_apart(pairs, roots), held, similarity), "links2")
+        stars = keys.join(leads, "bucket").filter("lead != row_id").select(F.col("lead").alias("a"), F.col("row_id").alias("b")).distinct()
+        more = over.settle(_verified(_apart(stars, roots), held, similarity), "links2")
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = over.settle(components(links, over, "c2"), "roots2")
-        # narrow buckets that still hold several classes: every pair of different classes
-        left = over.settle(_mixed(members, roots).select("bucket", "row_id", "root"), "left")
-        one, two = left.select("bucket", F.col("row_id").alias("a"), F.col("root").alias("ra")), left.select("bucket", F.col("row_id").alias("b"), F.col("root").alias("rb"))
-        more = over.settle(_verified(one.join(two, "bucket").filter("a < b AND ra != rb").select("a", "b").distinct(), held, similarity), "links3")
+    # wide buckets that still hold several classes: every pair of different classes
+    left = over.settle(_mixed(members, roots).select("bucket", "row_id", "root", "n_words"), "left")
+    if not left.isEmpty():
+        one, two = (left.select("bucket", F.col("row_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_words").alias(f"n{s}")) for s in "ab")
+        met = one.join(two, "bucket").filter(f"a < b AND ra != rb AND abs(na - nb) <= {1 - similarity} * greatest(na, nb) + 1e-9D")
+        near = over.settle(_near_bags(met.select("a", "b").distinct(), held, similarity), "near")
+        more = over.settle(_verified(near, held, similarity), "links3")
         if not more.isEmpty():
             roots = over.settle(components(links.unionByName(more), over, "c3"), "roots3")
     # a node's copies share its root

@@ -101,6 +101,29 @@ def test_a_bucket_of_strangers_loses_no_link(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 3 for i in range(60)}
 
 
+def test_pairs_whose_buckets_are_led_by_a_stranger(spark):
+    """Every ten-word block of a row is in half of all rows; rows differ in five of 20 blocks and more (0.75), partners in four (0.8)."""
+    random.seed(7)
+    taken, rows = [], []
+    while len(rows) < 160:
+        one = [random.randrange(2) for _ in range(20)]
+        two = [1 - x if k in (1, 6, 11, 16) else x for k, x in enumerate(one)]
+        if all(sum(x != y for x, y in zip(new, old)) > 4 for new in (one, two) for old in taken):
+            taken += [one, two]
+            rows += [(len(rows) + n, " ".join(f"b{k}_{x}_{i}" for k, x in enumerate(v) for i in range(10))) for n, v in enumerate((one, two))]
+    got = edit_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(160)}
+
+
+def test_bags_never_leave_out_a_pair_that_is_alike():
+    random.seed(9)
+    for _ in range(300):
+        a = random.choices(range(40), k=random.randrange(1, 60))
+        b = [x if random.random() < 0.8 else random.randrange(60) for x in a if random.random() < 0.95]
+        one, two = (np.frombuffer(edit_near_dedup.bag(np.array(x, np.uint64)), np.uint8).astype(int) for x in (a, b))
+        assert max(np.maximum(one - two, 0).sum(), np.maximum(two - one, 0).sum()) <= edit_distance(a, b)
+
+
 def test_equal_texts(documents, odd, none):
     for df in (documents, odd):
         rows = [(r.doc_id, r.text or "") for r in df.collect()]
