@@ -1,9 +1,9 @@
 """Operator 1, near-duplicate classes by Order MinHash and banded alignment.
 
-*Sketch.*  A text's five-word runs are labelled with their occurrence number, so
+*Sketch.*  A text's three-word runs are labelled with their occurrence number, so
 that a repeated run counts each time.  For each of ``bands`` hash functions the
 smallest labelled runs are taken and written in the order in which they stand in
-the text: three for the wide key, six for the narrow one.  Texts that share runs in
+the text: two for the wide key, six for the narrow one.  Texts that share runs in
 the same order share keys, so a shared key speaks of a small edit distance.
 
 *Links.*  Equal word sequences are one node from the start.  In every bucket of
@@ -21,7 +21,7 @@ band of that width (bit-parallel over the band); 0.8 by default.
 
 Classes are the connected components of the links.  The row with the smallest id
 stays.  Words are white-space separated and lower-cased.  Null and empty texts
-have no words and are one class; a text of fewer than five words has one run.
+have no words and are one class; a text of fewer than three words has one run.
 Rows with a null id are classed like others and stay last; repeated rows share a
 class.  An empty table gives an empty result.
 """
@@ -41,7 +41,7 @@ from auditlake.llm.common import HandOver, numbered, texts
 from auditlake.llm.components import components
 from auditlake.llm.shingles import WordHashes, mix, shingles
 
-BANDS, WIDE, NARROW, BAG = 32, 3, 6, 256
+BANDS, RUN, WIDE, NARROW, BAG = 32, 3, 2, 6, 256
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
 
@@ -160,7 +160,7 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
                     own = _words(text)
                     ids.append(hashlib.blake2b(" ".join(own).encode(), digest_size=16).digest())
                     hashed = hashes.of(own)
-                    w, n = sketch(shingles(hashed), bands)
+                    w, n = sketch(shingles(hashed, RUN), bands)
                     sizes.append(len(own))
                     bags.append(bag(hashed))
                     wide.append(w)

@@ -115,6 +115,21 @@ def test_pairs_whose_buckets_are_led_by_a_stranger(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(160)}
 
 
+def test_scattered_edits_become_candidates(spark):
+    """Copies of 200 words with single words replaced at random places, at 0.8, 0.85 and 0.9."""
+    random.seed(3)
+    rows = []
+    for i in range(150):
+        words = [f"w{i}_{k}" for k in range(200)]
+        edited = list(words)
+        for k in random.sample(range(200), (40, 30, 20)[i % 3]):
+            edited[k] = f"e{i}_{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    got = {r.doc_id: r.class_id for r in edit_near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = [sum(got[2 * i + 1] == 2 * i for i in range(at, 150, 3)) for at in range(3)]
+    assert found[0] >= 45 and found[1] >= 49 and found[2] == 50
+
+
 def test_bags_never_leave_out_a_pair_that_is_alike():
     random.seed(9)
     for _ in range(300):
