@@ -180,15 +180,8 @@ def supported_by(tool: str) -> Column:
     return F.col("language") == {"codeql": "c", "semgrep": "python", "bandit": "python"}[tool]
 
 
-def findings_text(findings: DataFrame, *, most_lines: int = 500) -> DataFrame:
-    """Findings of a sample as prompt text, one line each, in line order.
-
-    Identical findings are counted first and written once with their number.  A
-    prompt has room for so much: of more than ``most_lines`` different ones the
-    first stay and a last line says that there are more.  The rank is cut in
-    each task before the rows move, so a sample with millions of messages brings
-    ``most_lines`` + 1 rows per task together.
-    """
+def _finding_lines(findings: DataFrame) -> DataFrame:
+    """sample_id, _r (place in the sample), _text: one row for each different finding, with its number."""
     line = F.format_string(
         "  [%s] %s @ line %s: %s",
         F.col("tool"), F.col("type"), F.coalesce(F.col("line").cast("string"), F.lit("?")),
@@ -198,17 +191,36 @@ def findings_text(findings: DataFrame, *, most_lines: int = 500) -> DataFrame:
         "sample_id", F.coalesce("line", F.lit(0)).alias("_line"), "tool", "type", line.alias("_text")
     ).groupBy("sample_id", "_line", "tool", "type", "_text").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("sample_id").orderBy("_line", "tool", "type", "_text")
-    first = counted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most_lines + 1)
     text = F.when(F.col("_n") > 1, F.concat("_text", F.lit(" (x"), F.col("_n").cast("string"), F.lit(")"))).otherwise(
         F.col("_text")
     )
-    told = F.when(F.col("_r") > most_lines, "  ... (more findings)").otherwise(text)
-    order = F.struct(F.col("_r"), told.alias("text"))
-    return first.groupBy("sample_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["text"]), "\n").alias(
-            "findings_summary"
-        )
-    )
+    return counted.select("sample_id", F.row_number().over(w).alias("_r"), text.alias("_text"))
+
+
+def _joined_lines() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_text"))), lambda o: o["_text"]), "\n")
+
+
+def findings_text(findings: DataFrame, *, most_lines: int | None = None) -> DataFrame:
+    """Findings of a sample as prompt text, one line each, in line order.
+
+    Identical findings are counted first and written once with their number.  All
+    different ones are in the text.  A caller whose prompt has room for so much
+    gives ``most_lines``: of more the first stay and a last line says that there
+    are more; the rank is then cut in each task before the rows move.  Where one
+    text would be too large, ``findings_blocks`` has the same lines as rows.
+    """
+    lines = _finding_lines(findings)
+    if most_lines is not None:
+        told = F.when(F.col("_r") > most_lines, "  ... (more findings)").otherwise(F.col("_text"))
+        lines = lines.filter(F.col("_r") <= most_lines + 1).withColumn("_text", told)
+    return lines.groupBy("sample_id").agg(_joined_lines().alias("findings_summary"))
+
+
+def findings_blocks(findings: DataFrame, *, lines: int = 500) -> DataFrame:
+    """The text of ``findings_text`` as rows: sample_id, block (from 0), findings_summary of at most ``lines`` lines each."""
+    block = F.floor((F.col("_r") - 1) / lines).alias("block")
+    return _finding_lines(findings).groupBy("sample_id", block).agg(_joined_lines().alias("findings_summary"))
 
 
 def merge_nearby(findings: DataFrame, *, within: int = 2, key: tuple[str, ...] = ("sample_id", "cwe")) -> DataFrame:
