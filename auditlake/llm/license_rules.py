@@ -5,10 +5,16 @@ label, keyword that must occur, and a pattern of its name; every family gets the
 same four phrasings from ``PHRASINGS``, strongest first.  ``NOTICES`` are whole
 sentences that stand for themselves.  Priority 0 is a machine-readable tag or a
 whole notice, 1 a grant ("licensed under ..."), 2 a mention.
+
+A space in a pattern stands for white space of any length, line breaks and the
+comment marks of the next lines included (``GAP``), as licence texts are wrapped.
 """
 
 from __future__ import annotations
 
+#: Fixed value: what a space in a pattern matches.
+GAP = r"(?:\s[\s*#/;%!>|\"-]*)"
+
 V = r"(?:,? ?\(?v(?:ersion|er\.?|\.)? ?|[- ]){n}(?:\.0)?"
 
 
@@ -120,7 +126,7 @@ NOTICES: list[tuple[str, str, str, int, str]] = [
     ("mit", "hereby granted", "free of charge", 0, r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("isc", "hereby granted", "fee", 0, r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "permitted", "source and binary", 0, r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("bsd-3-clause", "endorse", "endorse or promote", 0, r"neither the names? of .{1,80} may be used to endorse or promote products"),
+    ("bsd-3-clause", "endorse", "endorse or promote", 0, r"neither the names? of [\s\S]{1,160} may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising", "advertising materials", 0, r"all advertising materials mentioning features or use of this software"),
     ("apache-2.0", "licen", "apache", 0, r"licensed under the apache license, version 2\.0"),
     ("gpl", "licen", "redistribute", 0, r"you can redistribute it and/or modify it under the terms of the gnu general public license"),
@@ -143,9 +149,16 @@ NOTICES: list[tuple[str, str, str, int, str]] = [
 ]
 
 
+def spaced(pattern: str) -> str:
+    """The pattern with its spaces, those in character classes too, as gaps."""
+    for chars in ("[- ]", "[/ ]", "[-, ]"):
+        pattern = pattern.replace(chars, f"(?:[{chars[1:-2]}]|{GAP})")
+    return pattern.replace(" ", GAP)
+
+
 def rules() -> list[tuple[int, int, str, str, str, str]]:
     """All rules in order: number, priority, gate, keyword, label, pattern."""
     out = [(p, gate, key, label, pattern) for label, gate, key, p, pattern in NOTICES]
     for _, priority, before, after in PHRASINGS:
         out += [(priority, "licen", key, label, before + name + after) for label, key, name in FAMILIES]
-    return [(i, *r) for i, r in enumerate(out)]
+    return [(i, *r[:-1], spaced(r[-1])) for i, r in enumerate(out)]

@@ -42,9 +42,14 @@ def _spaced(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
 
+def _apart(keyword: str) -> str:
+    """The keyword as it stands among the words, whatever separates them in the text."""
+    return keyword.replace(" ", "  ")
+
+
 def _detections() -> Column:
     """Intervals of all rules that pass the prefilter, in the order the suppression reads them."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("number", "priority", "gate", "keyword", "label", "pattern"), r)]) for r in rules()])
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("number", "priority", "gate", "keyword", "label", "pattern", "apart"), (*r, _apart(r[3])))]) for r in rules()])
     low, gates = F.col("low"), F.col("gates")
 
     def spans(rule: Column) -> Column:
@@ -60,7 +65,7 @@ def _detections() -> Column:
         indexes = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
         return F.aggregate(indexes, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
 
-    passing = F.filter(table, lambda r: F.array_contains(gates, r["gate"]) & F.contains(low, r["keyword"]))
+    passing = F.filter(table, lambda r: F.array_contains(gates, r["gate"]) & (F.contains(low, r["keyword"]) | F.contains(F.col("words"), r["apart"])))
     return F.array_sort(
         F.flatten(F.transform(passing, spans)),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"])
@@ -90,6 +95,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         low, words=F.when(trimmed == "", F.lit("")).otherwise(F.concat(F.lit(" "), trimmed, F.lit(" "))),
         gates=F.filter(F.array(*map(F.lit, gates)), lambda g: F.contains(F.col("low"), g)),
     )
+    wrapped = F.filter(F.array(*[F.when(F.contains("words", F.lit(_apart(g))), F.lit(g)) for g in gates if " " in g]), lambda g: g.isNotNull())
+    low = settle(low.withColumnRenamed("gates", "plain"), gates=F.array_union("plain", wrapped)).drop("plain")
     places, firsts, lasts = [], [], []
     n_words = _count(F.col("words"), " ") / 2
     for phrase, _ in BASE:

@@ -246,6 +246,26 @@ def test_rules_and_suppression(spark):
     assert sorted((d.start, d.end, d.priority, d.number) for d in got[1].detections) == want
 
 
+def test_wrapped_and_commented_licence_headers(spark):
+    texts = [
+        ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"),
+        ("bsd", " * Redistribution and use in source\n * and binary forms, with or without\n *\n * modification,  are permitted"),
+        ("gpl", "# you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published"),
+        ("lgpl", "// you can redistribute it and/or modify\r\n// it under the terms of the GNU Lesser General Public\r\n// License"),
+        ("isc", ";; Permission to use, copy, modify, and distribute this software for any\n;; purpose with or without fee is hereby\n;; granted, provided"),
+        ("bsd-3-clause", "Neither the name of the owner nor the\nnames of its contributors may be used to endorse\nor promote products"),
+        ("apache-2.0", "-- Licensed under the Apache\n-- License, Version 2.0"),
+        ("public-domain", "This file is in the public\n   domain."),
+    ]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id int, text string")).collect()
+    by_number = {r[0]: r for r in rules()}
+    for r in got:
+        label, text = texts[r.doc_id]
+        assert label in r.labels, (label, text)
+        for d in r.detections:  # offsets are those of the text itself
+            assert re.fullmatch(by_number[d.number][5], text.lower()[d.start : d.end])
+
+
 def cheapest(roles):
     heap, seen = [(0, 0, 0)], set()
     while heap:
