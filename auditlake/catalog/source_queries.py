@@ -20,14 +20,19 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _file(lines: DataFrame, folder: str, name: str) -> None:
-    """One text file of that name in ``folder``."""
+#: Fixed value: rows of one written file at most.
+FILE_ROWS = 5_000
+
+
+def _files(lines: DataFrame, folder: str, name: str, rows: int = FILE_ROWS) -> None:
+    """Text files of that name below ``folder``, in folders of their own, of at most ``rows`` rows each."""
     spark = lines.sparkSession
-    lines.coalesce(1).write.text(f"{folder}/_written-{name}")
+    lines.write.option("maxRecordsPerFile", rows).text(f"{folder}/_written-{name}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    (part,) = (s.getPath() for s in fs.globStatus(path(f"{folder}/_written-{name}/part-*")))
-    fs.rename(part, path(f"{folder}/{name}"))
+    for number, part in enumerate(fs.globStatus(path(f"{folder}/_written-{name}/part-*"))):
+        fs.mkdirs(path(f"{folder}/p{number}"))
+        fs.rename(part.getPath(), path(f"{folder}/p{number}/{name}"))
     fs.delete(path(f"{folder}/_written-{name}"), True)
 
 
@@ -45,7 +50,7 @@ def source_tree(spark, sf):
     """Source files below a folder, by extension; other files are not read."""
     folder, code = _folder(spark, "tree"), derived.derive(spark, sf, derived.CODE)
     for language, name in (("c", "a.c"), ("python", "b.py"), ("java", "C.java"), ("c", "notes.txt")):
-        _file(code.filter(F.col("language") == language).select(F.concat("code", F.lit("\n")).alias("value")), f"{folder}/{language}", name)
+        _files(code.filter(F.col("language") == language).select(F.concat("code", F.lit("\n")).alias("value")), f"{folder}/{language}", name)
     found = extract.split_functions(readers.source_files(spark, folder)).filter("function_name LIKE 'fn#_%' ESCAPE '#'")
     return found.groupBy("language", "function_name").agg(F.count(F.lit(1)).alias("functions"))
 
@@ -125,7 +130,7 @@ _DEPS = derived.cte(derived.DEPENDENCIES)
 def manifest_files(spark, sf):
     """Requirement files below a folder."""
     folder, deps = _folder(spark, "manifests"), derived.derive(spark, sf, derived.DEPENDENCIES)
-    _file(deps.select(F.concat("name", F.lit("=="), "version").alias("value")), f"{folder}/p", "requirements.txt")
+    _files(deps.select(F.concat("name", F.lit("=="), "version").alias("value")), folder, "requirements.txt")
     return readers.manifests(spark, folder).groupBy("name", "version", "ecosystem").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from auditlake.catalog import source_queries
 from auditlake.plans import triage
 from auditlake.sources import readers, writers
 from auditlake.streaming import incremental
@@ -25,6 +26,14 @@ def test_source_files(spark, tmp_path):
     assert readers.source_files(spark, str(tmp_path), ["python"]).count() == 1
 
 
+def test_written_source_files_are_bounded(spark, tmp_path):
+    lines = spark.range(0, 25, 1, 2).select(F.concat(F.lit("int f"), "id", F.lit("() {}")).alias("value"))
+    source_queries._files(lines, str(tmp_path / "c"), "a.c", rows=4)
+    got = [r.content.splitlines() for r in readers.source_files(spark, str(tmp_path)).collect()]
+    assert len(got) >= 7 and max(map(len, got)) <= 4
+    assert sorted(x for part in got for x in part) == sorted(f"int f{i}() {{}}" for i in range(25))
+
+
 def test_labelled_files(spark, tmp_path):
     csv = write(tmp_path / "d.csv", 'code,target,cwe\n"int f(int a) {\n return ""x"";\n}",1,CWE-1\n"",0,\n"void g() {}",0,\n')
     got = {(r.function_name, r.label) for r in readers.labelled_csv(spark, csv, "set").collect()}
