@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import best_fit, chat_repair, containment, context_tree, edit_near_dedup, license_scan, radix_dedup, suffix_dedup, token_matrix, toxic_segments
+from auditlake.llm import best_fit, chat_repair, containment, context_tree, edit_near_dedup, impact_search, license_scan, prefix_trie, radix_dedup, suffix_dedup, token_counts, token_matrix, toxic_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,64 @@ def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH c AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+i AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, bit: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM c)),
+r AS (
+  SELECT i.conv_id, place, role, text FROM i JOIN c ON c.conv_id = i.base AND place < h
+  UNION ALL SELECT i.conv_id, place, role, text FROM i JOIN c ON c.conv_id = i.conv_id AND place >= h),
+l AS (
+  SELECT i.conv_id, list([role, text] ORDER BY place) FILTER (place IS NOT NULL) AS turns FROM i LEFT JOIN r ON r.conv_id = i.conv_id GROUP BY i.conv_id),
+p AS (SELECT conv_id, coalesce(turns, []) AS turns, unnest(range(0, coalesce(len(turns), 0) + 1)) AS depth FROM l),
+k AS (SELECT conv_id, depth, len(turns) = depth AS ends, turns[1:depth] AS node, turns[1:depth - 1] AS parent, coalesce(length(turns[depth][2]), 0) AS chars FROM p),
+n AS (
+  SELECT node, any_value(parent) AS parent, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended FROM k GROUP BY node, depth),
+m AS (SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.depth = n.depth + 1 AND x.parent = n.node) AS n_children FROM n),
+s AS (
+  SELECT k.node, k.depth, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.chars) AS saved_tokens
+  FROM m JOIN k ON k.conv_id = m.conv_id AND k.depth <= m.depth GROUP BY k.node, k.depth)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ended) AS ends_sha256
+FROM m JOIN s ON s.node = m.node AND s.depth = m.depth LEFT JOIN m AS up ON up.depth = m.depth - 1 AND up.node = m.parent
+"""
+
+
+@query
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+ORACLES["op13_impact_search"] = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+z AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, z GROUP BY term),
+g AS (
+  SELECT item_id, f.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN f ON f.term = q.term JOIN w ON w.term = q.term JOIN d ON d.doc_id = f.doc_id, z GROUP BY item_id, f.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM g WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
