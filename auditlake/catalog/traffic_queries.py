@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.operators import traffic as tr
-from auditlake.streaming import incremental as inc
+from auditlake.streaming import incremental as inc, suppression
 
 # One event is one request: the endpoint by type, the object id from the value.
 REQUESTS = """
@@ -101,14 +101,25 @@ def stream_scan(spark, sf):
     return inc.run_available(out, *inc.fresh_paths(spark, "scan"))
 
 
+# Requests arrive in three deliveries, up to seven hours out of order.
+_DELIVERY = "least(2, cast(floor((unix_timestamp(ts) - unix_timestamp(timestamp'2024-01-01 00:00:00') + event_id % 8 * 3600) / 864000) as int))"
+
+
 @query(
     "stream_request_suppression",
-    "SELECT user_id || ':' || event_type AS request_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(1 AS BIGINT) AS asked FROM events GROUP BY ALL",
+    """WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS request_id, epoch_us(ts) AS us FROM events),
+d AS (SELECT * FROM e WHERE us <= (SELECT max(us) // 1000 * 1000 - 8 * 3600000000 FROM e)),
+a AS (SELECT request_id, min(us) AS us FROM d GROUP BY request_id
+      UNION ALL SELECT a.request_id, (SELECT min(d.us) FROM d WHERE d.request_id = a.request_id AND d.us >= a.us + 86400000000) FROM a WHERE a.us IS NOT NULL)
+SELECT request_id, us AS asked_us, CAST(0 AS BIGINT) AS late_rows FROM a WHERE us IS NOT NULL""",
 )
 def stream_request_suppression(spark, sf):
-    """A request repeated within its 24-hour window is asked once."""
-    asked = _event_stream(spark, sf).select(
-        F.concat_ws(":", "user_id", "event_type").alias("request_id"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    out = inc.run_available(inc.suppress_repeats(asked), *inc.fresh_paths(spark, "suppress"))
-    return out.groupBy("request_id", F.floor(F.unix_timestamp("window_start") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("asked"))
+    """A request is asked once in 24 hours from the time it was asked; those of the last 8 hours are still undecided."""
+    base, arrivals = inc.fresh_paths(spark, "suppress")
+    events = table(spark, sf, "events").select(F.concat_ws(":", "user_id", "event_type").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    asked = late = None
+    for delivery in range(3):
+        events.filter(F.expr(_DELIVERY) == delivery).write.parquet(f"{arrivals}/{delivery}")
+        stream = inc.arriving(spark, arrivals, events.schema, recursiveFileLookup=True)
+        asked, late = suppression.run(stream, base, late="8 hours")
+    return asked.select("request_id", F.unix_micros("asked_at").alias("asked_us")).join(F.broadcast(late.agg(F.count(F.lit(1)).alias("late_rows"))))

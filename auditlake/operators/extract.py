@@ -37,19 +37,24 @@ _NOISE_C = _STR + r"|//[^\n]*|/\*[\s\S]*?\*/"
 # Interpolated Python strings stay: their fields are code.
 _NOISE_PY = r"(\b[rR]?[fF](?:" + _STR + r"))|" + r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''|" + _STR + r"|#[^\n]*"
 
+#: Levels of parentheses the patterns look into; calls nested deeper are found by a running depth.
+DEPTH = 16
+
 # Parameter lists hold types, defaults and function pointers; deeper nesting than this is no declaration.
 _HEADER_C = (
-    r"^(?:\s*@[\w.]+\s*(?:\([^()]*+\))?)*+[^(){};=]*?([A-Za-z_]\w*)\s*\((" + _nested(6) + r")\)[^(){};=]*\{"
+    r"^(?:\s*@[\w.]+\s*(?:\([^()]*+\))?)*+[^(){};=]*?(?<!\w)([A-Za-z_]\w*+)\s*+\((" + _nested(DEPTH) + r")\)[^(){};=]*\{"
 )
-_HEADER_PY = r"^([\s\S]*?)\bdef\s+([A-Za-z_]\w*)\s*\((" + _nested(6) + r")\)[^:\n]*:"
-_POINTER = r"\(\s*\*+\s*([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\)\s*\(" + _nested(6) + r"\)"
+_HEADER_PY = r"^([\s\S]*?)\bdef\s+([A-Za-z_]\w*)\s*\((" + _nested(DEPTH) + r")\)[^:\n]*:"
+_POINTER = r"\(\s*\*+\s*([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\s*\)\s*\(" + _nested(DEPTH) + r"\)"
 
 _CALL_NAME = r"([A-Za-z_][\w.]*)\s*\("
 # Arguments sit in a lookahead, so calls nested in them are found as well.
 # The character behind them is an opening bracket only where they nest deeper than the pattern.
-_CALL_ARGS = r"([A-Za-z_][\w.]*)\s*\((?=(" + _nested(4) + r")([\s\S]?))"
-_ASSIGN_C = r"([A-Za-z_]\w*)\s*(?:\[[^\]\n]*\])?\s*=\s*([^=;{}\s][^;{}]*)"
-_ASSIGN_PY = r"(?m)^[ \t]*([A-Za-z_]\w*)[\w.]*\s*=\s*([^=\n\s][^\n]*)"
+_CALL_ARGS = r"(?<![\w.])\.*+([A-Za-z_][\w.]*+)\s*+\((?=(" + _nested(DEPTH) + r")([\s\S]?))"
+# One pass writes every call as mark, name, mark, arguments, mark, next character, mark.
+_MARKS = "\x01\x02\x03\x04"
+_ASSIGN_C = r"(?<!\w)([A-Za-z_]\w*+)\s*+(?:\[[^\[\]\n]*+\])?+\s*+=\s*+([^=;{}\s][^;{}]*+)"
+_ASSIGN_PY = r"(?m)^[ \t]*+([A-Za-z_]\w*+)[\w.]*+\s*+=\s*+([^=\n\s][^\n]*+)"
 _IDENT = r"([A-Za-z_]\w*)"
 
 
@@ -133,10 +138,18 @@ def _calls_by_depth(text: Column) -> Column:
 
 def _calls(text: Column) -> Column:
     """array<struct<name, suffixes, idents>> in text order."""
-    names = F.regexp_extract_all(text, F.lit(_CALL_ARGS), 1)
-    args = F.regexp_extract_all(text, F.lit(_CALL_ARGS), 2)
-    deeper = F.array_contains(F.regexp_extract_all(text, F.lit(_CALL_ARGS), 3), "(")
-    pairs = F.when(deeper, _calls_by_depth(text)).otherwise(F.arrays_zip(names.alias("name"), args.alias("args")))
+    start, args, after, end = _MARKS
+    plain = F.when(text.rlike(f"[{_MARKS}]"), F.translate(text, _MARKS, "    ")).otherwise(text)
+    marked = F.split(F.regexp_replace(plain, _CALL_ARGS, f"{start}$1{args}$2{after}$3{end}"), start)
+
+    def of(parts: Column) -> Column:
+        found = F.transform(
+            F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))),
+            lambda x: F.struct(F.substring_index(x, args, 1).alias("name"), F.substring_index(F.substring_index(x, after, 1), args, -1).alias("args")),
+        )
+        return F.when(F.exists(parts, lambda x: F.instr(x, f"{after}({end}") > 0), _calls_by_depth(text)).otherwise(found)
+
+    pairs = F.transform(F.array(marked), of)[0]
     keep = F.filter(pairs, lambda p: ~F.substring_index(p["name"], ".", -1).isin(KEYWORDS))
     return F.transform(
         keep,

@@ -1,11 +1,10 @@
-"""Streaming forms: scan of arriving functions, suppression of repeated requests."""
+"""Streaming forms: scan of arriving functions; see ``suppression`` for repeated requests."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auditlake.operators import extract, static_scan
 from auditlake.session import checkpoint_folder
@@ -26,18 +25,6 @@ def scan_files(stream: DataFrame) -> DataFrame:
     return static_scan.scan(extract.split_functions(stream))
 
 
-def suppress_repeats(requests: DataFrame, *, key: str = "request_id", ts: str = "ts", hours: int = 24, late: str = "30 days") -> DataFrame:
-    """First request per key and window of ``hours`` (windows start at multiples of it); the others are dropped.
-
-    What is a repeat follows from the rows alone, so no split into batches can
-    change it, as long as no row comes more than ``late`` behind the newest one;
-    rows later than that are dropped.  State is one row per key and open window.
-    """
-    window_start = F.window(ts, f"{hours} hours")["start"].alias("window_start")
-    kept = [c for c in requests.columns if c != ts]
-    return requests.select(*kept, F.col(ts).alias("asked_at"), window_start).withWatermark("window_start", late).dropDuplicates([key, "window_start"])
-
-
 def run_available(stream: DataFrame, table_path: str, state_path: str) -> DataFrame:
     """Processes what arrived since the last call, exactly once, and returns the whole table.
 

@@ -104,14 +104,3 @@ def test_a_second_call_handles_new_files_only(spark, tmp_path):
     write(src / "b.json", json.dumps({"file": "b.py", "language": "python", "content": "def g(x):\n  exec(x)\n"}))
     assert run() == [("a.py#f#1", "eval"), ("b.py#g#1", "exec")]
     assert run() == [("a.py#f#1", "eval"), ("b.py#g#1", "exec")]
-
-
-@pytest.mark.parametrize("files_per_batch", [1, 100])
-def test_suppression_does_not_depend_on_batches(spark, tmp_path, files_per_batch):
-    src = tmp_path / "in"
-    asked = [("a", "01T01"), ("a", "01T23"), ("b", "01T06"), ("a", "05T01"), ("a", "10T00"), ("b", "10T01"), ("a", "10T12")]
-    for i, (k, t) in enumerate(asked):
-        write(src / f"{i}.json", json.dumps({"request_id": k, "t": f"2024-01-{t}:00:00"}))
-    stream = incremental.arriving(spark, str(src), "request_id string, t timestamp", "json", maxFilesPerTrigger=files_per_batch).withColumn("ts", F.col("t"))
-    out = incremental.run_available(incremental.suppress_repeats(stream), str(tmp_path / "table"), str(tmp_path / "state"))
-    assert sorted((r.request_id, str(r.window_start)[8:10]) for r in out.collect()) == [("a", "01"), ("a", "05"), ("a", "10"), ("b", "01"), ("b", "10")]
