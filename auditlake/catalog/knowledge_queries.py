@@ -8,7 +8,7 @@ from auditlake import schemas
 from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.functions import rulebook as rb
-from auditlake.operators import dependencies as dp, knowledge as kb, retrieval as rt
+from auditlake.operators import dependencies as dp, knowledge as kb, retrieval as rt, vector_index as vi
 from auditlake.session import cut_lineage, spread
 from auditlake.sources import readers
 
@@ -167,14 +167,36 @@ def _items(spark, sf):
     return b.join(e, "query_id")
 
 
-@query("topk_recall", "SELECT count(*) AS queries, count(*) * 10 AS exact, true AS reaches_0_9 FROM embeddings WHERE vec_id % 20 = 0")
-def topk_recall(spark, sf):
-    """Pruned search over every vector against the exact one: recall of the ten nearest."""
+def _pruned(spark, sf):
+    """A query in twenty against every vector by codes of 16 bytes, 50 whole vectors per query; and the exact ten nearest."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = e.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    found = rt.top_k_pruned(q, e, rt.centroids(e, cells=16), k=10, probes=12)
-    exact = rt.top_k(q, e, k=10)
-    return rt.recall_at_k(found, exact).select("queries", "exact", (F.col("recall") >= 0.9).alias("reaches_0_9"))
+    index = vi.fit(e, cells=16, slices=16)
+    codes = cut_lineage(vi.indexed(e, index))
+    read = vi.candidates(q, codes, index, probes=16, rerank=50).count()
+    return e, codes, read, rt.recall_at_k(vi.search(q, e, index, codes, k=10, rerank=50), rt.top_k(q, e, k=10))
+
+
+@query(
+    "topk_recall",
+    """WITH n AS (SELECT count(*) AS vectors, count(*) FILTER (vec_id % 20 = 0) AS queries FROM embeddings)
+SELECT queries, queries * 10 AS exact, true AS reaches_0_9, vectors AS indexed, queries * least(50, vectors) AS vectors_read, least(50, vectors) * 4 <= vectors AS at_most_a_quarter FROM n""",
+)
+def topk_recall(spark, sf):
+    """Pruned search over every vector against the exact one: recall of the ten nearest, and how many whole vectors it read."""
+    e, codes, read, recall = _pruned(spark, sf)
+    n = e.count()
+    return recall.select(
+        "queries", "exact", (F.col("recall") >= 0.9).alias("reaches_0_9"), F.lit(codes.count()).cast("long").alias("indexed"),
+        F.lit(read).cast("long").alias("vectors_read"), (F.lit(read) * 4 <= F.col("queries") * n).alias("at_most_a_quarter"),
+    )
+
+
+@query("topk_pruned_figures")
+def topk_pruned_figures(spark, sf):
+    """The figures behind ``topk_recall``: recall, and the share of query-vector pairs whose whole vector was read."""
+    e, _, read, recall = _pruned(spark, sf)
+    return recall.select("queries", "recall", (F.lit(read) / (F.col("queries") * e.count())).alias("share_read"))
 
 
 @query(
@@ -188,7 +210,7 @@ def topk_blocks(spark, sf):
     """The exact way for many queries, with text ids."""
     e = table(spark, sf, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "vec_id")
     q = e.filter("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query_id"), "vector")
-    return rt.top_k(q, e, k=5, broadcast_limit=0, block_rows=300).select("query_id", "doc_id", "rank")
+    return rt.top_k(q, e, k=5, broadcast_bytes=0, block_rows=300).select("query_id", "doc_id", "rank")
 
 
 @query("bm25_pool", f"WITH {_POOL} SELECT query_id, doc_id, rank, round(bm25, 4) AS bm25 FROM bm")
@@ -204,6 +226,16 @@ def hybrid_retrieval(spark, sf):
     return out.select("query_id", "doc_id", "final_rank", "bm25_rank", "rank", F.round("rrf", 6).alias("rrf"))
 
 
+@query("hybrid_pruned", "SELECT count(*) AS queries, true AS same_nine_in_ten FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)")
+def hybrid_pruned(spark, sf):
+    """Hybrid retrieval whose pool comes from the codes, against the exact one: the same cases."""
+    q, d = _items(spark, sf), _kb(spark, sf)
+    pool = vi.search(q, d, vi.fit(d, cells=16, slices=16), k=10, rerank=200, threshold=0.0)
+    found, exact = (rt.hybrid(q, d, k=5, threshold=0.0, pool=p) for p in (pool, None))
+    out = rt.recall_at_k(found, exact)
+    return out.select("queries", (F.col("recall") >= 0.9).alias("same_nine_in_ten"))
+
+
 @query(
     "cases_section",
     f"""WITH {_RRF}

@@ -2,7 +2,7 @@
 
 Vector top-k is exact.  Two ways give the same rows:
 
-* few queries (size checked): the query matrix is broadcast, every task scores
+* few queries (bytes checked): the query matrix is broadcast, every task scores
   its part of the knowledge base in place and hands on k rows per query;
 * otherwise both sides are cut into blocks of bounded size and each pair of
   blocks is one task that again hands on k rows per query.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from auditlake.functions import rulebook as rb
 from auditlake.session import at_most, cut_lineage
 
-# Broadcast bound: this many query vectors (64 MB at 1024 doubles each).
-MAX_BROADCAST_QUERIES = 8192
+# Most bytes of query vectors and ids that are broadcast.
+MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 # Scores held at once by a task (32 MB of doubles).
 CHUNK_CELLS = 4_000_000
@@ -117,7 +117,7 @@ def unusable(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def top_k(
     queries: DataFrame, docs: DataFrame, *, k: int, threshold: float = -2.0, metric: str = "cosine",
-    broadcast_limit: int = MAX_BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """query_id, doc_id, similarity, rank for ``queries(query_id, vector)`` and ``docs(doc_id, vector)``.
 
@@ -128,7 +128,7 @@ def top_k(
     q, d = queries.select("query_id", "vector"), docs.select("doc_id", "vector")
     size = _vector_size(q)
     q, d = q.filter(usable("query_id", size)), d.filter(usable("doc_id", size))
-    if at_most(q, broadcast_limit):
+    if at_most(q, broadcast_bytes // (8 * size + 64)):
         partial = _top_broadcast(q, d, k, threshold, metric)
     else:
         partial = _top_blocks(q, d, k, threshold, metric, block_rows)
@@ -169,65 +169,6 @@ def _top_blocks(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str, b
     return q_side.groupBy("qb", "db").cogroup(d_side.groupBy("qb", "db")).applyInPandas(score, _pair(q, d))
 
 
-def centroids(docs: DataFrame, *, cells: int, sample_rows: int = 50_000, rounds: int = 10) -> np.ndarray:
-    """Unit cell centres, fitted on about ``sample_rows`` vectors chosen by hash of the id."""
-    rows = docs.filter(F.col("doc_id").isNotNull() & F.col("vector").isNotNull()).select("doc_id", "vector")
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
-    data = _unit(_matrix(rows.orderBy("doc_id").toPandas()["vector"]))
-    centre = data[np.linspace(0, len(data) - 1, min(cells, len(data))).astype(int)]
-    for _ in range(rounds):
-        cell = (data @ centre.T).argmax(1)
-        sums = np.zeros_like(centre)
-        np.add.at(sums, cell, data)
-        empty = ~sums.any(1)
-        sums[empty] = centre[empty]
-        centre = _unit(sums)
-    return centre
-
-
-def top_k_pruned(
-    queries: DataFrame, docs: DataFrame, centre: np.ndarray, *, k: int, probes: int, threshold: float = -2.0, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Cosine ``top_k`` within the ``probes`` nearest cells of each query, exact inside them.
-
-    Every document is indexed (one cell each); a crowded cell is cut into parts of
-    ``block_rows``, and a query goes to all parts of its cells, so the shuffle
-    grows with queries x probes and not with all pairs of blocks.
-    """
-    size = centre.shape[1]
-    q = queries.select("query_id", "vector").filter(usable("query_id", size))
-    d = docs.select("doc_id", "vector").filter(usable("doc_id", size))
-
-    def nearest(count: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if len(part):
-                    near = np.argsort(-(_unit(_matrix(part["vector"])) @ centre.T), axis=1, kind="stable")[:, :count]
-                    yield part.assign(cell=list(near.astype(np.int32)))
-
-        return run
-
-    def celled(df: DataFrame, count: int) -> DataFrame:
-        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell array<int>"
-        return df.mapInPandas(nearest(count), kind).withColumn("cell", F.explode("cell"))
-
-    dealt = celled(d, 1)
-    crowd = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
-    dealt = dealt.join(crowd, "cell").select("doc_id", "vector", "cell", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
-    asked = celled(q, probes).join(crowd, "cell").select("query_id", "vector", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-
-    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
-        return _best_of(_ids(a["query_id"]), _matrix(a["vector"]), iter([b]), k, threshold, "cosine")
-
-    partial = asked.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(score, _pair(q, d))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact results that a pruned search found."""
     hit = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
@@ -306,13 +247,15 @@ def fuse(ranked: DataFrame, *, k: int, constant: int = 60) -> DataFrame:
     return out.withColumn("final_rank", F.row_number().over(by_score)).filter(F.col("final_rank") <= k)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, *, k: int = 5, threshold: float = 0.5, metric: str = "cosine") -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, *, k: int = 5, threshold: float = 0.5, metric: str = "cosine", pool: DataFrame | None = None) -> DataFrame:
     """Vector pool of 2k per query, BM25 in the pool, fused top k.
 
     ``queries(query_id, vector, query_text)``, ``docs(doc_id, vector, document)``.
+    ``pool`` is the exact vector search by default; with a large knowledge base hand in
+    ``vector_index.search(..., k=2 * k)``, which reads short codes instead of all vectors.
     """
     # 2k rows per query: written once, so the knowledge base is searched once.
-    pool = cut_lineage(top_k(queries, docs, k=2 * k, threshold=threshold, metric=metric))
+    pool = cut_lineage(top_k(queries, docs, k=2 * k, threshold=threshold, metric=metric) if pool is None else pool)
     scored = bm25(pool, queries, docs)
     return fuse(pool.join(scored, ["query_id", "doc_id"]), k=k)
 

@@ -72,8 +72,8 @@ def test_top_k_ways_agree_with_brute_force(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     sim = np.round(unit(q) @ unit(d).T, 9)
     want = {(i, int(j), r + 1) for i in range(40) for r, j in enumerate(np.lexsort((np.arange(300), -sim[i]))[:7])}
-    for limit in (1000, 5):
-        got = rt.top_k(queries, docs, k=7, broadcast_limit=limit, block_rows=64)
+    for limit in (1 << 20, 5):
+        got = rt.top_k(queries, docs, k=7, broadcast_bytes=limit, block_rows=64)
         assert {(r.query_id, r.doc_id, r.rank) for r in got.collect()} == want
 
 
