@@ -8,7 +8,7 @@ from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.functions import rulebook as rb
 from auditlake.functions.columns import settle
-from auditlake.operators import cwe, extract, retrieval, static_scan, windows
+from auditlake.operators import cwe, extract, retrieval, rule_tables, static_scan, windows
 from auditlake.operators import requests as rq
 from auditlake.session import spread
 
@@ -217,6 +217,29 @@ def rule_labels(spark, sf):
     return docs.select("doc_id", F.array_join("l", "; ").alias("labels"), F.size("l").alias("n"))
 
 
+# Ten rules per document: a word of it, and what may follow.
+RULE_ROWS = r"""
+SELECT doc_id * 10 + k AS rule_id, concat('(^| )', regexp_replace(w[CAST(floor(size(w) * k / 10) AS INT)], '[^a-z]', ''), '[a-z]{{0,2}}[., ]') AS pattern
+FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents}) d LATERAL VIEW explode(sequence(0, 9)) x AS k
+"""
+
+
+@query(
+    "rule_table",
+    r"""
+WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
+r AS (SELECT doc_id * 10 + k AS rule_id, '(^| )' || regexp_replace(w[CAST(floor(len(w) * k / 10) AS INTEGER) + 1], '[^a-z]', '', 'g') || '[a-z]{0,2}[., ]' AS pattern FROM d CROSS JOIN range(10) x(k)),
+p AS (SELECT pattern, count(*) AS n, sum(rule_id) AS ids FROM r GROUP BY pattern)
+SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS rules, CAST(sum(ids) AS BIGINT) AS checksum
+FROM conversations JOIN p ON regexp_matches(text, pattern) GROUP BY conv_id, turn""",
+)
+def rule_table(spark, sf):
+    """Ten thousand rules as rows (on the smallest tables), matched against all turns."""
+    rules = spark.sql(RULE_ROWS, documents=table(spark, sf, "documents"))
+    hits = rule_tables.match(spread(table(spark, sf, "conversations")), rules, ["conv_id", "turn"])
+    return hits.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("rules"), F.sum("rule_id").alias("checksum"))
+
+
 @query(
     "rule_findings_long",
     f"""
