@@ -187,7 +187,20 @@ FROM (SELECT sample_id, line, tool, type, '  [' || tool || '] ' || type || ' @ l
       FROM {_F} f GROUP BY ALL) x GROUP BY sample_id""",
 )
 def findings_text(spark, sf):
-    return fo.findings_text(finding_rows(spark, sf))
+    return fo.findings_text(finding_rows(spark, sf), most_lines=100_000)
+
+
+@query(
+    "findings_blocks",
+    f"""
+WITH l AS (SELECT sample_id, line, tool, type, '  [' || tool || '] ' || type || ' @ line ' || line || ': ' || substr(message, 1, 120) AS t, count(*) AS n FROM {_F} f GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY line, tool, type, t) - 1 AS place FROM l)
+SELECT sample_id, place // 2 AS block, string_agg(t || CASE WHEN n > 1 THEN ' (x' || n || ')' ELSE '' END, chr(10) ORDER BY place) AS findings_summary
+FROM r GROUP BY sample_id, place // 2""",
+)
+def findings_blocks(spark, sf):
+    """All lines in rows of two, so that most samples have several blocks."""
+    return fo.findings_blocks(finding_rows(spark, sf), lines=2)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.operators import traffic as tr
-from auditlake.streaming import incremental as inc, suppression
+from auditlake.streaming import incremental as inc, sessions as stream_form, suppression
 
 # One event is one request: the endpoint by type, the object id from the value.
 REQUESTS = """
@@ -25,7 +25,7 @@ s AS (SELECT *, CASE WHEN object_id - o = 1 THEN 1 ELSE 0 END AS step,
 
 def _requests(spark, sf):
     r = derived.derive(spark, sf, REQUESTS)
-    return r.withColumn("endpoint", tr.path_template(F.col("path"))).withColumn("bucket", F.substring(F.col("ts").cast("string"), 1, 10))
+    return r.withColumn("endpoint", tr.path_template(F.col("path")))
 
 
 @query("path_templates", f"WITH {_REQ} SELECT endpoint, count(*) AS requests, count(DISTINCT path) AS paths FROM req GROUP BY endpoint")
@@ -101,6 +101,18 @@ def stream_scan(spark, sf):
     return inc.run_available(out, *inc.fresh_paths(spark, "scan"))
 
 
+@query(
+    "stream_sessions",
+    f"""WITH {_SESS}, a AS (SELECT user_id, session_no, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, count(*) AS requests FROM s GROUP BY ALL)
+SELECT user_id, first_us, last_us, requests FROM a WHERE last_us + 10800000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM req)""",
+)
+def stream_sessions(spark, sf):
+    """Sessions that have ended, from the stream; those whose gap isn't over yet are still open."""
+    found = stream_form.sessions(_event_stream(spark, sf), late="0 seconds", gap_minutes=180)
+    out = inc.run_available(found, *inc.fresh_paths(spark, "sessions"))
+    return out.select("user_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "requests")
+
+
 # Requests arrive in three deliveries, up to seven hours out of order.
 _DELIVERY = "least(2, cast(floor((unix_timestamp(ts) - unix_timestamp(timestamp'2024-01-01 00:00:00') + event_id % 8 * 3600) / 864000) as int))"
 

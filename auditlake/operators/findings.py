@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import rulebook as rb
 from auditlake.functions.columns import lookup, settle, str_array
 from auditlake.operators.extract import wrapped_name
+from auditlake.operators.ranking import rank_within
 
 SHAPE = ["sample_id", "tool", "type", "line", "column", "severity", "message"]
 
@@ -180,6 +181,10 @@ def supported_by(tool: str) -> Column:
     return F.col("language") == {"codeql": "c", "semgrep": "python", "bandit": "python"}[tool]
 
 
+#: Lines that are joined in one go.
+BLOCK_LINES = 500
+
+
 def _finding_lines(findings: DataFrame) -> DataFrame:
     """sample_id, _r (place in the sample), _text: one row for each different finding, with its number."""
     line = F.format_string(
@@ -190,37 +195,40 @@ def _finding_lines(findings: DataFrame) -> DataFrame:
     counted = findings.select(
         "sample_id", F.coalesce("line", F.lit(0)).alias("_line"), "tool", "type", line.alias("_text")
     ).groupBy("sample_id", "_line", "tool", "type", "_text").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("sample_id").orderBy("_line", "tool", "type", "_text")
     text = F.when(F.col("_n") > 1, F.concat("_text", F.lit(" (x"), F.col("_n").cast("string"), F.lit(")"))).otherwise(
         F.col("_text")
     )
-    return counted.select("sample_id", F.row_number().over(w).alias("_r"), text.alias("_text"))
+    ranked = rank_within(counted, ["sample_id"], ["_line", "tool", "type", "_text"], "_r")
+    return ranked.select("sample_id", "_r", text.alias("_text"))
+
 
+def _joined(place: str, text: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda o: o[text]), "\n")
 
-def _joined_lines() -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_text"))), lambda o: o["_text"]), "\n")
 
+def _blocks(lines: DataFrame, size: int) -> DataFrame:
+    block = F.floor((F.col("_r") - 1) / size).alias("block")
+    return lines.groupBy("sample_id", block).agg(_joined("_r", "_text").alias("findings_summary"))
 
-def findings_text(findings: DataFrame, *, most_lines: int | None = None) -> DataFrame:
+
+def findings_text(findings: DataFrame, *, most_lines: int) -> DataFrame:
     """Findings of a sample as prompt text, one line each, in line order.
 
-    Identical findings are counted first and written once with their number.  All
-    different ones are in the text.  A caller whose prompt has room for so much
-    gives ``most_lines``: of more the first stay and a last line says that there
-    are more; the rank is then cut in each task before the rows move.  Where one
-    text would be too large, ``findings_blocks`` has the same lines as rows.
+    Identical findings are counted first and written once with their number.  ``most_lines`` is
+    the room the caller's prompt has: of more different ones the first stay and a last line says that there
+    are more.  ``findings_blocks`` has all lines of any sample as rows.
     """
-    lines = _finding_lines(findings)
-    if most_lines is not None:
-        told = F.when(F.col("_r") > most_lines, "  ... (more findings)").otherwise(F.col("_text"))
-        lines = lines.filter(F.col("_r") <= most_lines + 1).withColumn("_text", told)
-    return lines.groupBy("sample_id").agg(_joined_lines().alias("findings_summary"))
+    told = F.when(F.col("_r") > most_lines, "  ... (more findings)").otherwise(F.col("_text"))
+    lines = _finding_lines(findings).filter(F.col("_r") <= most_lines + 1).withColumn("_text", told)
+    return _blocks(lines, BLOCK_LINES).groupBy("sample_id").agg(_joined("block", "findings_summary").alias("findings_summary"))
+
 
+def findings_blocks(findings: DataFrame, *, lines: int = BLOCK_LINES) -> DataFrame:
+    """All finding lines as rows: sample_id, block (from 0), findings_summary of at most ``lines`` lines each.
 
-def findings_blocks(findings: DataFrame, *, lines: int = 500) -> DataFrame:
-    """The text of ``findings_text`` as rows: sample_id, block (from 0), findings_summary of at most ``lines`` lines each."""
-    block = F.floor((F.col("_r") - 1) / lines).alias("block")
-    return _finding_lines(findings).groupBy("sample_id", block).agg(_joined_lines().alias("findings_summary"))
+    Places come from range parts, so a sample of any size is neither ordered nor collected in one task.
+    """
+    return _blocks(_finding_lines(findings), lines)
 
 
 def merge_nearby(findings: DataFrame, *, within: int = 2, key: tuple[str, ...] = ("sample_id", "cwe")) -> DataFrame:

@@ -1,8 +1,8 @@
 """API-traffic checks: templated paths, sessions, id scans, shared resources.
 
 A busy user can own a large part of the traffic, so nothing here orders all
-rows of a user in one task: rows are ordered inside (user, time bucket), and
-buckets are stitched with one summary row each.
+rows of a user in one task: rows are ordered inside range parts of about equal
+row counts (see ``ranking``), and parts are stitched with one summary row each.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators.ranking import in_parts
+
+_PART = "__part"
+
 
 def path_template(path: Column) -> Column:
     """/users/123 -> /users/{id}"""
@@ -33,10 +37,10 @@ def previous(df: DataFrame, keys: list[str], bucket: str, order: list[str], valu
     )
 
 
-def sessions(requests: DataFrame, *, gap_minutes: int = 30, bucket: str = "bucket") -> DataFrame:
-    """Adds ``session_no`` per user; ``requests``: user_id, ts, event_id and a time bucket."""
-    order = ["ts", "event_id"]
-    rows = previous(requests, ["user_id"], bucket, order, "ts", "_prev_ts")
+def sessions(requests: DataFrame, *, gap_minutes: int = 30) -> DataFrame:
+    """Adds ``session_no`` per user; ``requests``: user_id, ts and event_id."""
+    order, bucket = ["ts", "event_id"], _PART
+    rows = previous(in_parts(requests, ["user_id"], order, _PART), ["user_id"], bucket, order, "ts", "_prev_ts")
     fresh = F.col("_prev_ts").isNull() | (F.col("ts") - F.col("_prev_ts") > F.expr(f"interval {gap_minutes} minutes"))
     rows = rows.withColumn("_new", fresh.cast("int")).drop("_prev_ts")
     inside = Window.partitionBy("user_id", bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +49,7 @@ def sessions(requests: DataFrame, *, gap_minutes: int = 30, bucket: str = "bucke
     before = Window.partitionBy("user_id").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = opened.withColumn("_offset", F.coalesce(F.sum("_opened").over(before), F.lit(0))).drop("_opened")
     return rows.join(offsets, ["user_id", bucket]).withColumn("session_no", F.col("_offset") + F.col("_local")).drop(
-        "_new", "_local", "_offset"
+        "_new", "_local", "_offset", _PART
     )
 
 
@@ -64,10 +68,11 @@ def suspicious_sessions(with_session: DataFrame, *, endpoints: int = 6, requests
     )
 
 
-def sequential_ids(requests: DataFrame, *, bucket: str = "bucket") -> DataFrame:
+def sequential_ids(requests: DataFrame) -> DataFrame:
     """Adds ``is_next_id``: the numeric parameter is one more than the user's previous on the endpoint."""
-    rows = previous(requests, ["user_id", "endpoint"], bucket, ["ts", "event_id"], "object_id", "_prev_id")
-    return rows.withColumn("is_next_id", F.coalesce((F.col("object_id") - F.col("_prev_id") == 1).cast("int"), F.lit(0))).drop("_prev_id")
+    keys, order = ["user_id", "endpoint"], ["ts", "event_id"]
+    rows = previous(in_parts(requests, keys, order, _PART), keys, _PART, order, "object_id", "_prev_id")
+    return rows.withColumn("is_next_id", F.coalesce((F.col("object_id") - F.col("_prev_id") == 1).cast("int"), F.lit(0))).drop("_prev_id", _PART)
 
 
 def scan_ratio(stepped: DataFrame, *, threshold: float = 0.3, at_least: int = 3) -> DataFrame:

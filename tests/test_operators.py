@@ -208,7 +208,7 @@ def test_overturn_keeps_both_reasons(spark):
 def test_findings_text_and_blocks_hold_every_finding(spark):
     rows = [("s", "t", "x", i, f"m{i}") for i in range(1_203)] + [("q", "t", "x", 1, "m")]
     df = spark.createDataFrame(rows, "sample_id string, tool string, type string, line int, message string")
-    text = {r.sample_id: r.findings_summary for r in fo.findings_text(df).collect()}
+    text = {r.sample_id: r.findings_summary for r in fo.findings_text(df, most_lines=100_000).collect()}
     assert text["s"].split("\n") == [f"  [t] x @ line {i}: m{i}" for i in range(1_203)] and text["q"] == "  [t] x @ line 1: m"
     blocks = [r for r in fo.findings_blocks(df).orderBy("block").collect() if r.sample_id == "s"]
     assert [r.block for r in blocks] == [0, 1, 2] and max(r.findings_summary.count("\n") for r in blocks) == 499
