@@ -51,7 +51,7 @@ def test_stream_and_batch_sessions_agree(spark, tmp_path):
     batch = traffic.sessions(df, gap_minutes=30).groupBy("user_id", "session_no").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count(F.lit(1)).alias("n"))
     want = sorted((r.user_id, r.a, r.b, r.n) for r in batch.collect())
     assert [w[1:] for w in want if w[0] == 77] == [(start, start + timedelta(minutes=30), 2), (start + timedelta(minutes=60, microseconds=1),) * 2 + (1,)]
-    for day in range(5):  # deliveries up to a day out of order, then one that closes everything
+    for day in range(6):  # deliveries up to a day out of order, then one that closes everything
         df.filter(F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(start)) + F.col("event_id") % 24 * 3600) / 86400) == day).write.parquet(str(tmp_path / "in" / str(day)))
     spark.createDataFrame([(99, start + timedelta(days=60), 0)], df.schema).write.parquet(str(tmp_path / "in" / "9"))
     stream = incremental.arriving(spark, str(tmp_path / "in"), df.schema, recursiveFileLookup=True, maxFilesPerTrigger=3)
