@@ -248,7 +248,7 @@ SELECT p_partkey AS row_ord,
   || CASE WHEN p_size % 5 = 0 THEN '' ELSE {text('"database_specific": {"severity": "')} || p_type || {text('"}, ')} END
   || {text('"affected": [{"package": {"name": "pkg')} || CAST(p_partkey AS VARCHAR(20)) || {text('", "ecosystem": "')}
   || CASE WHEN p_partkey % 4 = 0 THEN 'Maven' ELSE 'PyPI' END || {text('"}, "ranges": [{"type": "ECOSYSTEM", "events": [')}
-  || {_RANGE} || {_COMMITS} || {text(']}], "versions": ["7.0rc1"]}], "references": [{"url": "https://example.org/')}
+  || {_RANGE} || {_COMMITS} || {text(']}], "versions": ["')} || CASE WHEN p_size % 2 = 0 THEN '7.0rc1' ELSE 'v7.0.0-rc1' END || {text('"]}], "references": [{"url": "https://example.org/')}
   || CAST(p_partkey AS VARCHAR(20)) || {text('"}]}')} AS doc
 FROM {{part}}
 """

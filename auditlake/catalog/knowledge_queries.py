@@ -298,7 +298,7 @@ hits0 AS (
   SELECT d.ecosystem, d.name, d.version, r.id, CASE WHEN r.fixed LIKE '%post%' OR NOT {_NUM.format(v="d.version")} THEN 'unknown'
     WHEN {_KEYSQL.format(v="d.version")} >= {_KEYSQL.format(v="r.introduced")} AND (r.fixed IS NULL OR {_KEYSQL.format(v="d.version")} < {_KEYSQL.format(v="r.fixed")}) THEN 'affected' END AS status
   FROM deps d JOIN ranges r ON r.ecosystem = d.ecosystem AND r.name = d.name
-  UNION ALL SELECT d.ecosystem, d.name, d.version, l.id, 'affected' FROM deps d JOIN listed l ON l.ecosystem = d.ecosystem AND l.name = d.name AND l.version = d.version),
+  UNION ALL SELECT d.ecosystem, d.name, d.version, l.id, 'affected' FROM deps d JOIN listed l ON l.ecosystem = d.ecosystem AND l.name = d.name AND (l.version = d.version OR {_NUM.format(v="l.version")} AND {_NUM.format(v="d.version")} AND {_KEYSQL.format(v="l.version")} = {_KEYSQL.format(v="d.version")})),
 hits AS (SELECT ecosystem, name, version, id, min(status) AS status FROM hits0 WHERE status IS NOT NULL GROUP BY ALL)"""
 
 

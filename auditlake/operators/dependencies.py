@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators.ranking import running_sum
+from auditlake.session import cut_lineage
+
 DEP_KEY = ["ecosystem", "name", "version"]
 _PART = 20
 
@@ -116,28 +119,65 @@ def flatten_advisories(advisories: DataFrame) -> DataFrame:
     return advisories.select("id", *_display())
 
 
+_BOUNDS = ["from_key", "to_key", "last_key"]
+
+
+def _covered(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ecosystem, name, _v, bounds): which comparable version keys lie in which intervals of their package.
+
+    A sweep over a package's version keys and interval bounds in one order gives every interval the
+    places of its first and its last version, so exactly the hits are made, not all pairs of a
+    package; a package of any size is swept in range parts (see ``ranking``).
+    """
+    package = ["ecosystem", "name"]
+    bounds = ranges.select(*package, *_BOUNDS).distinct()
+    keys = versions.select(*package, F.col("_v").alias("key")).distinct()
+    empty = [F.lit(None).cast("string").alias(b) for b in _BOUNDS]
+    after_all = F.lit("~")  # behind every key
+    points = keys.select(*package, "key", F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("n"), *empty)
+    for key, kind in (
+        (F.col("from_key"), F.lit(0)),
+        (F.coalesce("to_key", "last_key", after_all), F.when(F.col("to_key").isNotNull(), -1).otherwise(2)),
+    ):
+        points = points.unionByName(bounds.select(*package, key.alias("key"), kind.alias("kind"), F.lit(0).cast("bigint").alias("n"), *_BOUNDS))
+    swept = cut_lineage(running_sum(points, package, ["key", "kind", *_BOUNDS], "n", "place"))
+    first, last = F.max(F.when(F.col("kind") == 0, F.col("place") + 1)), F.max(F.when(F.col("kind") != 0, F.col("place")))
+    spans = swept.filter("kind != 1").groupBy(*package, *_BOUNDS).agg(first.alias("first"), last.alias("last")).filter(F.col("first") <= F.col("last"))
+    inside = spans.select(*package, *_BOUNDS, F.explode(F.sequence("first", "last")).alias("place"))
+    return inside.join(swept.filter("kind = 1").select(*package, "place", F.col("key").alias("_v")), [*package, "place"]).drop("place")
+
+
 def match(dependencies: DataFrame, told: DataFrame) -> DataFrame:
     """(ecosystem, name, version, id, ..., status) for ``rules``; status is affected or unknown.
 
     Works on the distinct versions: a package a third of all projects use is
-    one row per version here, whatever the number of projects, and the rules
-    are tested behind the equality on ecosystem and name.  Where the version or
-    the range can't be compared, and nothing else says affected, the answer is
-    unknown rather than nothing.
+    one row per version here, whatever the number of projects.  Intervals are found by a sweep;
+    a listed version is hit by its text or, where both can be compared, by an equal version (1.2
+    and v1.2.0).  Where the version or the range can't be compared, and nothing else
+    says affected, the answer is unknown rather than nothing.
     """
+    package = ["ecosystem", "name"]
     versions = dependencies.select(*DEP_KEY).distinct().withColumn("_ok", comparable(F.col("version")))
-    versions = versions.withColumn("_v", F.when(F.col("_ok"), version_key(F.col("version"))))
-    inside = (
-        (F.col("_v") >= F.col("from_key")) & (F.col("to_key").isNull() | (F.col("_v") < F.col("to_key")))
-        & (F.col("last_key").isNull() | (F.col("_v") <= F.col("last_key")))
-    )
-    status = (
-        F.when(F.col("listed").isNotNull(), F.when(F.col("listed") == F.col("version"), "affected"))
-        .when(F.col("unknown") | ~F.col("_ok"), "unknown").when(inside, "affected")
-    )
-    shown = [c for c in told.columns if c not in ("ecosystem", "name", "from_key", "to_key", "last_key", "unknown", "listed")]
-    hits = versions.join(told, ["ecosystem", "name"]).withColumn("status", status).filter(F.col("status").isNotNull())
-    return hits.groupBy(*DEP_KEY, *shown).agg(F.min("status").alias("status"))
+    versions = cut_lineage(versions.withColumn("_v", F.when(F.col("_ok"), version_key(F.col("version")))))
+    shown = [c for c in told.columns if c not in (*package, *_BOUNDS, "unknown", "listed")]
+    answer = [*DEP_KEY, *shown]
+    told = cut_lineage(told)
+    ranges, listed = told.filter("listed IS NULL"), told.filter("listed IS NOT NULL")
+    known, asked = ranges.filter("NOT unknown"), ranges.filter("unknown")
+
+    covered = _covered(versions.filter("_ok"), known)
+    same = [covered[c].eqNullSafe(known[c]) for c in _BOUNDS]
+    inside = covered.join(known, [covered[c] == known[c] for c in package] + same).select(*[covered[c] for c in package], "_v", *shown)
+    affected = inside.join(versions.filter("_ok"), [*package, "_v"]).select(*answer)
+
+    tokens = lambda text, key: F.explode(F.array_compact(F.array(F.concat(F.lit("t"), text), F.concat(F.lit("k"), key)))).alias("token")
+    own_key = F.when(comparable(F.col("listed")), version_key(F.col("listed")))
+    by_name = listed.select(*package, *shown, tokens(F.col("listed"), own_key)).join(versions.select(*DEP_KEY, tokens(F.col("version"), F.col("_v"))), [*package, "token"])
+    affected = affected.unionByName(by_name.select(*answer)).withColumn("status", F.lit("affected"))
+
+    unknown = versions.filter("NOT _ok").join(ranges, package).select(*answer).unionByName(versions.filter("_ok").join(asked, package).select(*answer))
+    hits = affected.unionByName(unknown.withColumn("status", F.lit("unknown")))
+    return hits.groupBy(*answer).agg(F.min("status").alias("status"))
 
 
 def audit(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:

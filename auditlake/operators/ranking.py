@@ -24,14 +24,19 @@ def in_parts(df: DataFrame, keys: list[str], order: list[str], part: str = "part
     return cut_lineage(ranged.withColumn(part, F.spark_partition_id()))
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """Adds each row's place (from 1) among the rows of its keys; null keys are a group of their own."""
-    part, place, before = "__part", "__place", "__before"
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same keys up to this one; null keys are a group of their own."""
+    part, local, before = "__part", "__local", "__before"
     rows = in_parts(df, keys, order, part)
-    inside = Window.partitionBy(*keys, part).orderBy(*order)
-    placed = rows.withColumn(place, F.row_number().over(inside))
+    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn(local, F.sum(value).over(inside))
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col(part).alias("__of_part"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
+    totals = rows.groupBy(*keys, part).agg(F.sum(value).alias("__n"))
+    totals = totals.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col(part).alias("__of_part"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias(before))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], F.col(part) == F.col("__of_part"))
-    return placed.join(counts, same).select(*df.columns, (F.col(before) + F.col(place)).alias(name))
+    return summed.join(totals, same).select(*df.columns, (F.col(before) + F.col(local)).alias(name))
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds each row's place (from 1) among the rows of its keys; null keys are a group of their own."""
+    return running_sum(df.withColumn("__one", F.lit(1).cast("bigint")), keys, order, "__one", name).drop("__one")

@@ -105,6 +105,25 @@ def test_ranges_types_order_and_open_questions(spark):
     assert got == want
 
 
+def test_listed_versions_and_a_skewed_package(spark):
+    rnd = random.Random(41)
+    versions = [f"{a}.{b}" for a in range(20) for b in range(20)] + ["v1.2.0", "1.2", "1.2.0.0", "odd", "1.5rc1"]
+    ranges = [(f"adv{i}", *sorted(rnd.sample([(a, b) for a in range(22) for b in range(20)], 2)), rnd.choice(["fixed", "last_affected", None])) for i in range(150)]
+    rows = [(i, [(("big", "PyPI"), [("ECOSYSTEM", [(f"{lo[0]}.{lo[1]}", None, None), (None, *((f"{hi[0]}.{hi[1]}", None) if end == "fixed" else (None, f"{hi[0]}.{hi[1]}")))][: 2 if end else 1])], [])]) for i, lo, hi, end in ranges]
+    rows += [("listed", [(("big", "PyPI"), [], ["1.2.0", "odd"])]), ("other", [(("big", "Maven"), [], ["1.2"])]), ("empty", [(("big", "PyPI"), None, None)])]
+    kind = "id string, affected array<struct<package:struct<name:string,ecosystem:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,versions:array<string>>>"
+    deps = spark.createDataFrame([("p", "m", "big", v, "PyPI") for v in versions * 2], "project string, manifest string, name string, version string, ecosystem string")
+    got = {(r.version, r.id): r.status for r in dp.match(deps, dp.rules(spark.createDataFrame(rows, kind))).collect()}
+    number = lambda v: {"v1.2.0": (1, 2), "1.2.0.0": (1, 2), "1.5rc1": (1, 4.5)}.get(v) or tuple(map(int, v.split(".")))
+    want = {("odd", i): "unknown" for i, *_ in ranges} | {(v, "listed"): "affected" for v in ("1.2", "v1.2.0", "1.2.0.0", "odd")}
+    for i, lo, hi, end in ranges:
+        for v in set(versions) - {"odd"}:
+            at = number(v)
+            if lo <= at and (end is None or at < hi or end == "last_affected" and at == hi):
+                want[v, i] = "affected"
+    assert got == want
+
+
 def test_cache_split_covers_the_input(spark):
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
