@@ -1,19 +1,20 @@
 """Operator 5, toxicity by maximum-scoring segments.
 
 *Model.*  From labelled rows: in how many toxic and other texts a word occurs,
-as log-odds with an informative Dirichlet prior (``prior`` pseudo-texts spread
-as the word's overall rate), kept for the ``vocabulary`` words whose log-odds lie
-farthest from zero in standard errors (at least ``least_z``).  Every other word
-costs ``drift``, so that segments end.
+as log-odds with an informative Dirichlet prior (``prior`` pseudo-texts, at most one for every
+five rows, spread as the word's overall rate), kept where they are above ``lead`` and lie at least
+``least_z`` standard errors from zero.  Every other word costs ``drift``, so that
+segments end.
 
 *Search.*  A linear scan finds all maximal scoring segments of a text's words.
 
 *Calibration.*  The best segment of a clean text of n words follows an extreme-value law
 P(score > x) = 1 - exp(-K n exp(-lambda x)).  Lambda solves sum p(w) exp(lambda s(w)) = 1
-over clean words, K is its maximum-likelihood value over clean training texts.  A segment is
-significant when it is expected less than ``significant`` times.  The surprise of
-the best segment and the number of significant ones give the score through a
-logistic fit on the training rows.
+over clean words, K is its maximum-likelihood value over clean training texts.  By it
+scores become comparable over lengths: x' = lambda x - ln(K n).  A text's best x', the sum statistic over
+all its segments (the sum of the r largest x' for the r that makes it largest) and ln n give the score through a logistic fit on
+the training rows.  A segment is reported as significant when it is expected less than
+``significant`` times; that cut plays no part in the score.
 
 Only ``most_rows`` labelled rows (by hash of the id, about that many) are learned
 from, each different text once, which bounds the model and what the driver sees;
@@ -50,7 +51,7 @@ class Model:
     lam: float = 1.0
     k: float = 1.0
     significant: float = 0.05
-    weights: tuple[float, float, float] | None = None
+    weights: tuple[float, ...] | None = None
 
 
 def words(text: str) -> list[str]:
@@ -80,31 +81,34 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in stack]
 
 
-def _features(model: Model, text: str) -> tuple[int, float, int, list[tuple[int, int, float]]]:
-    """Words, surprise of the best segment, significant segments, and these segments."""
+def _features(model: Model, text: str) -> tuple[int, float, float, list[tuple[int, int, float]]]:
+    """Words, best comparable score, sum statistic, and the significant segments."""
     own = words(text)
     get, drift = model.scores.get, -model.drift
     found = segments(np.array([get(w, drift) for w in own]))
     n = max(1, len(own))
-    expected = lambda s: model.k * n * math.exp(-model.lam * s)
-    best = max((s for *_, s in found), default=0.0)
-    e = expected(best)
-    surprise = -math.log(-math.expm1(-e)) if e > 1e-300 else 700.0
-    good = [x for x in found if expected(x[2]) < model.significant]
-    return n, surprise, len(good), good
+    chance = math.log(model.k * n)
+    comparable = sorted((model.lam * s - chance for *_, s in found), reverse=True) or [-chance]
+    total = comparable[0] + sum(x for x in comparable[1:] if x > 0)
+    good = [x for x in found if model.lam * x[2] - chance > -math.log(model.significant)]
+    return n, comparable[0], total, good
 
 
-def _inputs(surprise: float, count: int) -> np.ndarray:
-    return np.array([1.0, math.log1p(surprise), math.log1p(count)])
+def _inputs(n: int, best: float, total: float) -> np.ndarray:
+    return np.array([1.0, max(-10.0, min(60.0, best)), max(-10.0, min(200.0, total)), math.log(n)])
 
 
-def score_of(model: Model, surprise: float, count: int) -> float:
+def score_of(model: Model, n: int, best: float, total: float) -> float:
     if model.weights is None:
         return 0.0
-    return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(_inputs(surprise, count) @ np.array(model.weights)))))))
+    return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(_inputs(n, best, total) @ np.array(model.weights)))))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a ridge-stabilised fit; the first column is constant, the others are scaled for the fit."""
+    middle, width = x.mean(0), x.std(0) + 1e-9
+    middle[0], width[0] = 0.0, 1.0
+    x = (x - middle) / width
     w, ridge = np.zeros(x.shape[1]), 1e-3 * np.eye(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -112,12 +116,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
+    w = w / width
+    w[0] -= (w * middle).sum()
     return tuple(map(float, w))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    most_rows: int = 20_000, vocabulary: int = 2_000, prior: float = 10.0, least_z: float = 3.0, drift: float = 0.1, significant: float = 0.05,
+    most_rows: int = 20_000, prior: float = 500.0, lead: float = 1.0, least_z: float = 2.0, drift: float = 0.3, significant: float = 0.05,
 ) -> Model:
     """Learns from rows of ``labels`` (their id under ``id_col`` too); ``learn`` says which ids may be used."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
@@ -152,12 +158,13 @@ def fit(
     n1, n0 = (whole[""]["df1"], whole[""]["df0"]) if "" in whole else (0, 0)
     if not n1 or not n0:
         return model
+    prior = min(prior, (n1 + n0) / 5)
     rate = (F.col("df1") + F.col("df0")) / (n1 + n0)
     a, b = F.col("df1") + prior * rate, F.col("df0") + prior * rate
     odds = F.log(a / (n1 + prior - a)) - F.log(b / (n0 + prior - b))
     z = odds / F.sqrt(1 / a + 1 / b)
-    told = counts.filter("word NOT IN ('', ' ')").select("word", "tf0", odds.alias("odds"), z.alias("z")).filter(F.abs("z") >= least_z)
-    chosen = told.orderBy(F.abs("z").desc(), "word").limit(vocabulary).collect()
+    told = counts.filter("word NOT IN ('', ' ')").select("word", "tf0", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= least_z) & (F.col("odds") > lead))
+    chosen = told.select("word", "tf0", "odds").collect()  # some of the words of about most_rows texts
     model.scores = {r["word"]: r["odds"] for r in chosen}
     clean = max(1, whole[" "]["tf0"])
     probs = [((r["tf0"] + 0.5) / clean, r["odds"]) for r in chosen]
@@ -173,7 +180,7 @@ def fit(
             own = [_features(model, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.float64()),
-                 pa.array([x[2] for x in own], pa.int64()), batch.column("toxic")], ["n", "surprise", "found", "toxic"],
+                 pa.array([x[2] for x in own], pa.float64()), batch.column("toxic")], ["n", "best", "total", "toxic"],
             )
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +194,8 @@ def fit(
 
     law = rows.filter("toxic = 0").mapInArrow(best, "total double, n bigint").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).first()
     model.k = law["n"] / max(1e-12, law["total"])
-    got = rows.mapInArrow(measure, "n bigint, surprise double, found bigint, toxic int").toPandas()  # at most about most_rows rows
-    x = np.array([_inputs(s, c) for s, c in zip(got["surprise"], got["found"])])
+    got = rows.mapInArrow(measure, "n bigint, best double, total double, toxic int").toPandas()  # at most about most_rows rows
+    x = np.array([_inputs(*row) for row in zip(got["n"], got["best"], got["total"])])
     model.weights = _logistic(x, got["toxic"].to_numpy(dtype=float))
     return model
 
@@ -205,7 +212,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 part = batch.slice(at, 500)
                 own = [_features(model, t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([score_of(model, x[1], x[2]) for x in own], pa.float64()),
+                    [part.column("doc_id"), pa.array([score_of(model, *x[:3]) for x in own], pa.float64()),
                      pa.array([[{"first": a, "last": b - 1, "score": s} for a, b, s in x[3]] for x in own], pa.list_(span)),
                      pa.array([x[0] for x in own], pa.int64())], ["doc_id", "score", "segments", "n_words"],
                 )
@@ -223,6 +230,6 @@ def without_toxic(docs: DataFrame, model: Model, reject_at: float = 0.3, text_co
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 own = [_features(model, t or "") for t in part.column(text_col).to_pylist()]
-                yield part.filter(pa.array([score_of(model, x[1], x[2]) < reject_at for x in own], pa.bool_()))
+                yield part.filter(pa.array([score_of(model, *x[:3]) < reject_at for x in own], pa.bool_()))
 
     return known.mapInArrow(run, docs.schema)

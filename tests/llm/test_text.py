@@ -122,6 +122,41 @@ def test_maximal_segments_equal_the_recursive_definition():
         assert [(a, b) for a, b, _ in toxic_segments.segments(np.array(s))] == brute(s, 0, len(s))
 
 
+def test_scores_equal_the_definition_and_lengths_are_comparable(spark):
+    def maximal(s, low, high):
+        best, where = 0.0, None
+        for a in range(low, high):
+            for b in range(a + 1, high + 1):
+                if sum(s[a:b]) > best + 1e-9:
+                    best, where = sum(s[a:b]), (a, b)
+        return [] if where is None else maximal(s, low, where[0]) + [best] + maximal(s, where[1], high)
+
+    random.seed(8)
+    plain, bad = [f"w{i}" for i in range(300)], ["vile", "rotten", "foul"]
+    rows = []
+    for i in range(700):
+        own = random.choices(plain, k=random.choice([3, 20, 400]))
+        if i % 7 == 0:
+            at = random.randint(0, len(own))
+            own[at:at] = random.choices(bad, k=4)
+        elif i % 5 == 0:
+            own.append(random.choice(bad))
+        rows.append((i, " ".join(own), int(i % 7 == 0)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    model = toxic_segments.fit(df.drop("toxic"), df.select("doc_id", "toxic"), learn=F.col("label_id") % 3 != 0)
+    got = {r.doc_id: r for r in toxic_segments.scored(df, model).collect()}
+    for i, text, _ in rows:
+        s = [model.scores.get(w, -model.drift) for w in text.split()]
+        if len(s) < 40:
+            told = sorted((model.lam * x - math.log(model.k * len(s)) for x in maximal(s, 0, len(s))), reverse=True) or [-math.log(model.k * len(s))]
+            sums = [sum(told[: r + 1]) for r in range(len(told))]
+            x = [1.0, max(-10.0, min(60.0, told[0])), max(-10.0, min(200.0, max(sums))), math.log(len(s))]
+            assert abs(got[i].score - 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, model.weights))))))) < 1e-9
+    for low, high in ((0, 10), (10, 100), (100, 1000)):  # held-out rows of every length
+        held = [(got[i].score >= 0.3, toxic) for i, text, toxic in rows if i % 3 == 0 and low <= len(text.split()) < high]
+        assert np.mean([p for p, t in held if t]) >= 0.9 and np.mean([p for p, t in held if not t]) <= 0.1
+
+
 def test_toxic_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (6, 0), (6, 0), (9, 1)], "doc_id bigint, toxic int")
     model = toxic_segments.fit(odd, labels)
