@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.session import cut_lineage
+from auditlake.sources.commits import GrowingTable
 
 
 def scan_report(results: DataFrame, path: str, *, generated_at: Column | None = None) -> DataFrame:
@@ -40,26 +39,15 @@ def comparison(baseline: DataFrame, variant: DataFrame, path: str) -> None:
     ).json(path)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing written there yet
-        return None
-
-
 def load_new(docs: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """Appends the rows whose id is not stored yet; running it again adds nothing.
+    """Appends the rows whose id is not stored yet; running it again adds nothing, nor do loads at the same time.
 
     Rows without an id are skipped; of several with one id, the first in the
     order of their JSON counts.  Returns the rows that were new.
     """
     w = Window.partitionBy(key).orderBy(F.to_json(F.struct(*sorted(docs.columns))))
     usable = docs.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    stored = _existing(docs.sparkSession, path)
-    fresh = usable if stored is None else usable.join(stored.select(key), key, "left_anti")
-    fresh = cut_lineage(fresh)  # fixed before the table it was compared with grows
-    fresh.write.mode("append").parquet(path)
-    return fresh
+    return GrowingTable(docs.sparkSession, path).append(lambda stored: usable if stored is None else usable.join(stored.select(key), key, "left_anti"))
 
 
 def cacheable(results: DataFrame) -> DataFrame:
@@ -69,10 +57,12 @@ def cacheable(results: DataFrame) -> DataFrame:
     )
 
 
-def write_cache(results: DataFrame, path: str, *, now: Column | None = None) -> None:
+def write_cache(results: DataFrame, path: str, *, now: Column | None = None, run: str | None = None) -> None:
+    """Appends the cacheable results; a ``run`` that is repeated with its name adds nothing twice."""
     rows = cacheable(results)
-    rows.select(
+    entries = rows.select(
         "key",
         (now if now is not None else F.current_timestamp()).alias("cached_at"),
         F.to_json(F.struct(*[c for c in rows.columns if c != "key"])).alias("payload"),
-    ).write.mode("append").parquet(path)
+    )
+    GrowingTable(results.sparkSession, path).append(lambda _: entries, token=run)
