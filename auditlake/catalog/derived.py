@@ -204,6 +204,10 @@ _CUT = (
     text('{"has_vulnerability": true, "confidence": 0.5, "vulnerability_type": "') + " || event_type || "
     + text('", "reasoning": "the text stops he')
 )
+_DEEP_CUT = (
+    text('{"has_vulnerability": true, "found": [{"at": {"lines": [1, {"text": "}, ] ,{"}]}}, []], "confidence": 0.5, "vulnerability_type": "') + " || event_type || "
+    + text('", "more": {"a": [1, {"b": "x", "c": ')
+)
 RESPONSES = f"""
 SELECT concat('e', event_id) AS sample_id, event_id, event_type, user_id,
   CASE event_id % 9
@@ -212,7 +216,7 @@ SELECT concat('e', event_id) AS sample_id, event_id, event_type, user_id,
     WHEN 2 THEN {text("<think>maybe {not} json</think>" + chr(10))} || {_JSON}
     WHEN 3 THEN {text("My answer is ")} || {_JSON} || {text(" as asked")}
     WHEN 4 THEN {_STRAY}
-    WHEN 5 THEN {_CUT}
+    WHEN 5 THEN CASE WHEN event_id % 2 = 0 THEN {_CUT} ELSE {_DEEP_CUT} END
     WHEN 6 THEN {text("I could not decide about this function.")}
     WHEN 7 THEN {text("<think>never closed ")} || {_JSON}
     ELSE {text("Response" + chr(10))} || {_JSON}

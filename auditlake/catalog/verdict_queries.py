@@ -26,9 +26,6 @@ def vote_rows(spark, sf):
 # --- responses --------------------------------------------------------------------
 
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
-_VALUE = r'(?:"[^"\\]*(?:\\.[^"\\]*)*"|-?[\d.]+(?:[eE][-+]?\d+)?|true|false|null|\[[^\[\]{}]*\]|\{[^{}]*\})'
-_PAIRS = r'^[^{]*(\{(?:\s*"[^"\\]*(?:\\.[^"\\]*)*"\s*:\s*' + _VALUE + r"\s*,)+)"
-
 _LADDER = f"""
 raw AS {_R},
 t1 AS (SELECT *, regexp_replace(regexp_replace(raw, '<think>[\\s\\S]*?</think>', '', 'g'), '<think>[\\s\\S]*$', '') AS a FROM raw),
@@ -41,8 +38,8 @@ rungs AS (
   UNION ALL SELECT sample_id, 1001, 'whole', t FROM t3
   UNION ALL SELECT sample_id, 1002, 'braces', regexp_extract(t, '(\\{{[\\s\\S]*\\}})', 1) FROM t3
   UNION ALL SELECT sample_id, 1003, 'stray_quote', coalesce(nullif(regexp_extract(fx, '(\\{{[\\s\\S]*\\}})', 1), ''), fx) FROM t3
-  UNION ALL SELECT sample_id, 1004, 'salvaged', regexp_replace(regexp_extract(fx, {sq.lit(_PAIRS)}, 1), ',$', '') || '}}' FROM t3
-            WHERE regexp_extract(fx, {sq.lit(_PAIRS)}, 1) <> ''),
+  UNION ALL SELECT sample_id, 1004 + length(fx) - i, 'salvaged', substr(fx, strpos(fx, '{{'), i - strpos(fx, '{{')) || '}}' FROM (  -- every comma, the last first
+      SELECT sample_id, fx, unnest(range(1, length(fx) + 1)) AS i FROM t3) p WHERE substr(fx, i, 1) = ',' AND i > strpos(fx, '{{') AND strpos(fx, '{{') > 0),
 good AS (SELECT sample_id, ord, rung, {_TRIM.format("x")} AS x FROM rungs),
 best AS (SELECT sample_id, rung, x FROM (
    SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ord) AS rn FROM good WHERE starts_with(x, '{{') AND json_valid(x)) z WHERE rn = 1),

@@ -19,11 +19,8 @@ _LEAD_WORD = r"^\s*(?:response|Response)\s*\n?"
 _FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 _BRACES = r"(\{[\s\S]*\})"
 _STRAY_QUOTE = r'(\d+\.\d+)",'
-_VALUE = (
-    r'(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[\d.]+(?:[eE][-+]?\d+)?|true|false|null|\[[^\[\]{}]*\]|\{[^{}]*\})'
-)
-# Longest run of complete "key": value pairs that is followed by a comma.
-_COMPLETE_PAIRS = r'^[^{]*(\{(?:\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:\s*' + _VALUE + r"\s*,)++)"
+# Strings, an unclosed string with all behind it, brackets, commas, and the rest.
+_JSON_TOKEN = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"|"[\s\S]*+|[\[\]{},]|[^"\[\]{},]++'
 
 # --- fixed values: what a stage answers when its response cannot be read -----
 FALLBACKS = {
@@ -51,6 +48,26 @@ def is_object(text: Column) -> Column:
     )
 
 
+def cut_at_last_pair(text: Column) -> Column:
+    """The first object of a truncated text up to its last comma outside all inner brackets, closed; "" if there is none.
+
+    One fold over the tokens with the depth of brackets, so values may nest as deep as they like.
+    """
+    body = F.when(F.instr(text, "{") > 0, F.substring(text, F.instr(text, "{"), F.length(text))).otherwise("")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("place"), F.lit(0).alias("cut"))
+
+    def step(acc: Column, token: Column) -> Column:
+        depth = acc["depth"] + F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+        cut = F.when((token == ",") & (acc["depth"] == 1), acc["place"]).otherwise(acc["cut"])
+        return F.struct(depth.alias("depth"), (acc["place"] + F.length(token)).alias("place"), cut.alias("cut"))
+
+    def of(b: Column) -> Column:
+        cut = F.aggregate(F.regexp_extract_all(b, F.lit(_JSON_TOKEN), 0), start, step)["cut"]
+        return F.when(cut > 0, F.concat(F.substring(b, F.lit(1), cut), F.lit("}"))).otherwise("")
+
+    return F.transform(F.array(body), of)[0]
+
+
 def _rung(name: str, text: Column) -> Column:
     return F.struct(F.lit(name).alias("rung"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
 
@@ -61,7 +78,6 @@ def parse(responses: DataFrame, raw: str = "raw") -> DataFrame:
     t = F.col("_t")
     fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?\s*", ""), r"\s*```\s*$", ""), _STRAY_QUOTE, "$1,")
     fixed_object = F.regexp_extract(fixed, _BRACES, 1)
-    pairs = F.regexp_extract(fixed, _COMPLETE_PAIRS, 1)
 
     def first_object(rungs: Column) -> Column:
         return F.try_element_at(F.filter(rungs, lambda r: is_object(r["text"])), F.lit(1))
@@ -76,7 +92,7 @@ def parse(responses: DataFrame, raw: str = "raw") -> DataFrame:
         one("whole", t),
         one("braces", F.regexp_extract(t, _BRACES, 1)),
         one("stray_quote", F.when(fixed_object == "", fixed).otherwise(fixed_object)),
-        one("salvaged", F.when(pairs != "", F.concat(F.regexp_replace(pairs, r",$", ""), F.lit("}"))).otherwise("")),
+        one("salvaged", cut_at_last_pair(fixed)),
     )
     df = df.withColumn("_hit", hit)
     return settle(

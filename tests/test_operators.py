@@ -1,5 +1,6 @@
 """Operators against plain-Python brute force and stated facts."""
 
+import json
 import random
 
 import numpy as np
@@ -21,6 +22,38 @@ def test_responses_ladder(spark):
     assert got == [w for w, _ in rows]
 
 
+def test_salvage_keeps_all_complete_pairs(spark):
+    rnd = random.Random(51)
+
+    def value(depth):
+        kind = rnd.randint(0, 6 if depth < 5 else 3)
+        if kind > 4:
+            return {f"k{i}": value(depth + 1) for i in range(rnd.randint(0, 3))}
+        if kind > 3:
+            return [value(depth + 1) for _ in range(rnd.randint(0, 3))]
+        return rnd.choice([1, -2.5, True, None, "a, b", 'q"{', "\\", "é}]", ""])
+
+    texts, want = [], []
+    for _ in range(300):
+        whole = {f"p{i}": value(0) for i in range(rnd.randint(1, 5))}
+        raw = json.dumps(whole, ensure_ascii=rnd.random() < 0.5)
+        cut = raw[: rnd.randint(1, len(raw) - 1)]
+        complete = {}
+        for name in whole:  # pairs whose comma is still there
+            kept = {**complete, name: whole[name]}
+            if any(json.dumps(kept, ensure_ascii=a)[:-1] + "," in (cut[: len(json.dumps(kept, ensure_ascii=a))],) for a in (True, False)):
+                complete = kept
+            else:
+                break
+        texts.append(cut)
+        want.append(complete)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r.i: r.c for r in df.select("i", rs.cut_at_last_pair(F.col("t")).alias("c")).collect()}
+    assert all((json.loads(got[i]) if got[i] else {}) == w for i, w in enumerate(want)) and sum(map(bool, want)) > 100
+    long = '{"a": [' + '{"b": 1}, ' * 50_000
+    assert rs.parse(spark.createDataFrame([('{"x": 1, ' + long[1:],)], "raw string")).first().json == '{"x": 1}'
+
+
 def test_verdict_defaults_and_clamp(spark):
     v = rs.verdicts(spark.createDataFrame([('{"confidence": 2.5, "line_numbers": [1, "2", "x", 3.5]}',), ("{}",)], "raw string")).collect()
     assert (v[0].v.confidence, v[0].v.line_numbers) == (1.0, [1, 2])
