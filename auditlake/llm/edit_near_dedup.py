@@ -9,9 +9,12 @@ the same order share keys, so a shared key speaks of a small edit distance.
 *Links.*  Equal word sequences are one node from the start.  In every bucket of
 a wide key all members are aligned with its smallest member.  Where the members
 of a bucket still belong to several classes, they meet again under their narrow
-keys.  Where a bucket of a wide key then still holds several classes, every pair of
-different classes in it is compared, so no pair is left unchecked that shares a wide
-key.  Of these pairs only those are aligned whose numbers of words, in all and
+keys.  What then still lies in a bucket with members of another class is searched
+exactly: two texts within the distance share one of the rarest words of each, more
+precisely of its floor((1 - ``similarity``) n) + 1 first words (numbered by occurrence) in any
+one order of all words.  The order is by frequency, so these are rare ones; such texts meet by
+a shared word, whatever their bucket, and no pair that could be similar is left unchecked.
+Of these pairs only those are aligned whose numbers of words, in all and
 in ``BAG`` hashed parts of the vocabulary, allow the distance; pairs left out are
 farther apart for certain.
 
@@ -44,6 +47,8 @@ from auditlake.llm.shingles import WordHashes, mix, shingles
 BANDS, RUN, WIDE, NARROW, BAG = 32, 3, 2, 6, 256
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
+#: Words that a task reports as frequent, and words whose frequency orders all others; they change speed only.
+_REPORTED, _FREQUENT = 20_000, 100_000
 
 
 def labelled(runs: np.ndarray) -> np.ndarray:
@@ -176,6 +181,71 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
     return docs.mapInArrow(run, f"row_id bigint, doc_id {id_type}, text string, text_id binary, wide array<bigint>, narrow array<bigint>, n_words bigint, bag binary")
 
 
+def first_words(words: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` + 1 numbered words that come first by (frequency rank, hash)."""
+    numbered_words = labelled(words)
+    return numbered_words[np.lexsort((numbered_words, rank))[: most + 1]]
+
+
+def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent words of ``nodes`` (text), sorted, and their counts; at most ``_FREQUENT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(np.unique(hashes.of(_words(text))).astype(np.int64).tolist())
+                if len(seen) > 20 * _REPORTED:
+                    seen = Counter(dict(seen.most_common(2 * _REPORTED)))
+        word, n = zip(*seen.most_common(_REPORTED)) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
+
+    counts = nodes.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(_FREQUENT).toPandas()
+    word, n = top["word"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(word)
+    return word[order], n[order]
+
+
+def _sharing(nodes: DataFrame, similarity: float, over: HandOver) -> DataFrame:
+    """Pairs (a, b) of different roots that share a first word; ``nodes`` (row_id, root, n_words, text).
+
+    Any two nodes whose distance allows a link are among them.
+    """
+    known, counts = _frequent(nodes)
+    sent = nodes.sparkSession.sparkContext.broadcast((known, counts))  # at most _FREQUENT entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (known, counts) = WordHashes(), sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                row, word = [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    words = hashes.of(_words(text))
+                    if not len(words):
+                        continue
+                    rank = np.zeros(len(words), np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                        rank = np.where(known[place] == words, counts[place], 0)
+                    first = first_words(words, rank, int((1 - similarity) * len(words) + 1e-9))
+                    row.append(np.full(len(first), i))
+                    word.append(first)
+                at_rows = pa.array(np.concatenate(row) if row else [], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(at_rows) for c in ("row_id", "root", "n_words")), pa.array(np.concatenate(word).astype(np.int64) if word else [], pa.int64())],
+                    ["row_id", "root", "n_words", "word"],
+                )
+
+    first = over.settle(nodes.select("row_id", "root", "n_words", "text").mapInArrow(run, "row_id bigint, root bigint, n_words bigint, word bigint"), "first-words")
+    shared = first.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("word")
+    first = over.settle(first.join(shared, "word"), "shared-words")
+    one, two = (first.select("word", F.col("row_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_words").alias(f"n{s}")) for s in "ab")
+    allowed = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("na") - F.col("nb")) <= (1 - similarity) * F.greatest("na", "nb") + 1e-9)
+    return one.join(two, "word").filter(allowed).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar; ``nodes`` (row_id, text)."""
     sides = pairs.join(nodes.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -255,12 +325,10 @@ def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = over.settle(components(links, over, "c2"), "roots2")
-    # wide buckets that still hold several classes: every pair of different classes
-    left = over.settle(_mixed(members, roots).select("bucket", "row_id", "root", "n_words"), "left")
+    # wide buckets that still hold several classes: whatever could be similar to a member of another class
+    left = over.settle(_mixed(members, roots).select("row_id", "root").distinct().join(held.select("row_id", "n_words", "text"), "row_id"), "left")
     if not left.isEmpty():
-        one, two = (left.select("bucket", F.col("row_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_words").alias(f"n{s}")) for s in "ab")
-        met = one.join(two, "bucket").filter(f"a < b AND ra != rb AND abs(na - nb) <= {1 - similarity} * greatest(na, nb) + 1e-9D")
-        near = over.settle(_near_bags(met.select("a", "b").distinct(), held, similarity), "near")
+        near = over.settle(_near_bags(_sharing(left, similarity, over), held, similarity), "near")
         more = over.settle(_verified(near, held, similarity), "links3")
         if not more.isEmpty():
             roots = over.settle(components(links.unionByName(more), over, "c3"), "roots3")
