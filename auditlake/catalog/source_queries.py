@@ -162,6 +162,28 @@ def evaluation_written(spark, sf):
     return back.select("sample_id", "dataset", "preset") if "_inner" not in back.columns else back
 
 
+def _feeds(spark, sf, rows: str, name: str) -> str:
+    """Feed documents of 200 records each in a few files; the last document is cut off."""
+    folder, opening = _folder(spark, name), '{"vulnerabilities": ['
+    record = F.expr(f"substring(doc, {len(opening) + 1}, length(doc) - {len(opening) + 2})")
+    docs = derived.derive(spark, sf, rows).select(F.floor(F.col("p_partkey") / 200).alias("block"), "p_partkey", record.alias("r"))
+    told = docs.groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "r"))), lambda x: x["r"]), ", ").alias("r"))
+    told.select(F.concat(F.lit(opening), "r", F.lit("]}")).alias("value")).unionByName(spark.range(1).select(F.lit(opening + '{"cve": {"id": "cut').alias("value"))).coalesce(3).write.text(folder)
+    return folder
+
+
+@query(
+    "feed_elements",
+    "SELECT 'CVE-2022-' || p_partkey AS id, 'Analyzed' AS status, false AS broken FROM part UNION ALL SELECT NULL, NULL, true",
+)
+def feed_elements(spark, sf):
+    """Feeds read element by element; what can't be read is set aside."""
+    rows = derived.FEED.replace("SELECT ", "SELECT p_partkey, ", 1)
+    feed = readers.cve_feed(spark, _feeds(spark, sf, rows, "feeds"))
+    broken = F.col("_corrupt_record").isNotNull()
+    return feed.select(F.when(~broken, F.col("cve.id")).alias("id"), F.when(~broken, F.col("cve.vulnStatus")).alias("status"), broken.alias("broken"))
+
+
 @query("load_twice", "SELECT CAST(l_partkey AS VARCHAR(20)) AS id, min(l_orderkey) AS first_order, count(*) * 0 + 1 AS copies FROM lineitem GROUP BY l_partkey")
 def load_twice(spark, sf):
     """Loading the same rows again, or duplicates of an id, adds nothing."""

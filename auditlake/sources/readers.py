@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake import schemas
 from auditlake.functions import rulebook as rb
 from auditlake.operators.extract import basename, function_name, language_from_path, sample_key
+from auditlake.sources import json_elements
 
 # --- source files -------------------------------------------------------------
 
@@ -263,13 +264,13 @@ def cwe_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exploited_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(schemas.EXPLOITED_CATALOGUE).option("multiLine", True).json(path)
-    return raw.select(F.explode("vulnerabilities").alias("e")).select("e.*")
+    """Entries of the catalogue, one file read by many tasks; an entry that can't be read has its text in ``_corrupt_record``."""
+    return json_elements.parsed(json_elements.elements(spark, path), schemas.EXPLOITED_ENTRY).drop("file")
 
 
 def cve_feed(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(schemas.CVE_FEED).option("multiLine", True).json(path)
-    return raw.select(F.explode("vulnerabilities").alias("e")).select("e.cve")
+    """Records of a feed (cve), read and set aside likewise."""
+    return json_elements.parsed(json_elements.elements(spark, path), f"cve {schemas.CVE_ENTRY}").drop("file")
 
 
 # --- responses and saved reports ----------------------------------------------
