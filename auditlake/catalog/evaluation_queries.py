@@ -400,7 +400,7 @@ SELECT v.sample_id, v.type, v.confidence, v.message, coalesce(m.cwe, v.type) AS
 FROM (SELECT * FROM val WHERE has_vulnerability ORDER BY confidence DESC, sample_id, message, type LIMIT 30) v LEFT JOIN m ON m.key = lower(v.type)""",
 )
 def scan_report_top(spark, sf):
-    rows = _scan_results(spark, sf).filter("has_vulnerability").orderBy(F.desc("confidence"), "sample_id", "message", "type").limit(30)
+    rows = hs.top_vulnerable(_scan_results(spark, sf), n=30, ties=("sample_id", "message", "type"))
     return rows.select("sample_id", "type", "confidence", "message", cwe.map_type(F.col("type"))["cwe"].alias("cwe"))
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.catalog import derived, sqltext as sq
 from auditlake.catalog.registry import query, table
 from auditlake.functions import rulebook as rb
 from auditlake.functions.columns import settle
-from auditlake.operators import cwe, extract, retrieval, rule_tables, static_scan, windows
+from auditlake.operators import cwe, extract, history, retrieval, rule_tables, static_scan, windows
 from auditlake.operators import requests as rq
+from auditlake.plans import triage
 from auditlake.session import spread
 
 _CODE = derived.cte(derived.CODE)
@@ -362,6 +366,29 @@ def triage_routing(spark, sf):
     )
 
 
+@query(
+    "triage_routes",
+    sq.SCAN + f"""
+SELECT preset, decision, CASE WHEN preset IN ({", ".join(sq.lit(n) for n, p in rb.PRESETS.items() if p["llm"]["mode"] == "tool_aware_chain")}) OR decision = 'uncertain' THEN 'model' ELSE 'static' END AS route,
+  count(*) AS functions FROM (
+  SELECT unnest({sq.str_list(list(rb.PRESETS))}) AS preset, unnest([{", ".join(_decision_sql(p) for p in rb.PRESETS.values())}]) AS decision FROM slices) a GROUP BY ALL""",
+)
+def triage_routes(spark, sf):
+    """Which functions rules alone settle and which go to a model, by preset."""
+    df = slices(spark, sf)
+    routed = [triage.route(df, p).select(F.lit(n).alias("preset"), F.col("static_decision").alias("decision"), "route") for n, p in rb.PRESETS.items()]
+    return reduce(DataFrame.unionByName, routed).groupBy("preset", "decision", "route").agg(F.count(F.lit(1)).alias("functions"))
+
+
+@query(
+    "first_open_cases",
+    sq.SCAN + " SELECT sample_id, sink_type, ast_confidence FROM slices WHERE risk_level = 'high' AND sink_type IS NOT NULL ORDER BY ast_confidence, sample_id LIMIT 25",
+)
+def first_open_cases(spark, sf):
+    """The least certain high-risk slices, for a reviewer (a top-k report)."""
+    return history.head(slices(spark, sf), "risk_level = 'high' AND sink_type IS NOT NULL", "ast_confidence", "sample_id", n=25).select("sample_id", "sink_type", "ast_confidence")
+
+
 @query(
     "likely_safe",
     sq.SCAN + f" SELECT sample_id, sink_category, list_has_any(sanitizers, {sq.category_lists(rb.QUICK_SAFE_SIGNALS, 'sink_category')}) AS likely_safe FROM slices",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.catalog import derived
 from auditlake.catalog.registry import query, table
-from auditlake.operators import extract, findings, requests
+from auditlake.operators import extract, findings, history, requests
 from auditlake.session import checkpoint_folder
 from auditlake.sources import readers, writers
 
@@ -249,4 +249,4 @@ def preset_parameters(spark, sf):
 @query("first_of_filtered", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def first_of_filtered(spark, sf):
     """The head of a filtered, ordered list (a top-k report)."""
-    return table(spark, sf, "orders").filter("o_orderstatus = 'F'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_totalprice")
+    return history.head(table(spark, sf, "orders"), "o_orderstatus = 'F'", F.desc("o_totalprice"), "o_orderkey", n=20).select("o_orderkey", "o_totalprice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDERS = {
@@ -59,6 +59,11 @@ def severity_counts(results: DataFrame) -> DataFrame:
     ).withColumn("safe", F.col("total") - F.col("vulnerable"))
 
 
-def top_vulnerable(results: DataFrame, n: int = 30, key: str = "sample_id") -> DataFrame:
-    """Most confident vulnerable rows (TakeOrderedAndProject: n rows per task)."""
-    return results.filter("has_vulnerability").orderBy(F.desc("confidence"), key).limit(n)
+def head(rows: DataFrame, condition: Column | str, *order: Column | str, n: int) -> DataFrame:
+    """The first ``n`` rows of a filtered list in an order (TakeOrderedAndProject: n rows per task); the order should tell rows apart."""
+    return rows.filter(condition).orderBy(*order).limit(n)
+
+
+def top_vulnerable(results: DataFrame, n: int = 30, ties: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """Most confident vulnerable rows."""
+    return head(results, "has_vulnerability", F.desc("confidence"), *ties, n=n)

@@ -181,8 +181,14 @@ def requirement_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
+# --- fixed values: how names and versions are written in setup scripts and project files --
 _SETUP_PAIR = r"""['"]([^'"]+)['"]\s*[:>=]=?\s*['"]([^'"]+)['"]"""
 
+_PROPERTY = r"<([^>]+)>([^<]+)</\1>"
+_DEPENDENCY = (
+    r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>\s*<version>([^<]+)</version>"
+)
+
 
 def setup_pairs(files: DataFrame, content: str = "content") -> DataFrame:
     """name, version pairs quoted in setup scripts."""
@@ -196,12 +202,6 @@ def setup_pairs(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-_PROPERTY = r"<([^>]+)>([^<]+)</\1>"
-_DEPENDENCY = (
-    r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>\s*<version>([^<]+)</version>"
-)
-
-
 def pom_dependencies(files: DataFrame, content: str = "content") -> DataFrame:
     """group:artifact and version; ``${ref}`` is looked up among the file's own tags.
 
