@@ -15,13 +15,15 @@ passed over first.
 
 *Verification.*  The share of the item's different runs that the whole document has, exactly.
 
-Items are taken in blocks of ``block`` by hash; each block's signatures are a table of a
-size set by ``block``, sent to all tasks, and the documents are read once per
-block (one block up to that many items).  Documents never move.
+*Items of one to four words* have no run of five.  They are looked for as they are, among the
+document's runs of just as many words, which are made only if there are such items.
 
-Words are white-space separated and lower-cased.  An item or document of one to four words has one
-run of all its words; null and empty ones have none and never match.  Repeated
-rows give repeated results; an item or a document without an id keeps a null id.
+Items are taken in blocks of about ``block_bytes`` of text by hash, one at a time on the driver; a block's
+signatures, a few hundred bytes an item, are sent to all tasks, and the documents are read once per
+block.  Documents never move.
+
+Words are white-space separated and lower-cased.  Null and empty texts have no words and never
+match.  Repeated rows give repeated results; an item or a document without an id keeps a null id.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import texts
-from auditlake.llm.shingles import WordHashes, mix, shingles
+from auditlake.llm.shingles import WORDS, WordHashes, mix, shingles
 
 HASHES = 32
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -57,8 +59,14 @@ class Items:
 
     def __init__(self, rows: list[tuple[object, str]]):
         hashes = WordHashes()
-        runs = [np.unique(shingles(hashes.of(text.lower().split()))) for _, text in rows]
+        words = [hashes.of(text.lower().split()) for _, text in rows]
+        runs = [np.unique(shingles(w)) if len(w) >= WORDS else np.zeros(0, np.uint64) for w in words]
         self.ids = [i for i, _ in rows]
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # number of words -> run -> items
+        for i, w in enumerate(words):
+            if 0 < len(w) < WORDS:
+                self.short[len(w)][int(shingles(w, len(w))[0])].append(i)
+        self.short = {n: dict(of) for n, of in self.short.items()}
         self.runs = runs
         self.all_runs = np.unique(np.concatenate([*runs, np.zeros(0, np.uint64)]))
         self.gate_bits = np.uint64((1 << 24) - 1)
@@ -78,12 +86,14 @@ class Items:
                 tables.append((signatures[order, h], np.array(members, np.int64)[order]))
             self.partitions[bound] = tables
 
-    def found_in(self, text_runs: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """(item, share of its runs) for candidates of the MinHash search that reach ``least``."""
+    def found_in(self, words: np.ndarray, least: float) -> list[tuple[int, float]]:
+        """(item, share of its runs) for short items in the text and for candidates of the MinHash search that reach ``least``."""
+        short = [(i, 1.0) for n, of in self.short.items() if n <= len(words) for run in np.unique(shingles(words, n)).tolist() if run in of for i in of[run]]
+        return sorted(short) + self._long_in(shingles(words), least) if len(words) >= WORDS else sorted(short)
+
+    def _long_in(self, text_runs: np.ndarray, least: float) -> list[tuple[int, float]]:
         candidates: set[int] = set()
         n = len(text_runs)
-        if not n:
-            return []
         likely = text_runs[self.gate[(text_runs & self.gate_bits).astype(np.int64)]]
         if not len(likely) or not np.isin(likely, self.all_runs).any():
             return []
@@ -103,17 +113,18 @@ class Items:
         return [(i, s) for i, s in shares if s >= least]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block: int) -> list[list[tuple[object, str]]]:
-    """Items in blocks of about ``block``, one block at a time on the driver."""
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
+    """Items in blocks of about ``block_bytes``, one block at a time on the driver."""
     items = texts(benchmark, item_id, item_text)
-    n = items.count()
-    parts = max(1, -(-n // block))
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    parts = max(1, -(-total // block_bytes))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
-    return [[(r["doc_id"], r["text"]) for r in items.filter(part == p).collect()] for p in range(parts)] if n else []
+    for p in range(parts if total else 0):
+        yield [(r["doc_id"], r["text"]) for r in items.filter(part == p).toLocalIterator()]
 
 
 def contained(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Pairs doc_id, item_id, containment."""
@@ -121,7 +132,7 @@ def contained(
     id_type, item_type = keyed.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     kind = f"doc_id {id_type}, item_id {item_type}, containment double"
     out = keyed.sparkSession.createDataFrame([], kind)
-    for rows in _blocks(benchmark, item_id, item_text, block):
+    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
         sent = keyed.sparkSession.sparkContext.broadcast(Items(rows))
         arrow_id = pa.int64() if item_type == "bigint" else None
 
@@ -130,7 +141,7 @@ def contained(
             for batch in batches:
                 doc, item, share = [], [], []
                 for i, text in enumerate(batch.column("text")):
-                    for k, s in items.found_in(shingles(hashes.of(text.as_py().lower().split())), least):
+                    for k, s in items.found_in(hashes.of(text.as_py().lower().split()), least):
                         doc.append(i)
                         item.append(items.ids[k])
                         share.append(s)
@@ -143,16 +154,16 @@ def contained(
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block: int = 20_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, block_bytes: int = 16 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns of the rows that hold no item."""
     texts(docs, text_col, text_col)  # workers find this package
-    for rows in _blocks(benchmark, item_id, item_text, block):
+    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items, hashes = sent.value, WordHashes()
             for batch in batches:
-                clean = [not items.found_in(shingles(hashes.of((t.as_py() or "").lower().split())), least) for t in batch.column(text_col)]
+                clean = [not items.found_in(hashes.of((t.as_py() or "").lower().split()), least) for t in batch.column(text_col)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -222,7 +222,7 @@ def runs(text):
 
 def test_items_inside_documents(spark, documents, sf, odd, none):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id): r.containment for r in containment.contained(documents, items, block=40).collect()}
+    got = {(r.doc_id, r.item_id): r.containment for r in containment.contained(documents, items, block_bytes=2_000).collect()}
     want = {}
     docs = {r.doc_id: runs(r.text or "") for r in documents.collect()}
     for item in items.collect():
@@ -276,3 +276,20 @@ def test_pairs_that_share_a_first_word_cover_all_links(spark, monkeypatch):
         monkeypatch.setattr(edit_near_dedup, "_FREQUENT", frequent)
         got = {(r.a, r.b) for r in edit_near_dedup._sharing(nodes, 0.8, HandOver(spark)).collect()}
         assert want <= got and (frequent == 3 or len(got) < 160 * 159 / 4)
+
+
+def test_items_of_one_to_four_words_are_found_in_long_documents(spark, none):
+    random.seed(79)
+    vocabulary = [f"v{i}" for i in range(60)]
+    docs = [(i, " ".join(random.choices(vocabulary, k=random.choice([0, 1, 2, 3, 4, 5, 60, 300])))) for i in range(80)] + [(80, None), (81, "V1  v2\nv3")]
+    items = [(i, " ".join(random.choices(vocabulary, k=random.randint(1, 4)))) for i in range(40)] + [(40, "v1 v2 V3"), (41, ""), (42, None), (43, " ".join(vocabulary[:6]))]
+
+    def has(text, item):
+        a, b = (text or "").lower().split(), (item or "").lower().split()
+        return bool(b) and any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1))
+
+    df, table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    for block_bytes in (16 << 20, 100):
+        got = {(r.doc_id, r.item_id) for r in containment.contained(df, table, block_bytes=block_bytes).collect()}
+        assert got == {(d, i) for d, text in docs for i, item in items if has(text, item)}
+    assert containment.without_contaminated(df, table).count() == sum(not any(has(t, i) for _, i in items) for _, t in docs)
