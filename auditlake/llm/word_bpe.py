@@ -1,9 +1,9 @@
 """Token ids of a lower-casing word BPE, each different word encoded once per worker.
 
 The tokenizer's file sets the ids; nothing is trained here.  Texts of plain
-characters are cut at white space and looked up word by word, which gives the
-same ids as the tokenizer itself because it never joins characters across white
-space.  All other texts go through the tokenizer as they are.
+characters are cut at white space, and new words into runs of letters, digits and signs as the
+tokenizer cuts them; looked up word by word this gives the same ids as the tokenizer itself
+because it never joins characters across pieces.  All other texts go through the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Words kept per worker; beyond it the store starts anew, which changes speed only.
+#: Words, and pieces of words, kept per worker; beyond it a store starts anew, which changes speed only.
 STORE_WORDS = 300_000
 
 _LETTERS = "".join(chr(c) for c in range(0x300) if unicodedata.category(chr(c))[0] == "L")
@@ -32,6 +32,14 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+def _is_special(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_SPECIAL.search(text))
+    return any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|"))
+
+
 class WordBpe:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -42,6 +50,7 @@ class WordBpe:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.store: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -50,24 +59,33 @@ class WordBpe:
             out.byteswap()
         return out.tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= STORE_WORDS:
+                self.pieces = {}
+            found = self.pieces[piece] = self._packed([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        return found
+
     def _word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in _PIECES.findall(word):
-            ids += [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return self._packed(ids)
+        if word.isalpha():
+            return self._piece(word)
+        if word[:-1].isalpha():  # a word and one sign or digit
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, _PIECES.findall(word)))
 
     def encode(self, text: str) -> bytes:
-        if _SPECIAL.search(text):
+        if _is_special(text):
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         words, store = text.lower().split(), self.store
-        new = {w for w in words if w not in store}
+        new = set(words).difference(store)
         if new:
             if len(store) + len(new) > STORE_WORDS:
                 store = self.store = {}
                 new = set(words)
             for w in new:
                 store[w] = self._word(w)
-        return b"".join([store[w] for w in words])
+        return b"".join(map(store.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
