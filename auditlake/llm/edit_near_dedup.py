@@ -10,10 +10,10 @@ the same order share keys, so a shared key speaks of a small edit distance.
 a wide key all members are aligned with its smallest member.  Where the members
 of a bucket still belong to several classes, they meet again under their narrow
 keys.  What then still lies in a bucket with members of another class is searched
-exactly: two texts within the distance share one of the rarest words of each, more
-precisely of its floor((1 - ``similarity``) n) + 1 first words (numbered by occurrence) in any
-one order of all words.  The order is by frequency, so these are rare ones; such texts meet by
-a shared word, whatever their bucket, and no pair that could be similar is left unchecked.
+exactly: an edit changes at most two of a text's pairs of neighbouring words, so two texts within the distance share
+one of the first floor(2 (1 - ``similarity``) n) + 1 pairs (numbered by occurrence) of each in any
+one order of all pairs.  The order is by frequency, so these are rare ones; such texts meet by
+a shared pair of words, whatever their bucket, and no two that could be similar are left unchecked.
 Of these pairs only those are aligned whose numbers of words, in all and
 in ``BAG`` hashed parts of the vocabulary, allow the distance; pairs left out are
 farther apart for certain.
@@ -47,7 +47,7 @@ from auditlake.llm.shingles import WordHashes, mix, shingles
 BANDS, RUN, WIDE, NARROW, BAG = 32, 3, 2, 6, 256
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
-#: Words that a task reports as frequent, and words whose frequency orders all others; they change speed only.
+#: Pairs of words that a task reports as frequent, and those whose frequency orders all others; they change speed only.
 _REPORTED, _FREQUENT = 20_000, 100_000
 
 
@@ -181,20 +181,31 @@ def sketched(docs: DataFrame, bands: int) -> DataFrame:
     return docs.mapInArrow(run, f"row_id bigint, doc_id {id_type}, text string, text_id binary, wide array<bigint>, narrow array<bigint>, n_words bigint, bag binary")
 
 
-def first_words(words: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
-    """The ``most`` + 1 numbered words that come first by (frequency rank, hash)."""
-    numbered_words = labelled(words)
-    return numbered_words[np.lexsort((numbered_words, rank))[: most + 1]]
+def first_runs(words: np.ndarray, known: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The numbered runs of ``_run(similarity)`` words that come first by (frequency, hash), as many as two similar texts must share one of."""
+    size = _run(similarity)
+    runs = shingles(words, size)
+    rank = np.zeros(len(runs), np.int64)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        rank = np.where(known[place] == runs, counts[place], 0)
+    numbered_runs = labelled(runs)
+    return numbered_runs[np.lexsort((numbered_runs, rank))[: int(size * (1 - similarity) * len(words) + 1e-9) + 1]]
 
 
-def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words of ``nodes`` (text), sorted, and their counts; at most ``_FREQUENT``."""
+def _run(similarity: float) -> int:
+    """Two words; below a similarity of a half, edits could change all pairs of words, and single words serve."""
+    return 2 if similarity > 0.5 else 1
+
+
+def _frequent(nodes: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent runs of ``nodes`` (text), sorted, and their counts; at most ``_FREQUENT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(np.unique(hashes.of(_words(text))).astype(np.int64).tolist())
+                seen.update(np.unique(shingles(hashes.of(_words(text)), _run(similarity))).astype(np.int64).tolist())
                 if len(seen) > 20 * _REPORTED:
                     seen = Counter(dict(seen.most_common(2 * _REPORTED)))
         word, n = zip(*seen.most_common(_REPORTED)) if seen else ((), ())
@@ -208,11 +219,11 @@ def _frequent(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sharing(nodes: DataFrame, similarity: float, over: HandOver) -> DataFrame:
-    """Pairs (a, b) of different roots that share a first word; ``nodes`` (row_id, root, n_words, text).
+    """Pairs (a, b) of different roots that share a first run; ``nodes`` (row_id, root, n_words, text).
 
     Any two nodes whose distance allows a link are among them.
     """
-    known, counts = _frequent(nodes)
+    known, counts = _frequent(nodes, similarity)
     sent = nodes.sparkSession.sparkContext.broadcast((known, counts))  # at most _FREQUENT entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +236,7 @@ def _sharing(nodes: DataFrame, similarity: float, over: HandOver) -> DataFrame:
                     words = hashes.of(_words(text))
                     if not len(words):
                         continue
-                    rank = np.zeros(len(words), np.int64)
-                    if len(known):
-                        place = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                        rank = np.where(known[place] == words, counts[place], 0)
-                    first = first_words(words, rank, int((1 - similarity) * len(words) + 1e-9))
+                    first = first_runs(words, known, counts, similarity)
                     row.append(np.full(len(first), i))
                     word.append(first)
                 at_rows = pa.array(np.concatenate(row) if row else [], pa.int64())
@@ -238,9 +245,9 @@ def _sharing(nodes: DataFrame, similarity: float, over: HandOver) -> DataFrame:
                     ["row_id", "root", "n_words", "word"],
                 )
 
-    first = over.settle(nodes.select("row_id", "root", "n_words", "text").mapInArrow(run, "row_id bigint, root bigint, n_words bigint, word bigint"), "first-words")
+    first = over.settle(nodes.select("row_id", "root", "n_words", "text").mapInArrow(run, "row_id bigint, root bigint, n_words bigint, word bigint"), "first-runs")
     shared = first.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("word")
-    first = over.settle(first.join(shared, "word"), "shared-words")
+    first = over.settle(first.join(shared, "word"), "shared-runs")
     one, two = (first.select("word", F.col("row_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_words").alias(f"n{s}")) for s in "ab")
     allowed = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.abs(F.col("na") - F.col("nb")) <= (1 - similarity) * F.greatest("na", "nb") + 1e-9)
     return one.join(two, "word").filter(allowed).select("a", "b").distinct()

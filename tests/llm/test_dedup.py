@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from auditlake.llm import components, containment, edit_near_dedup, radix_dedup, suffix_dedup
 from auditlake.llm.common import HandOver
+from auditlake.llm.shingles import shingles
 from auditlake.llm.suffix_groups import suffix_order
 
 
@@ -241,8 +242,8 @@ def test_items_inside_documents(spark, documents, sf, odd, none):
     assert pairs == sorted([(1, 4), (2, 4), (2, 4), (0, 4), (9, 4), (6, 0)])
 
 
-def test_first_words_lose_no_pair(spark):
-    """Any two texts within the distance share one of their first words, whatever the order of words is."""
+def test_first_runs_lose_no_pair():
+    """Any two texts within the distance share one of their first runs, whatever the order of runs is."""
     random.seed(77)
     common = [f"c{i}" for i in range(30)]
     for _ in range(400):
@@ -252,16 +253,15 @@ def test_first_words_lose_no_pair(spark):
         for _ in range(random.randint(0, len(a) // 4 + 1)):
             at = random.randrange(len(b) + 1)
             b[at : at + random.randint(0, 1)] = random.choices([*common, "new", "newer"], k=random.randint(0, 1))
-        if b and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
-            rank = {w: random.randint(0, 3) for w in {*a, *b}}
-            first = []
-            for words in (a, b):
-                hashed = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-                first.append(set(edit_near_dedup.first_words(hashed, np.array([rank[w] for w in words]), int(0.2 * len(words) + 1e-9)).tolist()))
+        if b and a != b and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            hashed = [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64) for words in (a, b)]
+            known = np.unique(np.concatenate([shingles(x, 2) for x in hashed]))
+            counts = (known % np.uint64(random.randint(1, 9))).astype(np.int64)
+            first = [set(edit_near_dedup.first_runs(x, known, counts, 0.8).tolist()) for x in hashed]
             assert first[0] & first[1]
 
 
-def test_pairs_that_share_a_first_word_cover_all_links(spark, monkeypatch):
+def test_pairs_that_share_a_first_run_cover_all_links(spark, monkeypatch):
     random.seed(78)
     base = [[f"w{random.randint(0, 80)}" for _ in range(random.randint(5, 40))] for _ in range(25)]
     rows = []
