@@ -6,13 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from auditlake.llm import components, containment, edit_near_dedup, radix_dedup, suffix_dedup
-from auditlake.llm.common import HandOver
-from auditlake.llm.shingles import shingles
 from auditlake.llm.suffix_groups import suffix_order
 
 
@@ -242,42 +239,6 @@ def test_items_inside_documents(spark, documents, sf, odd, none):
     assert pairs == sorted([(1, 4), (2, 4), (2, 4), (0, 4), (9, 4), (6, 0)])
 
 
-def test_first_runs_lose_no_pair():
-    """Any two texts within the distance share one of their first runs, whatever the order of runs is."""
-    random.seed(77)
-    common = [f"c{i}" for i in range(30)]
-    for _ in range(400):
-        a = random.choices(common, k=random.randint(1, 40)) + [f"r{random.randint(0, 60)}" for _ in range(random.randint(0, 20))]
-        random.shuffle(a)
-        b = list(a)
-        for _ in range(random.randint(0, len(a) // 4 + 1)):
-            at = random.randrange(len(b) + 1)
-            b[at : at + random.randint(0, 1)] = random.choices([*common, "new", "newer"], k=random.randint(0, 1))
-        if b and a != b and edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
-            hashed = [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64) for words in (a, b)]
-            known = np.unique(np.concatenate([shingles(x, 2) for x in hashed]))
-            counts = (known % np.uint64(random.randint(1, 9))).astype(np.int64)
-            first = [set(edit_near_dedup.first_runs(x, known, counts, 0.8).tolist()) for x in hashed]
-            assert first[0] & first[1]
-
-
-def test_pairs_that_share_a_first_run_cover_all_links(spark, monkeypatch):
-    random.seed(78)
-    base = [[f"w{random.randint(0, 80)}" for _ in range(random.randint(5, 40))] for _ in range(25)]
-    rows = []
-    for i in range(160):
-        words = list(random.choice(base))
-        for _ in range(random.randint(0, len(words) // 4)):
-            words[random.randrange(len(words))] = f"w{random.randint(0, 80)}"
-        rows.append((i, " ".join(words), i, len(words)))
-    nodes = spark.createDataFrame(rows, "row_id bigint, text string, root bigint, n_words bigint").repartition(3)
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and edit_distance(a[1].split(), b[1].split()) <= int(0.2 * max(a[3], b[3]) + 1e-9)}
-    for frequent in (100_000, 3):
-        monkeypatch.setattr(edit_near_dedup, "_FREQUENT", frequent)
-        got = {(r.a, r.b) for r in edit_near_dedup._sharing(nodes, 0.8, HandOver(spark)).collect()}
-        assert want <= got and (frequent == 3 or len(got) < 160 * 159 / 4)
-
-
 def test_items_of_one_to_four_words_are_found_in_long_documents(spark, none):
     random.seed(79)
     vocabulary = [f"v{i}" for i in range(60)]
