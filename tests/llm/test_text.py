@@ -362,3 +362,22 @@ def test_pipeline_stages(spark, sf, documents):
     assert all(b <= a for a, b in zip(kept, kept[1:])) and len(kept[1]) == docs.sparkSession.createDataFrame([(t,) for t in {r.text for r in documents.collect() if r.doc_id in kept[0]}], "t string").count()
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept[-1]
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf, odd, none):
+    """Nulls, repeated rows, long and empty texts, clashing columns and no rows go through all stages."""
+    sizes = []
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == odd.columns
+        docs = spark.createDataFrame(docs.collect(), odd.schema)
+        sizes.append(docs.count())
+    # equal texts: four of PROSE, three empty ones, two of x; near copies: the changed PROSE, LONG with a tail, and blanks as good as empty
+    assert sizes == [15, 9, 6, 6]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == 6
+    empty = none
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, sf)
+        assert empty.columns == odd.columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
