@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through five operators, each result written and read as the next one's input."""
+"""The corpus pipeline: documents through five operators, each result written and read as the next one's input.
+
+A null text is an empty one to every stage and stays null in the rows; all null and empty texts are copies of each
+other.  A row without an id is kept like others, but goes before rows with one where copies go.  Repeated
+rows are copies.  An empty table stays empty.  Columns beside the id and the text, whatever their names, are kept as they are.
+"""
 
 from __future__ import annotations
 
