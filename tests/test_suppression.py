@@ -1,6 +1,7 @@
 """Repeated requests in streams: 24 hours from the request that was asked, whatever the batches."""
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -13,7 +14,9 @@ START = datetime(2024, 1, 1)
 
 def deliver(folder, number, rows):
     folder.mkdir(exist_ok=True)
-    (folder / f"{number:04d}.json").write_text("".join(json.dumps({"request_id": k, "ts": t.isoformat() if t else None, "note": "x"}) + "\n" for k, t in rows))
+    file = folder / f"{number:04d}.json"
+    file.write_text("".join(json.dumps({"request_id": k, "ts": t.isoformat() if t else None, "note": "x"}) + "\n" for k, t in rows))
+    os.utime(file, (1_700_000_000 + number,) * 2)  # files are read in the order of their times
 
 
 def call(spark, tmp_path, late, files_per_batch=1000):
