@@ -1,9 +1,9 @@
 """Product-quantised inverted lists: nearest vectors from short codes, re-ranked exactly.
 
 ``fit`` learns cell centres and, per slice of the dimensions, a codebook of what
-is left of a vector beside its centre, on a bounded sample.  ``indexed`` gives every
-vector a row (doc_id, cell, code): a byte per slice, so a table of codes is a fraction of the
-vectors.  ``search`` reads the codes of each query's nearest cells where they lie, keeps
+is left of a vector beside its centre, and a second one of what that leaves, on a bounded sample.
+``indexed`` gives every vector a row (doc_id, cell, code): two bytes per slice, so a table of codes is a
+fraction of the vectors.  ``search`` reads the codes of each query's nearest cells where they lie, keeps
 the ``rerank`` best per query by the codes, and only for those fetches the whole vectors and
 ranks by the exact similarity.  Queries go to the tasks in blocks whose bytes are
 bounded; codes and vectors are never collected.
@@ -34,7 +34,7 @@ _CHUNK = 16_384
 @dataclass(frozen=True)
 class Index:
     centre: np.ndarray  # cells x size, unit rows
-    books: np.ndarray  # slices x 256 x size / slices
+    books: np.ndarray  # 2 x slices x 256 x size / slices: of what the centre leaves, of what the first code leaves
 
     @property
     def size(self) -> int:
@@ -44,14 +44,19 @@ class Index:
         return np.argsort(-(unit @ self.centre.T), axis=1, kind="stable")[:, :count].astype(np.int32)
 
     def encode(self, unit: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        rest = (unit - self.centre[cell]).reshape(len(unit), len(self.books), -1)
-        code = np.empty(rest.shape[:2], np.uint8)
-        for k, book in enumerate(self.books):  # least squared distance
-            code[:, k] = ((book**2).sum(1)[None] - 2 * rest[:, k] @ book.T).argmin(1)
+        slices = self.books.shape[1]
+        rest = (unit - self.centre[cell]).reshape(len(unit), slices, -1)
+        code = np.empty((len(unit), 2 * slices), np.uint8)
+        for level, books in enumerate(self.books):
+            for k, book in enumerate(books):  # least squared distance
+                near = ((book**2).sum(1)[None] - 2 * rest[:, k] @ book.T).argmin(1)
+                code[:, level * slices + k] = near
+                rest[:, k] -= book[near]
         return code
 
     def decode(self, code: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        return self.centre[cell] + np.concatenate([book[code[:, k]] for k, book in enumerate(self.books)], axis=1)
+        first, second = np.split(code, 2, axis=1)
+        return self.centre[cell] + np.concatenate([a[first[:, k]] + b[second[:, k]] for k, (a, b) in enumerate(zip(*self.books))], axis=1)
 
 
 def _clusters(data: np.ndarray, count: int, rounds: int, unit: bool) -> np.ndarray:
@@ -80,8 +85,11 @@ def fit(docs: DataFrame, *, cells: int = 64, slices: int = 16, sample_rows: int
     data = _unit(_matrix(rows.orderBy("doc_id").toPandas()["vector"]))
     centre = _clusters(data, min(cells, len(data)), rounds, unit=True)
     rest = (data - centre[(data @ centre.T).argmax(1)]).reshape(len(data), slices, -1)
-    books = np.stack([_clusters(rest[:, k], min(256, len(data)), rounds, unit=False) for k in range(slices)])
-    return Index(centre, books)
+    books = []
+    for _ in range(2):
+        books.append(np.stack([_clusters(rest[:, k], min(256, len(data)), rounds, unit=False) for k in range(slices)]))
+        rest = np.stack([r - b[((b**2).sum(1)[None] - 2 * r @ b.T).argmin(1)] for r, b in zip(rest.transpose(1, 0, 2), books[-1])], axis=1)
+    return Index(centre, np.stack(books))
 
 
 def indexed(docs: DataFrame, index: Index) -> DataFrame:
@@ -132,12 +140,14 @@ def candidates(queries: DataFrame, codes: DataFrame, index: Index, *, probes: in
                     for at in range(0, len(own), _CHUNK):
                         rows = own[at : at + _CHUNK]
                         code = np.frombuffer(b"".join(part["code"].iloc[rows]), np.uint8).reshape(len(rows), -1)
-                        near = unit[queries_of] @ index.decode(code, d_cells[rows]).astype(np.float32).T
+                        near = np.round(unit[queries_of] @ index.decode(code, d_cells[rows]).astype(np.float32).T, 5)  # copies are equal
                         for q, row in zip(queries_of, near):
                             old = found.get(q, (np.empty(0, np.float32), d_ids[:0]))
                             score, ids = np.concatenate([old[0], row]), np.concatenate([old[1], d_ids[rows]])
                             if len(score) > rerank:
-                                top = np.argpartition(-score, rerank - 1)[:rerank]
+                                least = np.partition(score, -rerank)[-rerank]
+                                held_on = np.flatnonzero(score >= least)
+                                top = held_on[np.lexsort((ids[held_on], -score[held_on]))[:rerank]]
                                 score, ids = score[top], ids[top]
                             found[q] = score, ids
             for q, (score, ids) in found.items():

@@ -49,3 +49,24 @@ def test_odd_rows(spark):
     assert vector_index.search(queries, docs.filter("false"), index, k=5).count() == 0
     with pytest.raises(ValueError):
         vector_index.fit(docs.filter("false"))
+
+
+def test_codes_tell_near_vectors_apart_among_many(spark):
+    """Unclustered vectors, as the check grows them: the first code alone finds 0.9 of the ten nearest."""
+    rng = np.random.default_rng(8)
+    around = rng.normal(size=(300, 64))
+    data = around[rng.integers(0, 300, 6000)] + 2 * rng.normal(size=(6000, 64))
+    docs, queries = frame(spark, "doc_id", enumerate(data)).cache(), frame(spark, "query_id", enumerate(data[::60]))
+    index = vector_index.fit(docs, cells=16, slices=16)
+    found = vector_index.search(queries, docs, index, k=10, rerank=50)
+    assert retrieval.recall_at_k(found, retrieval.top_k(queries, docs, k=10)).first().recall >= 0.97
+
+
+def test_copies_beyond_the_reranked_rows_tie_by_id(spark):
+    rng = np.random.default_rng(9)
+    data = np.vstack([rng.normal(size=(300, 8)), np.tile(rng.normal(size=8), (400, 1))])[rng.permutation(700)]
+    docs = frame(spark, "doc_id", enumerate(data)).repartition(3)
+    queries = frame(spark, "query_id", enumerate(data))
+    index = vector_index.fit(docs, cells=4, slices=4)
+    found = vector_index.search(queries, docs, index, k=10, rerank=20)
+    assert retrieval.recall_at_k(found, retrieval.top_k(queries, docs, k=10)).first().recall >= 0.99
