@@ -7,7 +7,8 @@ rules, and only patterns whose literal occurs are run.  Patterns that need no li
 are run on every text.
 
 Rules go to the tasks in blocks of at most ``RULE_BYTES`` of pattern text, one pass over the
-texts per block; texts stay where they are and nothing is paired up before a match.
+texts per block; texts stay where they are and nothing is paired up before a match.  A pattern is
+compiled when its literal first occurs, and matches leave a task in batches of about ``MOST_ROWS`` rows.
 Patterns are Python regular expressions, so is what they mean.
 """
 
@@ -27,6 +28,8 @@ RULE_BYTES = 8 << 20
 #: Most alternatives a pattern's literals may have; beyond it the pattern counts as one without.
 MOST_LITERALS = 64
 LEAST_LENGTH = 2
+#: Matches that a task holds before it hands them on.
+MOST_ROWS = 1 << 16
 
 # Both letters are equal to i in a pattern that ignores case, but not in folded text.
 _DOTS = {0x130: "i", 0x131: "i"}
@@ -95,7 +98,8 @@ class RuleSet:
         for rule_id, pattern, language in self.rules:
             by_pattern[pattern].append((rule_id, language))
         self.owners = [*by_pattern.values()]
-        self.compiled = [re.compile(p) for p in by_pattern]
+        self.patterns = [*by_pattern]
+        self.compiled: list[re.Pattern | None] = [None] * len(self.patterns)
         by_literal, self.always = defaultdict(list), []
         for k, pattern in enumerate(by_pattern):
             literals = required(pattern)
@@ -110,6 +114,11 @@ class RuleSet:
             self.automaton.make_automaton()
         self.ready = True
 
+    def _found(self, k: int, text: str) -> bool:
+        if self.compiled[k] is None:
+            self.compiled[k] = re.compile(self.patterns[k])
+        return self.compiled[k].search(text) is not None
+
     def matching(self, text: str, language: str | None = None) -> list[object]:
         """Ids of the rules that match, for any language or for this one."""
         if not self.ready:
@@ -118,7 +127,7 @@ class RuleSet:
         if len(self.automaton):
             for _, owners in self.automaton.iter(folded(text)):
                 tried.update(owners)
-        return [i for k in sorted(tried) if self.compiled[k].search(text) for i, lang in self.owners[k] if lang is None or lang == language]
+        return [i for k in sorted(tried) if self._found(k, text) for i, lang in self.owners[k] if lang is None or lang == language]
 
 
 def checked(rules: list[tuple[object, str, str | None]]) -> list[tuple[object, str, str | None]]:
@@ -140,6 +149,25 @@ def _blocks(rules: DataFrame, rule_id: str, pattern: str, language: str | None,
         yield checked([tuple(r) for r in kept.filter(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == p).toLocalIterator()])
 
 
+def matches(batches: Iterator[pa.RecordBatch], rule_set: RuleSet, ids: list[str], kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+    """The ``ids`` of each text beside each rule that matches it; a batch ends with the text that fills it."""
+
+    def rows(batch: pa.RecordBatch, at: list[int], found: list[object]) -> pa.RecordBatch:
+        taken = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ids), pa.array(found, kind)], [*ids, "rule_id"])
+
+    for batch in batches:
+        at, found = [], []
+        for i, (body, lang) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__language").to_pylist())):
+            hits = rule_set.matching(body, lang)
+            at += [i] * len(hits)
+            found += hits
+            if len(found) >= MOST_ROWS:
+                yield rows(batch, at, found)
+                at, found = [], []
+        yield rows(batch, at, found)
+
+
 def match(
     texts: DataFrame, rules: DataFrame, ids: list[str], *, text: str = "text", language: str | None = None, rule_id: str = "rule_id", pattern: str = "pattern",
     rule_language: str | None = None, rule_bytes: int = RULE_BYTES,
@@ -160,15 +188,7 @@ def match(
         sent = texts.sparkSession.sparkContext.broadcast(RuleSet(block))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            rule_set = sent.value
-            for batch in batches:
-                at, found = [], []
-                for i, (body, lang) in enumerate(zip(batch.column("__text").to_pylist(), batch.column("__language").to_pylist())):
-                    hits = rule_set.matching(body, lang)
-                    at += [i] * len(hits)
-                    found += hits
-                rows = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ids), pa.array(found, pa.int64() if kind.typeName() == "long" else None)], [*ids, "rule_id"])
+            return matches(batches, sent.value, ids, pa.int64() if kind.typeName() == "long" else None)
 
         out = out.unionByName(read.mapInArrow(run, schema))
     return out

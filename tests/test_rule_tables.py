@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,15 @@ def test_table_equals_brute_force(spark, rule_bytes):
     assert rule_tables.match(df, table.filter("false"), ["id"]).count() == 0 and rule_tables.match(df.filter("false"), table, ["id"]).count() == 0
 
 
+def test_matches_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(rule_tables, "MOST_ROWS", 500)
+    rules = RuleSet([(k, "gets", None) for k in range(300)] + [(300, "never (here|there)", None)])
+    texts = pa.RecordBatch.from_pydict({"id": [*range(40)], "__text": ["gets"] * 40, "__language": pa.nulls(40, pa.string())})
+    out = [*rule_tables.matches(iter([texts]), rules, ["id"], pa.int64())]
+    assert sum(b.num_rows for b in out) == 40 * 300 and max(b.num_rows for b in out) <= 800
+    assert [c is None for c in rules.compiled] == [False, True]
+
+
 def test_broken_rules_are_named(spark):
     with pytest.raises(ValueError, match="rule 4"):
         rule_tables.match(spark.createDataFrame([("a",)], "text string"), spark.createDataFrame([(4, "(")], "rule_id bigint, pattern string"), [])
