@@ -25,10 +25,12 @@ from auditlake.session import at_most, cut_lineage
 
 # Most bytes of query vectors and ids that are broadcast.
 MAX_BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 8192
-# Scores held at once by a task (32 MB of doubles).
-CHUNK_CELLS = 4_000_000
-
+# Most bytes of vectors in a block; each side is sent once per block of the other.
+BLOCK_BYTES = 32 << 20
+# Scores held at once by a task, of so many queries, and documents in its first chunk.
+CHUNK_CELLS = 4_194_304
+QUERY_ROWS = 1024
+FIRST_CHUNK = 256
 
 
 def _pair(q: DataFrame, d: DataFrame) -> str:
@@ -68,34 +70,80 @@ def _chunk_best(q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, metric:
     return d_ids[best], np.take_along_axis(sim, best, axis=1)
 
 
-def _merge_best(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, score = np.hstack([a[0], b[0]]), np.hstack([a[1], b[1]])
-    order = np.argsort(ids, axis=1, kind="stable")
-    ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
-    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
+class _Best:
+    """The k best documents of some queries over all chunks seen.
 
+    A chunk is scored roughly (single precision for the cosine) and only what may beat a query's
+    kth best so far is scored exactly; a query with many such documents is scored as a whole.
+    """
 
-def _best_of(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[pd.DataFrame], k: int, floor: float, metric: str) -> pd.DataFrame:
-    """k best documents per query over all parts, holding only k per query and one chunk."""
-    step = max(1, CHUNK_CELLS // max(1, len(q_ids)))
-    best = None
+    def __init__(self, q: np.ndarray, k: int, metric: str):
+        self.q, self.k, self.metric = q, k, metric
+        kind = np.float32 if metric == "cosine" else np.float64
+        self.rough_q = (_unit(q) if metric == "cosine" else q).astype(kind)
+        self.error = 4 * (q.shape[1] + 4) * float(np.finfo(kind).eps)
+        self.least = np.full(len(q), -np.inf)
+        self.row, self.ids, self.score = np.empty(0, np.int64), None, np.empty(0)
+
+    def _rough(self, d: np.ndarray) -> tuple[np.ndarray, float]:
+        """Similarities and how far they may be off."""
+        if self.metric == "cosine":
+            return self.rough_q @ d.astype(np.float32).T, self.error + 1e-8
+        sides = (self.q**2).sum(1), (d**2).sum(1)
+        sim = 1.0 - (sides[0][:, None] + sides[1][None, :] - 2.0 * (self.q @ d.T))
+        return sim, self.error * (1.0 + 2.0 * float(sides[0].max() + sides[1].max())) + 1e-8
+
+    def _exact(self, row: np.ndarray, d: np.ndarray, at: np.ndarray) -> np.ndarray:
+        q, d = self.q[row], d[at]
+        if self.metric == "cosine":
+            return np.round(np.einsum("ij,ij->i", _unit(q), _unit(d)), 9)
+        return np.round(1.0 - ((q**2).sum(1) + (d**2).sum(1) - 2.0 * np.einsum("ij,ij->i", q, d)), 9)
+
+    def add(self, d_ids: np.ndarray, d: np.ndarray, rough_d: np.ndarray) -> None:
+        sim, off = self._rough(rough_d)
+        may = sim >= (self.least - off)[:, None]
+        many = np.count_nonzero(may, axis=1) > 8 * self.k
+        may[many] = False
+        row, at = np.nonzero(may)
+        found = [(row, d_ids[at], self._exact(row, d, at))]
+        if len(whole := np.flatnonzero(many)):
+            ids, score = _chunk_best(self.q[whole], d_ids, d, self.k, self.metric)
+            found.append((np.repeat(whole, ids.shape[1]), ids.ravel(), score.ravel()))
+        self._merge(*(np.concatenate(x) for x in zip(*found)))
+
+    def _merge(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if not len(row):
+            return
+        if self.ids is not None:
+            row, ids, score = np.concatenate([self.row, row]), np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        starts = np.searchsorted(row, np.arange(len(self.q)))
+        nth = np.arange(len(row)) - starts[row]
+        kept = nth < self.k
+        last = nth == self.k - 1
+        self.least[row[last]] = score[last]
+        self.row, self.ids, self.score = row[kept], ids[kept], score[kept]
+
+
+def _best_of(q_ids: np.ndarray, q: np.ndarray, parts: Iterator[pd.DataFrame], k: int, floor: float, metric: str) -> Iterator[pd.DataFrame]:
+    """k best documents per query over all parts, holding only k per query and one chunk; a frame per block of queries."""
+    blocks = [(at, _Best(q[at : at + QUERY_ROWS], k, metric)) for at in range(0, len(q), QUERY_ROWS)]
+    seen = 0
     for part in parts:
-        for at in range(0, len(part), step):
-            chunk = part.iloc[at : at + step]
-            new = _chunk_best(q, _ids(chunk["doc_id"]), _matrix(chunk["vector"]), k, metric)
-            best = new if best is None else _merge_best(best, new, k)
-    if best is None:
-        return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
-    ids, score = best
-    keep = (score >= floor).ravel()
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(q_ids, ids.shape[1])[keep],
-            "doc_id": ids.ravel()[keep],
-            "similarity": score.ravel()[keep],
-        }
-    )
+        at = 0
+        while at < len(part):
+            # Chunks double, so what beats the best so far stays a few rows per query.
+            chunk = part.iloc[at : at + min(max(seen, FIRST_CHUNK), CHUNK_CELLS // QUERY_ROWS)]
+            ids, d = _ids(chunk["doc_id"]), _matrix(chunk["vector"])
+            rough = _unit(d) if metric == "cosine" else d
+            for _, best in blocks:
+                best.add(ids, d, rough)
+            at, seen = at + len(chunk), seen + len(chunk)
+    for at, best in blocks:
+        keep = best.score >= floor
+        if keep.any():
+            yield pd.DataFrame({"query_id": q_ids[at + best.row[keep]], "doc_id": best.ids[keep], "similarity": best.score[keep]})
 
 
 def _vector_size(queries: DataFrame) -> int:
@@ -117,7 +165,7 @@ def unusable(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def top_k(
     queries: DataFrame, docs: DataFrame, *, k: int, threshold: float = -2.0, metric: str = "cosine",
-    broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int | None = None,
 ) -> DataFrame:
     """query_id, doc_id, similarity, rank for ``queries(query_id, vector)`` and ``docs(doc_id, vector)``.
 
@@ -131,7 +179,7 @@ def top_k(
     if at_most(q, broadcast_bytes // (8 * size + 64)):
         partial = _top_broadcast(q, d, k, threshold, metric)
     else:
-        partial = _top_blocks(q, d, k, threshold, metric, block_rows)
+        partial = _top_blocks(q, d, k, threshold, metric, block_rows or max(1, BLOCK_BYTES // (8 * max(1, size))))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -144,7 +192,7 @@ def _top_broadcast(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_rows = held.value
-        yield _best_of(q_ids, q_rows, batches, k, floor, metric)
+        yield from _best_of(q_ids, q_rows, batches, k, floor, metric)
 
     return d.mapInPandas(score, _pair(q, d))
 
@@ -162,9 +210,8 @@ def _top_blocks(q: DataFrame, d: DataFrame, k: int, floor: float, metric: str, b
     )
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
-        return _best_of(_ids(a["query_id"]), _matrix(a["vector"]), iter([b]), k, floor, metric)
+        out = [] if a.empty else [*_best_of(_ids(a["query_id"]), _matrix(a["vector"]), iter([b]), k, floor, metric)]
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
 
     return q_side.groupBy("qb", "db").cogroup(d_side.groupBy("qb", "db")).applyInPandas(score, _pair(q, d))
 

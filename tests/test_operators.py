@@ -4,6 +4,8 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import dependencies as dp, evaluate as ev, findings as fo, responses as rs, retrieval as rt
@@ -272,3 +274,20 @@ def test_findings_text_has_a_last_line_where_it_is_cut(spark):
     df = spark.createDataFrame(rows, "sample_id string, tool string, type string, line int, message string, n int")
     got = {r.sample_id: r.findings_summary.split("\n") for r in fo.findings_text(df, most_lines=5).collect()}
     assert len(got["s"]) == 6 and got["s"][0].endswith("(x2)") and got["s"][-1] == "  ... (more findings)" and len(got["q"]) == 1
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_top_k_ranks_few_documents_whole(monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    d = rng.normal(size=(6000, 16)) * 10
+    d[500:900], d[3000:3400], d[100] = d[7], d[7] * 2, 0  # copies, equal directions, a zero vector
+    q, ids = np.vstack([d[::40], d[7:8], np.zeros((1, 16))]), np.array([f"d{k}" for k in range(6000)])
+    ranked, whole = [], rt._chunk_best
+    monkeypatch.setattr(rt, "_chunk_best", lambda q, i, d, *rest: ranked.append(len(q) * len(d)) or whole(q, i, d, *rest))
+    parts = [pd.DataFrame({"doc_id": ids[at : at + 2500], "vector": list(d[at : at + 2500])}) for at in range(0, 6000, 2500)]
+    got = pd.concat([*rt._best_of(np.arange(len(q)), q, iter(parts), 5, -1e9, metric)])
+    assert sum(ranked) < len(q) * 6000 / 4
+    sim = rt._similarity(q, d, metric)
+    want = [(k, ids[i], sim[k, i]) for k in range(len(q)) for i in np.lexsort((ids, -sim[k]))[:5]]
+    key = got.sort_values(["query_id", "similarity", "doc_id"], ascending=[True, False, True])
+    assert [*zip(key["query_id"], key["doc_id"])] == [w[:2] for w in want] and np.allclose(key["similarity"], [w[2] for w in want], atol=2e-9)
