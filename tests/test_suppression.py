@@ -5,6 +5,7 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from auditlake.streaming import incremental, suppression
@@ -59,3 +60,43 @@ def test_the_split_into_batches_changes_nothing(spark, tmp_path, files_per_batch
     asked, late = call(spark, tmp_path, "11 hours", files_per_batch)
     newest = max(t for _, t in rows)
     assert late == [] and asked == chain(rows, newest.replace(microsecond=0) - timedelta(hours=11))
+
+
+@pytest.mark.parametrize("times", [20, 1000])
+def test_a_key_costs_a_few_calls_of_the_state(times):
+    calls = []
+
+    class Held:
+        def __init__(self):
+            self.held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("update", "put", "appendList"):
+                    self.held = [*(self.held or []), *args[0]] if name == "appendList" else args[0]
+                elif name == "clear":
+                    self.held = None
+                return iter(self.held) if name == "get" and isinstance(self.held, list) else self.held
+
+            return call
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Held()
+
+        getListState = getMapState = getValueState  # noqa: N815
+
+        def registerTimer(self, ms):  # noqa: N802
+            calls.append("registerTimer")
+
+        deleteTimer = registerTimer  # noqa: N815
+
+    hour = 3_600_000_000
+    watermark = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 30 * 3_600_000})()
+    ask = suppression.AskOnce(24)
+    ask.init(Handle())
+    rows = pd.DataFrame({"at": [n * 40 * hour // times for n in range(times)]})
+    ask.handleInputRows(("a",), iter([rows, rows]), watermark)
+    (asked,) = ask.handleExpiredTimer(("a",), watermark, None)
+    assert asked["at"].tolist() == [0, 24 * hour] and len(calls) <= 12
