@@ -159,6 +159,23 @@ def test_listed_versions_and_a_skewed_package(spark):
     assert got == want
 
 
+def test_packages_of_few_and_of_many_rules_are_matched_alike(spark):
+    rnd = random.Random(7)
+    bounds = ["0", "1.0", "v1.2", "1.2.0rc1", "2.0", "2.0.post-x", "3"]
+    rows = []
+    for i in range(60):
+        events = [(rnd.choice(bounds), None, None)] + rnd.choice([[], [(None, rnd.choice(bounds), None)], [(None, None, rnd.choice(bounds))]])
+        rows.append((f"adv{i}", [((f"pkg{i % 7}", "PyPI"), [("ECOSYSTEM", events)], rnd.choice([None, [], [None], ["1.2", None, "odd"]]))]))
+    rows.append(("nothing", [(("bare", "PyPI"), None, [None])]))
+    kind = "id string, affected array<struct<package:struct<name:string,ecosystem:string>,ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>,versions:array<string>>>"
+    names = [f"pkg{i}" for i in range(8)] + ["bare", None]
+    deps = spark.createDataFrame([("p", "m", n, v, "PyPI") for n in names for v in ["0.5", "1.2", "v1.2.0", "1.2rc1", "2", "3.0", "odd", None]], "project string, manifest string, name string, version string, ecosystem string")
+    told = dp.rules(spark.createDataFrame(rows, kind))
+    few, mixed, many = (sorted(map(tuple, dp.match(deps, told, n).collect())) for n in (64, 9, 0))
+    assert few and few == mixed == many
+    assert not any(r[1] == "bare" for r in few)  # a null among the listed versions is no range without bounds
+
+
 def test_cache_split_covers_the_input(spark):
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
