@@ -13,7 +13,9 @@ keys.  Where a bucket of a wide key then still holds several classes, every pair
 different classes in it is compared, so no pair is left unchecked that shares a wide
 key.  Of these pairs only those are aligned whose numbers of words, in all and
 in ``BAG`` hashed parts of the vocabulary, allow the distance; pairs left out are
-farther apart for certain.
+farther apart for certain.  Buckets of the same members are looked at once, and a large one in cells of two
+blocks, so rows that move grow with a bucket and not with its square; the comparisons of word
+counts inside a cell still do.
 
 *Verification.*  Two texts are linked if their word edit distance is at most
 (1 - ``similarity``) of the longer one's words, found by an alignment within a
@@ -41,7 +43,9 @@ from auditlake.llm.common import HandOver, numbered, texts
 from auditlake.llm.components import components
 from auditlake.llm.shingles import WordHashes, mix, shingles
 
-BANDS, RUN, WIDE, NARROW, BAG = 32, 3, 2, 6, 256
+BANDS, RUN, WIDE, NARROW, BAG = 32, 3, 2, 6, 2048
+COARSE = (32, 256)  # parts that ``BAG`` is summed up to, to leave out most pairs by less work
+BLOCK = 4096  # rows of a bucket that meet another block's in one task
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
 
@@ -195,21 +199,75 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return sides.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_bags(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags allow them to be similar; ``nodes`` (row_id, n_words, bag)."""
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("row_id").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")), side)
+def _near_in_cell(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, second: np.ndarray, bags: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots whose numbers of words allow the distance; rows are ordered by ``n``.
+
+    Rows of one block meet each other, those of two blocks only the other block's (``second``).
+    """
+    two, total = bool(second.any()), bags.sum(1, dtype=np.int64)
+    most = np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+    ends = np.searchsorted(n - most, n, side="right")  # behind the last row whose length allows the distance
+    tables = [np.ascontiguousarray(bags.reshape(len(ids), parts, -1).sum(2, dtype=np.int16).T) for parts in COARSE]  # parts summed up lack no more
+
+    def allowed(others: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return others[np.maximum(more, more - (total[others] - total[at])) <= most[others]]
+
+    for at in range(len(ids) - 1):
+        others = np.arange(at + 1, ends[at])
+        fit = roots[others] != roots[at]
+        others = others[fit & (second[others] != second[at])] if two else others[fit]
+        for table in tables:
+            if len(others):
+                others = allowed(others, np.maximum(table[:, others] - table[:, at, None], 0).sum(0, dtype=np.int64))
+        for some in np.split(others, range(512, len(others), 512)):
+            if len(some):
+                some = allowed(some, np.maximum(bags[some].astype(np.int16) - bags[at], 0).sum(1, dtype=np.int64))
+            if len(some):
+                yield np.minimum(ids[some], ids[at]), np.maximum(ids[some], ids[at])
+
+
+def _near_bags(left: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of different roots in a bucket whose bags allow them to be similar.
+
+    ``left`` (bucket, row_id, root, n_words), ``nodes`` (row_id, bag).  Buckets of the same members are looked at once.
+    A bucket is dealt into blocks, any two blocks are a cell, and a task holds one cell at a time.
+    """
+    sets = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("row_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
+    sets = sets.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
+    dealt = left.join(sets, "bucket").join(nodes.select("row_id", "bag"), "row_id").withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    cell = ["bucket", "low", "high"]
+    cells = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row_id", "root", "n_words", (F.col("block") > F.col("other")).alias("second"), "bag")
+    cells = cells.repartition(*cell).sortWithinPartitions(*cell, "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def found(rows: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
+            """Pairs of the cells that are complete; the last one's rows stay in ``held``."""
+            new = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
+            starts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows[0])]
+            held[:] = [] if whole else [x[starts[-2] :] for x in rows]
+            pairs, size = [], 0
+            for lo, hi in zip(starts, starts[1:] if whole else starts[1:-1]):
+                for pair in _near_in_cell(*(x[lo:hi] for x in rows[3:]), similarity):
+                    pairs.append(pair)
+                    size += len(pair[0])
+                    if size > 1 << 15:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs)], ["a", "b"])
+                        pairs, size = [], 0
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs)], ["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(f"bag_{s}").to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for s in "ab")
-            n = np.maximum(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-            lacking = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1))
-            yield batch.select(["a", "b"]).filter(pa.array(lacking <= np.floor((1 - similarity) * n + 1e-9)))
+            if batch.num_rows:
+                rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*cell, "row_id", "root", "n_words", "second")]
+                rows.append(np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(-1, BAG))
+                yield from found([np.concatenate(x) for x in zip(held, rows)] if held else rows, False)
+        if held:
+            yield from found(list(held), True)
 
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -258,9 +316,7 @@ def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int
     # wide buckets that still hold several classes: every pair of different classes
     left = over.settle(_mixed(members, roots).select("bucket", "row_id", "root", "n_words"), "left")
     if not left.isEmpty():
-        one, two = (left.select("bucket", F.col("row_id").alias(s), F.col("root").alias(f"r{s}"), F.col("n_words").alias(f"n{s}")) for s in "ab")
-        met = one.join(two, "bucket").filter(f"a < b AND ra != rb AND abs(na - nb) <= {1 - similarity} * greatest(na, nb) + 1e-9D")
-        near = over.settle(_near_bags(met.select("a", "b").distinct(), held, similarity), "near")
+        near = over.settle(_near_bags(left, held, similarity), "near")
         more = over.settle(_verified(near, held, similarity), "links3")
         if not more.isEmpty():
             roots = over.settle(components(links.unionByName(more), over, "c3"), "roots3")

@@ -1,6 +1,7 @@
 """Operators 1, 2, 4 and 9 against brute force."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -255,3 +256,27 @@ def test_items_of_one_to_four_words_are_found_in_long_documents(spark, none):
         got = {(r.doc_id, r.item_id) for r in containment.contained(df, table, block_bytes=block_bytes).collect()}
         assert got == {(d, i) for d, text in docs for i, item in items if has(text, item)}
     assert containment.without_contaminated(df, table).count() == sum(not any(has(t, i) for _, i in items) for _, t in docs)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_pairs_of_a_bucket_by_cells_of_blocks(spark, block):
+    rnd = random.Random(5)
+    passage = [f"p{i}" for i in range(600)]
+    words = {}
+    for i in range(60):  # a passage with rests of several lengths, and near copies of some
+        own = passage + [f"w{i}x{j}" for j in range(rnd.choice([100, 200, 230]))]
+        words[2 * i], words[2 * i + 1] = own, own[:3] + own[4:] + [f"z{i}"] * (i % 9)
+    buckets = {1: list(words), 2: list(words), 3: rnd.sample(list(words), 20), 4: [0, 1], 5: [118]}
+    root = {i: i if i % 5 else 0 for i in words}
+    nodes = [(i, bytearray(edit_near_dedup.bag(edit_near_dedup.WordHashes().of(w)))) for i, w in words.items()]
+    left = spark.createDataFrame([(b, i, root[i], len(words[i])) for b, ids in buckets.items() for i in ids], "bucket bigint, row_id bigint, root bigint, n_words bigint")
+    near = edit_near_dedup._near_bags(left, spark.createDataFrame(nodes, "row_id bigint, bag binary"), 0.8, block)
+    got = [tuple(r) for r in near.collect()]
+    want = set()
+    for a, b in itertools.combinations(sorted(words), 2):
+        longer = max(len(words[a]), len(words[b]))
+        if root[a] != root[b] and longer - sum((Counter(words[a]) & Counter(words[b])).values()) <= int(0.2 * longer + 1e-9):
+            want.add((a, b))
+    assert len(got) == len(set(got)) and set(got) >= want and want
+    # hardly a pair is left that the exact number of shared words rules out
+    assert len(got) <= 1.1 * len(want)
