@@ -13,9 +13,11 @@ keys.  Where a bucket of a wide key then still holds several classes, every pair
 different classes in it is compared, so no pair is left unchecked that shares a wide
 key.  Of these pairs only those are aligned whose numbers of words, in all and
 in ``BAG`` hashed parts of the vocabulary, allow the distance; pairs left out are
-farther apart for certain.  Buckets of the same members are looked at once, and a large one in cells of two
-blocks, so rows that move grow with a bucket and not with its square; the comparisons of word
-counts inside a cell still do.
+farther apart for certain.  Pairs are looked at and aligned where a bucket's rows lie, each pair in
+one of its buckets, and only links that join something new leave as rows, fewer than the rows that
+came.  A large bucket is dealt into cells of two blocks, so a row moves once for each block of
+``BLOCK`` rows.  The comparisons themselves, and alignments of pairs that only the alignment can tell
+apart, still grow with the square of a bucket's classes.
 
 *Verification.*  Two texts are linked if their word edit distance is at most
 (1 - ``similarity``) of the longer one's words, found by an alignment within a
@@ -32,11 +34,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import HandOver, numbered, texts
@@ -45,7 +47,7 @@ from auditlake.llm.shingles import WordHashes, mix, shingles
 
 BANDS, RUN, WIDE, NARROW, BAG = 32, 3, 2, 6, 2048
 COARSE = (32, 256)  # parts that ``BAG`` is summed up to, to leave out most pairs by less work
-BLOCK = 4096  # rows of a bucket that meet another block's in one task
+BLOCK, ROW_BYTES = 4096, 4096  # rows of a bucket that meet another block's in one task, and bytes of text a row of them
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _CHUNK = 1 << 15
 
@@ -199,11 +201,17 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return sides.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_in_cell(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, second: np.ndarray, bags: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different roots whose numbers of words allow the distance; rows are ordered by ``n``.
+def _near_in_cell(cell: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """A row and those behind it, of other roots, whose numbers of words allow the distance; rows are ordered by ``n_words``.
 
     Rows of one block meet each other, those of two blocks only the other block's (``second``).
+    Two rows that meet in several buckets (``keys``) are told in one of them, drawn by the pair.
     """
+    ids, roots, n, second = (cell.column(c).to_numpy() for c in ("row_id", "root", "n_words", "second"))
+    bags = np.frombuffer(b"".join(cell.column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+    bucket, lists = cell.column("bucket")[0].as_py(), cell.column("keys").to_pylist()
+    width = max(map(len, lists))
+    keys = np.array([x + x[:1] * (width - len(x)) for x in lists], np.int64)
     two, total = bool(second.any()), bags.sum(1, dtype=np.int64)
     most = np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
     ends = np.searchsorted(n - most, n, side="right")  # behind the last row whose length allows the distance
@@ -212,6 +220,12 @@ def _near_in_cell(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, second: np.
     def allowed(others: np.ndarray, more: np.ndarray) -> np.ndarray:
         return others[np.maximum(more, more - (total[others] - total[at])) <= most[others]]
 
+    def drawn(others: np.ndarray) -> np.ndarray:
+        theirs = keys[others]
+        draws = mix(theirs.view(np.uint64) ^ mix((ids[others] ^ ids[at]).view(np.uint64))[:, None])
+        draws[~(theirs[:, :, None] == keys[at]).any(2)] = np.iinfo(np.uint64).max
+        return others[theirs[np.arange(len(others)), draws.argmin(1)] == bucket]
+
     for at in range(len(ids) - 1):
         others = np.arange(at + 1, ends[at])
         fit = roots[others] != roots[at]
@@ -220,54 +234,108 @@ def _near_in_cell(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, second: np.
             if len(others):
                 others = allowed(others, np.maximum(table[:, others] - table[:, at, None], 0).sum(0, dtype=np.int64))
         for some in np.split(others, range(512, len(others), 512)):
+            if len(some):
+                some = drawn(some)
             if len(some):
                 some = allowed(some, np.maximum(bags[some].astype(np.int16) - bags[at], 0).sum(1, dtype=np.int64))
             if len(some):
-                yield np.minimum(ids[some], ids[at]), np.maximum(ids[some], ids[at])
+                yield at, some
 
 
-def _near_bags(left: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """The pairs (a, b) of different roots in a bucket whose bags allow them to be similar.
+def _links_in_cell(cell: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the pairs of ``_near_in_cell`` similar ones that join all roots which such pairs join, fewer than the cell has rows."""
+    roots, text, up = cell.column("root").to_pylist(), cell.column("text"), {}
+
+    def top(x: int) -> int:
+        while x in up:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    for at, others in _near_in_cell(cell, similarity):
+        aligned = None
+        for other in others.tolist():
+            x, y = top(roots[at]), top(roots[other])
+            if x != y:
+                aligned = aligned or Aligned(_words(text[at].as_py()))
+                if similar(aligned, _words(text[other].as_py()), similarity):
+                    up[x] = y
+                    yield at, np.array([other])
+
 
-    ``left`` (bucket, row_id, root, n_words), ``nodes`` (row_id, bag).  Buckets of the same members are looked at once.
-    A bucket is dealt into blocks, any two blocks are a cell, and a task holds one cell at a time.
+def _cells(left: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Buckets in cells: bucket, low, high, row_id, root, n_words, second, keys, and the columns of ``nodes``, by cell and n_words.
+
+    ``left`` (bucket, row_id, root, n_words), ``nodes`` (row_id, bag and, if wanted, text).  Buckets of the same members are looked
+    at once.  A bucket is dealt into blocks by rows and bytes, any two blocks are a cell, and a task holds one cell at a time.
     """
-    sets = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64("row_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)])
-    sets = sets.groupBy("n", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
-    dealt = left.join(sets, "bucket").join(nodes.select("row_id", "bag"), "row_id").withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    n_bytes = F.octet_length("text") if "text" in nodes.columns else F.lit(0)
+    sized = left.join(nodes.select("row_id", n_bytes.alias("n_bytes")), "row_id")
+    sets = sized.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("n_bytes"), *[F.bit_xor(F.xxhash64("row_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("n_bytes") / (block * ROW_BYTES)))
+    sets = sets.groupBy("n", "n_bytes", "h1", "h2").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
+    dealt = left.join(sets, "bucket").withColumn("keys", F.collect_list("bucket").over(Window.partitionBy("row_id")))
+    dealt = dealt.join(nodes, "row_id").withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     cell = ["bucket", "low", "high"]
-    cells = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row_id", "root", "n_words", (F.col("block") > F.col("other")).alias("second"), "bag")
-    cells = cells.repartition(*cell).sortWithinPartitions(*cell, "n_words")
+    cells = dealt.select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row_id", "root", "n_words",
+        (F.col("block") > F.col("other")).alias("second"), "keys", *nodes.drop("row_id").columns,
+    )
+    return cells.repartition(*cell).sortWithinPartitions(*cell, "n_words")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def found(rows: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
-            """Pairs of the cells that are complete; the last one's rows stay in ``held``."""
-            new = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
-            starts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows[0])]
-            held[:] = [] if whole else [x[starts[-2] :] for x in rows]
-            pairs, size = [], 0
-            for lo, hi in zip(starts, starts[1:] if whole else starts[1:-1]):
-                for pair in _near_in_cell(*(x[lo:hi] for x in rows[3:]), similarity):
-                    pairs.append(pair)
-                    size += len(pair[0])
-                    if size > 1 << 15:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs)], ["a", "b"])
-                        pairs, size = [], 0
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pairs)], ["a", "b"])
 
+def _by_cell(cells: DataFrame, pairs_of: Callable[[pa.Table, float], Iterator[tuple[int, np.ndarray]]], similarity: float) -> DataFrame:
+    """The pairs (a, b), a < b, that ``pairs_of`` tells of each cell."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, last = [], None
         for batch in batches:
-            if batch.num_rows:
-                rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*cell, "row_id", "root", "n_words", "second")]
-                rows.append(np.frombuffer(b"".join(batch.column("bag").to_pylist()), np.uint8).reshape(-1, BAG))
-                yield from found([np.concatenate(x) for x in zip(held, rows)] if held else rows, False)
+            names = [batch.column(c).to_numpy() for c in ("bucket", "low", "high")]
+            starts = (np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist()
+            for lo, hi in zip([0, *starts], [*starts, batch.num_rows]):
+                if lo < hi:
+                    name = [x[lo] for x in names]
+                    if held and name != last:
+                        yield pa.Table.from_batches(held)
+                        held = []
+                    held.append(batch.slice(lo, hi - lo))
+                    last = name
         if held:
-            yield from found(list(held), True)
+            yield pa.Table.from_batches(held)
 
-    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
+
+        for cell in whole(batches):
+            ids = cell.column("row_id").to_numpy()
+            for at, others in pairs_of(cell, similarity):
+                found.append((np.minimum(ids[others], ids[at]), np.maximum(ids[others], ids[at])))
+                size += len(others)
+                if size > 1 << 15:
+                    yield told()
+                    found, size = [], 0
+        if found:
+            yield told()
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def _near_bags(left: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of different roots in a bucket whose bags allow them to be similar; these grow with a bucket's square."""
+    return _by_cell(_cells(left, nodes.select("row_id", "bag"), block), _near_in_cell, similarity)
+
+
+def _linked(left: DataFrame, nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Similar pairs (a, b) of different roots in a bucket, enough to join what all of them join; these grow with a bucket's rows.
+
+    The pairs of ``_near_bags`` are aligned in the cell that tells them, unless links found there already join them.
+    """
+    return _by_cell(_cells(left, nodes.select("row_id", "bag", "text"), block), _links_in_cell, similarity)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -316,8 +384,7 @@ def classes(docs: DataFrame, over: HandOver, similarity: float = 0.8, bands: int
     # wide buckets that still hold several classes: every pair of different classes
     left = over.settle(_mixed(members, roots).select("bucket", "row_id", "root", "n_words"), "left")
     if not left.isEmpty():
-        near = over.settle(_near_bags(left, held, similarity), "near")
-        more = over.settle(_verified(near, held, similarity), "links3")
+        more = over.settle(_linked(left, held, similarity), "links3")
         if not more.isEmpty():
             roots = over.settle(components(links.unionByName(more), over, "c3"), "roots3")
     # a node's copies share its root

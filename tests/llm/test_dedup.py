@@ -280,3 +280,38 @@ def test_pairs_of_a_bucket_by_cells_of_blocks(spark, block):
     assert len(got) == len(set(got)) and set(got) >= want and want
     # hardly a pair is left that the exact number of shared words rules out
     assert len(got) <= 1.1 * len(want)
+
+
+def test_rows_between_steps_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Texts of the same words, a third in another order each: nearly all pairs of a bucket must be aligned, none may be lost, few become rows."""
+    monkeypatch.setattr(edit_near_dedup, "BLOCK", 100)
+    bands, rnd, words = 4, random.Random(11), []
+    for i in range(360):
+        own = [f"b{i}" for i in range(65)] + [f"c{i}" for i in rnd.sample(range(35), 35)]
+        if i % 2:
+            own = list(words[-1])
+            for k in rnd.sample(range(65, 100), 3 * (i % 9)):
+                own[k] = f"e{i}_{k}"
+        words.append(own)
+    counted = {}
+
+    class Counting(HandOver):
+        def settle(self, df, name):
+            out = super().settle(df, name)
+            counted[name] = out.count()
+            return out
+
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id bigint, text string")
+    rows, roots = edit_near_dedup.classes(docs, Counting(spark), bands=bands)
+    assert max(counted.values()) <= 2 * bands * len(words), counted
+    own = dict(rows.select("row_id", "doc_id").join(roots, "row_id").select("doc_id", "root").collect())
+    got = defaultdict(set)
+    for i in range(len(words)):
+        got[own.get(i, -1 - i)].add(i)
+    wide = [edit_near_dedup.sketch(edit_near_dedup.shingles(edit_near_dedup.WordHashes().of(w), edit_near_dedup.RUN), bands)[0] for w in words]
+    links = []
+    for a, one in enumerate(words):
+        aligned = edit_near_dedup.Aligned(one)
+        links += [(a, b) for b in range(a + 1, len(words)) if set(wide[a]) & set(wide[b]) and edit_near_dedup.similar(aligned, words[b], 0.8)]
+    assert {frozenset(x) for x in got.values()} == groups_of(links, range(len(words)))
+    assert 1 < len(got) < len(words)
