@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Fixed value: rows of one written file at most.
+#: Rows of one written file at most, and characters of one JSON array unless a single row has more.
 FILE_ROWS = 5_000
+FILE_CHARS = 4_000_000
 
 
 def _files(lines: DataFrame, folder: str, name: str, rows: int = FILE_ROWS) -> None:
@@ -36,10 +39,27 @@ def _files(lines: DataFrame, folder: str, name: str, rows: int = FILE_ROWS) -> N
     fs.delete(path(f"{folder}/_written-{name}"), True)
 
 
-def _json_arrays(rows: DataFrame, folder: str, by) -> None:
-    """JSON arrays, one per value of ``by``, each a file of its own."""
-    one = rows.groupBy(by.alias("part")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    one.repartition("part").write.partitionBy("part").text(folder)
+def _json_arrays(rows: DataFrame, folder: str, most: int = FILE_ROWS, chars: int = FILE_CHARS) -> None:
+    """JSON arrays of at most ``most`` rows, each a file of its own; rows stay in their task, whatever their values."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, length = [], 0
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"[{','.join(held)}]"], pa.string())], ["value"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if held and (len(held) == most or length + len(text) > chars):
+                    yield whole()
+                    held, length = [], 0
+                held.append(text)
+                length += len(text)
+        if held:
+            yield whole()
+
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    lines.mapInArrow(arrays, "value string").write.option("maxRecordsPerFile", 1).text(folder)
 
 
 @query(
@@ -73,7 +93,7 @@ def labelled_from_csv(spark, sf):
 def labelled_from_json(spark, sf):
     folder, code = _folder(spark, "json"), derived.derive(spark, sf, derived.CODE)
     rows = code.select(F.concat(F.lit("fn_"), "user_id").alias("function_name"), "file", F.when(F.col("label"), "vuln").alias("label"), "code", "row_ord")
-    _json_arrays(rows, folder, F.floor(F.col("row_ord") / 50))
+    _json_arrays(rows, folder)
     return readers.labelled_json(spark, folder, "set").select("function_name", "file", "label", F.md5("code").alias("code_md5"))
 
 
@@ -81,7 +101,7 @@ def labelled_from_json(spark, sf):
 def ground_truth_file(spark, sf):
     folder, code = _folder(spark, "truth"), derived.derive(spark, sf, derived.CODE)
     rows = code.select(F.concat(F.lit("x/m"), F.col("user_id") % 20).alias("file"), F.concat(F.lit("fn_"), "user_id").alias("function_name"), F.when(F.col("label"), True).alias("has_vulnerability"), "row_ord")
-    _json_arrays(rows, folder, F.floor(F.col("row_ord") / 50))
+    _json_arrays(rows, folder)
     return readers.ground_truth(spark, folder).groupBy("sample_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,7 +120,7 @@ def cwe_file(spark, sf):
     rows = table(spark, sf, "part").select(
         F.concat(F.lit("CWE-"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("code_examples"), F.lit("c").alias("language"), "p_partkey"
     )
-    _json_arrays(rows, folder, F.floor(F.col("p_partkey") / 50))
+    _json_arrays(rows, folder)
     return readers.cwe_list(spark, folder).select("id", "name", F.array_join("code_examples", ",").alias("examples"), "language")
 
 

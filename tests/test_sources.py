@@ -1,12 +1,15 @@
 """Readers and writers on small files."""
 
 import json
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.catalog import source_queries
 from auditlake.plans import triage
+from auditlake.session import checkpoint_folder
 from auditlake.sources import readers, writers
 from auditlake.streaming import incremental
 
@@ -34,6 +37,41 @@ def test_written_source_files_are_bounded(spark, tmp_path):
     assert sorted(x for part in got for x in part) == sorted(f"int f{i}() {{}}" for i in range(25))
 
 
+def sparse_events(spark, folder, rows=400):
+    kinds = "id * 1000 AS event_id", "timestamp'2024-01-01' AS ts", "if(id % 7 = 0, null, id % 30) AS user_id", "'view' AS event_type", "id / 8 AS value", "'' AS props"
+    spark.range(rows).selectExpr(*kinds).write.parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+def files_of(spark, name, run):
+    """What ``run`` returns, and the files that it wrote below a folder of that name."""
+    kept = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(kept.glob(f"{name}-*"))
+    rows = run().collect()
+    (folder,) = set(kept.glob(f"{name}-*")) - before
+    return rows, [f for f in folder.rglob("part-*") if f.stat().st_size]
+
+
+def test_written_truth_is_in_few_files_whatever_the_ids(spark, tmp_path):
+    sf = sparse_events(spark, tmp_path)
+    rows, files = files_of(spark, "truth", lambda: source_queries.ground_truth_file(spark, sf))
+    assert sum(r.n for r in rows) == 400 and len(files) <= 2 * spark.sparkContext.defaultParallelism
+    want = Counter((f"m{i % 30 % 20}#fn_{i % 30}", int(i / 8 * 100) % 10 < 4) for i in range(400) if i % 7)
+    assert {(r.sample_id, r.label): r.n for r in rows if "#fn_" in (r.sample_id or "")} == want
+
+
+@pytest.mark.parametrize(("most", "chars", "longest"), [(4, 10**9, 4), (1000, 100, 10), (1000, 1, 1), (1000, 10**9, 50)])
+def test_json_arrays_are_bounded(spark, tmp_path, most, chars, longest):
+    rows = spark.range(0, 100, 1, 2).select("id", F.when(F.col("id") % 3 == 0, F.lit('],\n"\\é')).alias("t"))
+    source_queries._json_arrays(rows, str(tmp_path / "j"), most, chars)
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "j").glob("part-*")]
+    assert max(map(len, parts)) <= longest and (longest < 50 or len(parts) == 2)
+    got = spark.read.schema("id bigint, t string").option("multiLine", True).json(str(tmp_path / "j"))
+    assert sorted((r.id, r.t) for r in got.collect()) == [(i, '],\n"\\é' if i % 3 == 0 else None) for i in range(100)]
+    source_queries._json_arrays(rows.filter("id < 0"), str(tmp_path / "none"), most, chars)
+    assert spark.read.schema("id bigint, t string").option("multiLine", True).json(str(tmp_path / "none")).count() == 0
+
+
 def test_labelled_files(spark, tmp_path):
     csv = write(tmp_path / "d.csv", 'code,target,cwe\n"int f(int a) {\n return ""x"";\n}",1,CWE-1\n"",0,\n"void g() {}",0,\n')
     got = {(r.function_name, r.label) for r in readers.labelled_csv(spark, csv, "set").collect()}
