@@ -60,6 +60,14 @@ def test_written_truth_is_in_few_files_whatever_the_ids(spark, tmp_path):
     assert {(r.sample_id, r.label): r.n for r in rows if "#fn_" in (r.sample_id or "")} == want
 
 
+def test_written_labels_are_in_few_files_whatever_the_ids(spark, tmp_path):
+    sf = sparse_events(spark, tmp_path)
+    rows, files = files_of(spark, "json", lambda: source_queries.labelled_from_json(spark, sf))
+    assert len(files) <= 2 * spark.sparkContext.defaultParallelism and all(len(r.code_md5) == 32 for r in rows)
+    want = Counter((f"fn_{i % 30}", int(i / 8 * 100) % 10 < 4) for i in range(400) if i % 7)
+    assert Counter((r.function_name, r.label) for r in rows) == want  # without a user there is no code
+
+
 @pytest.mark.parametrize(("most", "chars", "longest"), [(4, 10**9, 4), (1000, 100, 10), (1000, 1, 1), (1000, 10**9, 50)])
 def test_json_arrays_are_bounded(spark, tmp_path, most, chars, longest):
     rows = spark.range(0, 100, 1, 2).select("id", F.when(F.col("id") % 3 == 0, F.lit('],\n"\\é')).alias("t"))
