@@ -100,3 +100,71 @@ def test_a_key_costs_a_few_calls_of_the_state(times):
     ask.handleInputRows(("a",), iter([rows, rows]), watermark)
     (asked,) = ask.handleExpiredTimer(("a",), watermark, None)
     assert asked["at"].tolist() == [0, 24 * hour] and len(calls) <= 12
+
+
+class Kept:
+    """State in memory: a value or a list, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.states, self.bells = 0, {}, set()
+
+    def getValueState(self, name, _):  # noqa: N802
+        kept = self
+
+        class State:
+            def __getattr__(self, call):
+                def called(*args):
+                    kept.calls += 1
+                    if call == "get":
+                        return iter(kept.states[name]) if isinstance(kept.states.get(name), list) else kept.states.get(name)
+                    kept.states[name] = {"clear": None, "appendList": [*(kept.states.get(name) or []), *args[0]] if args else None}.get(call, args[0] if args else None)
+
+                return called
+
+        return State()
+
+    getListState = getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.bells.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.calls += 1
+        self.bells.remove(ms)
+
+
+@pytest.mark.parametrize("packed", [7, 50_000])
+def test_many_keys_of_a_group_cost_a_few_calls_and_are_forgotten(monkeypatch, packed):
+    monkeypatch.setattr(suppression, "PACKED_ROWS", packed, raising=False)
+    rnd, hour, kept, got = random.Random(4), 3_600_000_000, Kept(), []
+    ask = suppression.AskOnce(24)
+    ask.init(kept)
+    rows = [(f"k{rnd.randint(0, 300)}", rnd.randint(0, 20 * 24 * hour)) for _ in range(5000)]
+    rows += rows[:500]
+    for day in range(21):  # what comes in a day is from there on to eight hours later, then the watermark follows
+        part = pd.DataFrame([r for r in rows if day * 24 * hour < r[1] + r[1] % 8 * hour <= (day + 1) * 24 * hour], columns=["key", "at"])
+        before = kept.calls
+        ask.handleInputRows((0,), iter([part[:40], part[40:]]), None)
+        now = ((day + 1) * 24 - 8) * 3_600_000
+        if any(bell <= now for bell in kept.bells):
+            kept.bells -= {bell for bell in kept.bells if bell <= now}
+            (asked,) = ask.handleExpiredTimer((0,), type("Times", (), {"getCurrentWatermarkInMs": lambda self: now})(), None)  # noqa: B023
+            got += asked.itertuples(index=False, name=None)
+        assert packed == 7 or kept.calls - before <= 13
+    at = START + timedelta(days=100)
+    assert sorted((k, START + timedelta(microseconds=t)) for k, t in got) == chain([(k, START + timedelta(microseconds=t)) for k, t in rows], at)
+    (bell,) = kept.bells
+    (asked,) = ask.handleExpiredTimer((0,), type("Times", (), {"getCurrentWatermarkInMs": lambda self: bell})(), None)
+    assert not len(asked) and not any(kept.states.values())
+
+
+def test_keys_that_share_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suppression, "BUCKETS", 2)
+    rnd = random.Random(8)
+    rows = [(f"k{rnd.randint(0, 40)}", START + timedelta(minutes=rnd.randint(0, 9 * 1440))) for _ in range(900)]
+    arrival = sorted(rows, key=lambda r: r[1] + timedelta(minutes=rnd.randint(0, 600)))
+    for n in range(3):
+        deliver(tmp_path / "in", n, arrival[n * 300 : (n + 1) * 300])
+        asked, late = call(spark, tmp_path, "11 hours")
+    assert late == [] and asked == chain(rows, max(t for _, t in rows) - timedelta(hours=11))
